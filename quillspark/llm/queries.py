@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, substring
+from . import exact_dedup, ngram_join, packing, sharding, substring
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 8 << 20
@@ -20,6 +20,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(docs).withColumnRenamed("id", "doc_id")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, k=4, percent=85)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs, texts=False).drop("kept_text", "spans")
@@ -31,7 +47,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_substring_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_sharding)}
 
 
 _OP3 = r"""
