@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing, sharding, substring
+from . import embedding_dedup, exact_dedup, ngram_join, packing, sharding, substring
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 8 << 20
@@ -46,8 +46,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARD_BYTES).withColumnRenamed("key", "doc_id")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_sharding)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_sharding, op9_embedding_near_dedup)}
 
 
 _OP3 = r"""
