@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, ngram_join, packing, sharding, substring
+from . import embedding_dedup, exact_dedup, langid, ngram_join, packing, pieces, pii, quality, sharding, substring
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 8 << 20
@@ -15,6 +15,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, redact=False).drop("clean_text")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_scores(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.duplicate_groups(docs).withColumnRenamed("id", "doc_id")
@@ -31,6 +41,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(_read(spark, sf_dir, "pages"), docs)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs, k=4, percent=85)
@@ -50,8 +65,17 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digest(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_ngram_jaccard_join, op7_substring_dedup, op8_sharding, op9_embedding_near_dedup)}
+    every = (
+        op1_pii, op2_quality, op3_exact_dedup, op4_packing, op5_language_id, op6_ngram_jaccard_join,
+        op7_substring_dedup, op8_sharding, op9_embedding_near_dedup, op10_sentencepiece,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP3 = r"""
