@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, sized_join, stored
+from .common import partitions, stored
 from .wordhash import fragment, gathered, grams, scatter, slices, word_hashes
 
 #: Words of a phrase, and of the gram that anchors it.
@@ -166,7 +166,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     anchors = rows.mapInArrow(_anchors(width, n), blobs).groupBy("bucket").applyInArrow(_shared(n), blobs)
     shared = stored(anchors.groupBy("bucket").applyInArrow(_per_document("hash", "u8"), "doc_id long, found binary"), "anchors")
     wide = "bucket long, hash binary, more binary, doc binary, pos binary"
-    texts = sized_join(rows, shared, "doc_id", "inner", 16, "found").select("doc_id", "text", "found")
+    texts = rows.join(shared.hint("merge"), "doc_id").select("doc_id", "text", "found")
     found = texts.mapInArrow(_windows(width, n), wide).groupBy("bucket").applyInArrow(_repeated(n), "bucket long, pos binary, doc binary")
     return stored(found.groupBy("bucket").applyInArrow(_per_document("pos", "u4"), "doc_id long, found binary"), "repeats")
 
@@ -202,5 +202,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> D
     factors removed, in words, end exclusive; kept_text only if ``texts``."""
     found = repeated_starts(docs, width)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = sized_join(rows, found, "doc_id", "left", 16, "found").select("doc_id", "text", "found")
+    joined = rows.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_strip(width, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept_text string")
