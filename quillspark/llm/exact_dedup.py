@@ -67,8 +67,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     made = stored(recipes(docs, id_col, text), "recipes")
     order = F.struct(F.col("n_chars"), (-F.coalesce("id", F.lit(-(2**62)))).alias("neg"))
     best = made.groupBy("recipe").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own, so that the join has a shuffle on both sides and can split a hot recipe
     best = best.select("recipe", "group_size", F.when(F.col("best.neg") == 2**62, None).otherwise(-F.col("best.neg")).alias("keep_id"))
-    return made.join(best, "recipe").select(
+    return made.join(stored(best, "groups"), "recipe").select(
         "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
