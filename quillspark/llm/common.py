@@ -47,6 +47,12 @@ def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: i
     return big.join(F.broadcast(small) if measured <= BROADCAST_BYTES else small.hint("merge"), on, how)
 
 
+def _stars(links: DataFrame) -> bool:
+    """Every node has one smaller neighbour at most, and that one has none: each component is a star around its smallest id."""
+    row = links.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("k")).first()
+    return row["n"] == row["k"] and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as rows (id, component): component is the smallest
     id reachable.  Ids without an edge do not appear.
@@ -57,26 +63,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = stored(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    before = None
-    while True:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         links = stored(small, "edges")
-        row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("h"), F.countDistinct("u").alias("k")).first()
-        now = (row["n"], row["h"])
-        if now == before or row["n"] == 0:
-            break
-        before = now
-    # at the fixed point every node but the smallest of its component has one edge, to the smallest
     stars = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
