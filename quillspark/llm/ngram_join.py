@@ -10,9 +10,14 @@ fragment counts what its segments share, and the partial counts are summed, per
    only documents that can have a partner.
 3. For these, the fragments count each n-gram's documents; rarest first, the first (n - ceil(t n) + 1) n-grams
    of each set are its prefix.  Linked sets share an n-gram of their prefixes.
-4. Groups are closed without all pairs: each document is first compared with the candidate that has the
-   fewest n-grams of its own, and the links' components are taken.  Pairs inside a component need no test.  Then every
-   pair that shares a prefix n-gram and still lies in two components is compared, so no link is lost.
+4. Groups are closed without all pairs.  Each document is first compared with the one candidate that has the fewest
+   n-grams of its own, its centre; the documents of one centre form a cluster, and the links' components are taken.
+   Pairs inside a component need no test.
+5. Inside a cluster two documents can still link past the centre, but only if what they differ from it by is shared:
+   with D and A the n-grams missing from and added to the centre's set C, the overlap of x and y is
+   |C| - |Dx| - |Dy| + |Dx & Dy| + |Ax & Ay|, so the threshold tells how many differences must be shared, and a
+   prefix filter on the (small) sets of differences finds the pairs that can.
+6. Pairs of different clusters that share a prefix n-gram and lie in two components are compared as they are.
 
 Nothing is dropped or capped.  Null or empty texts have empty sets and link with nothing; a null id gets a null
 component and links with nothing.  Repeated rows count once as a set.
@@ -159,12 +164,12 @@ def _prefixes(percent: int):
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose similarity reaches the threshold: fragments count, the counts are summed."""
+    """(a, b, linked) for pairs (a, b): the fragments count what two sets share, the counts are summed."""
     left = segments.select(F.col("doc_id").alias("a"), "f", F.col("n").alias("na"), F.col("part").alias("pa"))
     right = segments.select(F.col("doc_id").alias("b"), "f", F.col("n").alias("nb"), F.col("part").alias("pb"))
     part = pairs.join(left, "a").join(right, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("o"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(F.col("o") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+    return total.select("a", "b", (F.col("o") * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("o"))).alias("linked"))
 
 
 def _fits(a: str, b: str, percent: int):
@@ -172,6 +177,31 @@ def _fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
+def _differences(tested: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(centre, doc_id, linked, load, size, c, diff) for clusters with a document that is not linked to the centre.
+    load: percent * n + (100 + percent) * |D|; two documents link only if they share at least
+    (load x + load y) / (100 + percent) - |C| differences.  diff: additions, then what is missing, each in hash order."""
+    open_ = tested.groupBy("b").agg(F.min("linked").alias("all")).where(~F.col("all")).select("b")
+    mine = known.select(F.col("doc_id").alias("a"), "n", F.col("grams").alias("ga"))
+    centre = known.select(F.col("doc_id").alias("b"), F.col("grams").alias("gc"))
+    rows = tested.join(open_, "b", "left_semi").join(mine, "a").join(centre, "b")
+    rows = rows.select(F.col("b").alias("centre"), F.col("a").alias("doc_id"), "linked", "n", F.array_except("gc", "ga").alias("d"), F.array_except("ga", "gc").alias("added"), F.size("gc").cast("long").alias("c"))
+    return rows.select("centre", "doc_id", "linked", (F.col("n") * percent + F.size("d") * (100 + percent)).alias("load"), (F.size("d") + F.size("added")).alias("size"), "c", F.concat(F.array_sort("added"), F.array_sort("d")).alias("diff"))
+
+
+def _cluster_pairs(diffs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one cluster, one of them not linked to the centre, whose differences can be shared enough."""
+    whole = 100 + percent
+    # the least any partner must share with a document that is not linked, and such a document with any partner
+    least = F.greatest(F.lit(1), F.ceil((F.col("load") - F.col("c") * percent) / whole))
+    need = F.ceil((F.col("load") - F.col("c") * 100) / whole)
+    first = lambda k: F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("size") - k + 1).cast("int"))
+    x = diffs.select("centre", "c", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("load").alias("lb"), F.col("size").alias("sb"), F.explode(first(least)).alias("e"))
+    y = diffs.where(~F.col("linked") & (need >= 1)).select("centre", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("load").alias("la"), F.col("size").alias("sa"), F.explode(first(need)).alias("e"))
+    can = F.col("la") + F.col("lb") - F.col("c") * whole <= F.least("sa", "sb") * whole
+    return y.join(x, ["centre", "e"]).where((F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb")) & can).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: component_id is the smallest id reachable over links of
     similarity >= percent / 100 between sets of word k-grams."""
@@ -208,16 +238,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     best = posts.groupBy("gram").agg(F.min(F.struct(share.alias("share"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))).alias("c"))
     first = posts.join(best, "gram").where((F.col("doc_id") != F.col("c.b")) & _fits("n", "c.nb", percent))
     first = first.groupBy(F.col("doc_id").alias("a")).agg(F.min("c").alias("c")).select("a", F.col("c.b").alias("b"))
-    links = stored(_overlaps(first, segments, percent), "links")
-
-    comp = stored(components(links), "components")
-    placed = posts.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    placed = stored(placed.join(mixed, "gram", "left_semi"), "placed")
-    x = placed.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb", percent))
-    more = _overlaps(rest.select("a", "b").distinct(), segments, percent)
+    tested = stored(_overlaps(first, segments, percent), "tested")
+    links = tested.where("linked").select("a", "b")
+    comp = stored(components(links), "components").withColumnRenamed("id", "doc_id")
+
+    diffs = _differences(tested, known, percent).join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    diffs = stored(diffs, "differences")
+    inside = _cluster_pairs(diffs, percent)
+    # documents that need no shared difference with others of their cluster are clusters of their own here
+    apart = diffs.where(~F.col("linked") & (F.col("load") <= F.col("c") * 100)).select("doc_id", (-F.col("doc_id") - 1).alias("own_cluster"))
+    cluster = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("centre")).join(apart, "doc_id", "left").select("doc_id", F.coalesce("own_cluster", "centre").alias("cluster"))
+    placed = posts.select("gram", "doc_id", "n").join(comp, "doc_id", "left").join(cluster, "doc_id", "left")
+    placed = placed.select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("cluster", "doc_id").alias("cluster"))
+    placed = stored(placed, "placed")
+    across = placed.select("gram", "cluster").distinct()
+    across = across.select("gram", F.col("cluster").alias("ka")).join(across.select("gram", F.col("cluster").alias("kb")), "gram").where("ka < kb")
+    x = placed.select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("cluster").alias("ka"))
+    y = placed.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("cluster").alias("kb"))
+    outside = x.join(across, ["gram", "ka"]).join(y, ["gram", "kb"]).where((F.col("ca") != F.col("cb")) & _fits("na", "nb", percent)).select("a", "b")
+    rest = inside.unionByName(outside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _overlaps(rest, segments, percent).where("linked").select("a", "b")
     comp = components(links.unionByName(more))
 
     comp = comp.withColumnRenamed("id", "rep")

@@ -88,11 +88,21 @@ def near_texts(seed):
             if rng.random() < 0.3:
                 w += [rng.choice(words) for _ in range(rng.randrange(1 + size // 10))]
             out.append(" ".join(w))
+    base = [rng.choice(words) for _ in range(150)]
+    for _ in range(8):  # families that link past their centre
+        other = list(base)
+        for _ in range(rng.randrange(4, 9)):
+            other[rng.randrange(len(other))] = rng.choice(words) + "x"
+        for _ in range(5):
+            w = list(other)
+            for _ in range(rng.randrange(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(words) + "y"
+            out.append(" ".join(w))
     rng.shuffle(out)
     return [*out, "a", "A", "a b", "a b"]
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 5, 80), (2, 2, 60)])
+@pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 5, 80), (2, 2, 60), (3, 4, 85), (4, 1, 90)])
 def test_near_duplicates(spark, seed, k, percent):
     rows = list(enumerate(near_texts(seed)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows), k, percent).collect()}
