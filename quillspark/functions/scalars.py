@@ -226,3 +226,16 @@ def sanitise_name(name: Column) -> Column:
 
 def pick(names: Sequence[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
+
+
+def substitute_variables(text: str, values: dict[str, str]) -> str:
+    """``${NAME}`` in a configuration text replaced; an unknown name is an error."""
+    import re
+
+    return re.sub(r"\$\{(\w+)\}", lambda m: values[m[1]], text)
+
+
+def prompt_image(data: Column, path: Column, prompt: Column, default: str = "Describe the image.") -> Column:
+    """(image, path, prompt, error) of a picture request: data as base64 or a path is needed, the prompt has a default."""
+    error = F.when(data.isNull() & path.isNull(), "image missing")
+    return F.struct(decode_base64(data).alias("image"), path.alias("path"), F.coalesce(F.when(prompt != "", prompt), F.lit(default)).alias("prompt"), error.alias("error"))

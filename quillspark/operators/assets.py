@@ -132,3 +132,34 @@ def audit_stats(log: DataFrame) -> DataFrame:
 def missing_artifacts(remote: DataFrame, manifest: DataFrame) -> DataFrame:
     """Objects of a commit that are not there yet: downloading twice copies nothing twice."""
     return remote.join(manifest.select("path", "commit_id"), ["path", "commit_id"], "left_anti")
+
+
+def set_status(assets: DataFrame, asset_path, version_id, status: str, branch: str | None = None) -> DataFrame:
+    """The status of one version changed, on one branch or on all."""
+    hit = (F.col("asset_path") == asset_path) & (F.col("version_id") == version_id)
+    if branch is not None:
+        hit &= F.col("branch") == branch
+    return assets.withColumn("status", F.when(hit, F.lit(status)).otherwise(F.col("status")))
+
+
+def delete_versions(assets: DataFrame, kill: DataFrame, on: tuple[str, ...] = ("asset_path", "version_id")) -> DataFrame:
+    return assets.join(kill.select(*on).distinct(), list(on), "left_anti")
+
+
+def read_version(commits: DataFrame, objects: DataFrame, version: str | None = None) -> DataFrame:
+    """Objects (path, branch, version, content) at a version, or at each branch's head."""
+    if version is not None:
+        return objects.where(F.col("version") == version)
+    head = commits.groupBy("path", "branch").agg(F.max(F.struct("ts", "version")).alias("c")).select("path", "branch", F.col("c.version").alias("version"))
+    return objects.join(head, ["path", "branch", "version"])
+
+
+def create_tables(spark, database: str = "default") -> None:
+    """The tables of the store, where they don't exist yet."""
+    for name, schema in {
+        "assets": "asset_path string, version_id string, branch string, primary_filename string, asset_key string, upload_date timestamp, archive_date timestamp, destroy_date timestamp, status string",
+        "users": "username string, branch string, permissions array<string>",
+        "audit_log": "username string, asset_path string, version_id string, branch string, operation string, ts timestamp, success boolean, details string",
+        "commits": "path string, branch string, version string, ts timestamp",
+    }.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet")

@@ -165,3 +165,13 @@ def dataset_inventory(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     by = files.groupBy("dataset", ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"))
     return by.groupBy("dataset").agg(F.sum("n").alias("n_files"), F.round(F.sum("b") / 1048576, 2).alias("size_mb"), F.array_sort(F.collect_list(F.struct("ext", "n"))).alias("extensions"))
+
+
+def local_models(models: DataFrame) -> DataFrame:
+    """Name, size in GB (two decimals), parameters and quantisation of models at hand."""
+    return models.select("name", F.round(F.col("size") / 1073741824, 2).alias("size_gb"), "parameter_size", "quantisation")
+
+
+def device_readings(readings: DataFrame, sources: Sequence[str], metric: str) -> DataFrame:
+    """A device metric from the first source that has it."""
+    return readings.withColumn(metric, F.coalesce(*[F.col(f"{s}_{metric}") for s in sources]))

@@ -102,3 +102,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
     return rows.where("_side = 1").drop("_side", "_v")
+
+
+def text_lines(rows: DataFrame, key: str, order: str, at: Column, text: Column) -> DataFrame:
+    """(key, lines): '- {at}s: {text}' lines in order; blank text is left out."""
+    line = F.concat(F.lit("- "), at, F.lit("s: "), text)
+    items = rows.where(F.trim(text) != "").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))).alias("items"))
+    return items.select(key, F.array_join(F.transform("items", lambda i: i.line), "\n").alias("lines"))
+
+
+def speaker_roster(turns: DataFrame, key: str, speaker: str = "speaker") -> DataFrame:
+    """(key, n_segments, n_speakers, speakers)."""
+    return turns.groupBy(key).agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct(speaker).alias("n_speakers"), F.array_sort(F.collect_set(speaker)).alias("speakers"))
+
+
+def attach_scalar(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows with the columns of a single row, as scalar subqueries; none: nulls."""
+    return rows.select("*", *[one.select(c).limit(1).scalar().alias(c) for c in one.columns])

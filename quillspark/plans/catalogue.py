@@ -788,3 +788,246 @@ def session_counts(read):
     from quillspark.streaming.flow import session_counts as counts
 
     return counts(read("events").withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+# ---- further coverage ------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, string_agg('- ' || turn || 's: ' || text, chr(10) ORDER BY turn) AS lines FROM conversations WHERE trim(text) <> '' GROUP BY 1")
+def scene_lines(read):
+    return temporal.text_lines(read("conversations"), "conv_id", "turn", F.col("turn").cast("string"), F.col("text"))
+
+
+@query("SELECT conv_id, count(*) AS n_segments, count(DISTINCT role) AS n_speakers, string_agg(DISTINCT role, ',' ORDER BY role) AS speakers FROM conversations GROUP BY 1")
+def speaker_roster(read):
+    out = temporal.speaker_roster(read("conversations"), "conv_id", "role")
+    return out.select("conv_id", "n_segments", "n_speakers", F.array_join("speakers", ",").alias("speakers"))
+
+
+@query("SELECT doc_id, (SELECT round(max(o_totalprice), 2) FROM orders) AS event_summary FROM documents")
+def scalar_attach(read):
+    one = read("orders").agg(F.round(F.max("o_totalprice"), 2).alias("event_summary"))
+    return temporal.attach_scalar(read("documents").select("doc_id"), one)
+
+
+@query("SELECT o_orderkey AS version_id, CASE WHEN o_custkey = 7 THEN 'archived' ELSE o_orderstatus END AS status FROM orders")
+def status_update(read):
+    o = read("orders").select(F.col("o_custkey").alias("asset_path"), F.lit(1).alias("version_id"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    return assets.set_status(o, 7, 1, "archived").select(F.col("k").alias("version_id"), "status")
+
+
+@query("SELECT o_orderkey FROM orders o ANTI JOIN (SELECT DISTINCT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 300000) k USING (o_custkey, o_orderstatus)")
+def delete_versions(read):
+    o = read("orders").withColumnsRenamed({"o_custkey": "asset_path", "o_orderstatus": "version_id"})
+    return assets.delete_versions(o, o.where("o_totalprice > 300000")).select("o_orderkey")
+
+
+@query("""WITH u AS (SELECT c_custkey AS id, 'user' || (c_custkey % 120) AS username, c_custkey % 3 = 0 AS odd FROM customer), old AS (SELECT DISTINCT username FROM u WHERE id <= 60)
+SELECT id, username, CASE WHEN username IN (SELECT username FROM old) THEN 'duplicate user' WHEN odd THEN 'unknown permission' ELSE 'created' END AS outcome FROM u WHERE id > 60""")
+def user_creation(read):
+    c = read("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), (F.col("c_custkey") % 120).cast("string")).alias("username"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("fly"))).otherwise(F.array(F.lit("list"))).alias("permissions"))
+    old = c.where("id <= 60").dropDuplicates(["username"])
+    after, bad = assets.create_users(old, c.where("id > 60"))
+    return after.where("id > 60").select("id", "username", F.lit("created").alias("outcome")).unionByName(bad.select("id", "username", F.col("error").alias("outcome")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'download' WHEN c_custkey % 4 = 1 THEN 'list' ELSE 'list' END AS permissions FROM customer")
+def permission_change(read):
+    c = read("customer").select("c_custkey", F.col("c_custkey").cast("string").alias("username"), F.array(F.lit("list")).alias("permissions"))
+    changes = c.where("c_custkey % 4 < 2").select("username", F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("download"))).otherwise(F.array(F.lit("admin"))).alias("permissions"))
+    return assets.change_permissions(c, changes).select("c_custkey", F.array_join("permissions", ",").alias("permissions"))
+
+
+@query("SELECT source AS path, string_agg(b, ',' ORDER BY b) AS branches FROM (SELECT source, lang || '=' || max(doc_id) AS b FROM documents GROUP BY source, lang) WHERE starts_with(source, 'src1') GROUP BY 1")
+def branch_listing(read):
+    d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.sha2("text", 256).alias("version"), F.col("doc_id").alias("ts"))
+    out = assets.branches(d, "src1")
+    return out.select("path", F.array_join(F.array_sort(F.transform("branches", lambda b: F.concat(b.branch, F.lit("="), b.ts.cast("string")))), ",").alias("branches"))
+
+
+@query("""WITH d AS (SELECT source AS path, lang AS branch, sha256(text) AS version, doc_id AS ts FROM documents), old AS (SELECT * FROM d WHERE ts % 3 > 0),
+h AS (SELECT path, branch, arg_max(version, (ts, version)) AS head FROM old GROUP BY ALL)
+SELECT path, branch, version, ts FROM old UNION ALL SELECT d.path, d.branch, d.version, d.ts FROM d LEFT JOIN h USING (path, branch) WHERE ts % 3 = 0 AND version IS DISTINCT FROM head""")
+def object_commit(read):
+    d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.col("text").alias("content"), F.col("doc_id").alias("ts"))
+    old = d.where("ts % 3 > 0").select("path", "branch", F.sha2("content", 256).alias("version"), "ts")
+    return assets.commit(old, d.where("ts % 3 = 0"))
+
+
+@query("SELECT doc_id AS ts FROM documents WHERE NOT (starts_with(source || '/' || lang, 'src1') AND NOT contains(source || '/' || lang, 'en'))")
+def associated_cleanup(read):
+    d = read("documents").select(F.concat("source", F.lit("/"), "lang").alias("path"), F.col("doc_id").alias("ts"))
+    return assets.drop_associated(d, "src1", "en").select("ts")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def artifact_download(read):
+    d = read("documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.lit("c1").alias("commit_id"))
+    have = read("labels").select(F.col("doc_id").cast("string").alias("path"), F.lit("c1").alias("commit_id"))
+    return assets.missing_artifacts(d, have).select("doc_id")
+
+
+@query("SELECT p_brand AS name, max(p_partkey) + row_number() OVER (PARTITION BY p_brand ORDER BY s) AS version FROM part, unnest([1, 2]) t(s) GROUP BY p_brand, s")
+def version_registration(read):
+    old = _models(read).select("name", "version")
+    new = old.select("name").distinct().withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    return registry.register_version(old.withColumn("fresh", F.lit(0)), new.withColumn("fresh", F.lit(1))).where("fresh = 1").select("name", F.col("version").cast("long").alias("version"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' AND p_partkey = (SELECT max(p_partkey) FROM part WHERE p_brand = 'Brand#11') THEN 'production'
+  WHEN p_brand = 'Brand#11' AND p_size > 25 THEN 'archived' WHEN p_size > 25 THEN 'production' ELSE 'none' END AS stage FROM part""")
+def stage_transition(read):
+    v = read("part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_partkey").cast("string").alias("version"), F.when(F.col("p_size") > 25, "production").otherwise("none").alias("stage"))
+    top = v.where("name = 'Brand#11'").agg(F.max("p_partkey").alias("k")).first()["k"]
+    return registry.transition(v, "Brand#11", str(top), "production").select("p_partkey", "stage")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 10 THEN p_size + 1 ELSE p_size END::INT AS new_priority FROM part")
+def priority_insert(read):
+    rows, _ = registry.insert_priority(read("part").select("p_partkey", F.col("p_size").alias("new_priority")), 10)
+    return rows
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'unknown task' WHEN p_size % 4 = 1 THEN 'engine not supported' WHEN p_size % 4 = 2 THEN 'missing: inputs' END AS error FROM part")
+def task_compatibility(read):
+    from quillspark.functions.models import task_table
+
+    p = read("part")
+    k = F.col("p_size") % 4
+    data = F.when(k == 2, F.create_map(F.lit("x"), F.lit("1"))).otherwise(F.create_map(F.lit("inputs"), F.lit("1")))
+    r = p.select("p_partkey", F.when(k == 0, "fly").otherwise("text-generation").alias("task"), F.when(k == 1, "other").otherwise("ollama").alias("engine"), data.alias("data"))
+    return registry.compatible(r, task_table(p.sparkSession)).select("p_partkey", "error")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size / 1000.0 WHEN 2 THEN p_size / 1e6 ELSE 1.0 END AS billions FROM part")
+def parameter_sizes(read):
+    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    size = F.when(k == 0, F.concat(n, F.lit("B"))).when(k == 1, F.concat(n, F.lit(" M"))).when(k == 2, F.concat(n, F.lit("K"))).otherwise(F.lit("?"))
+    return read("part").select("p_partkey", T.params_in_billions(size).alias("billions"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END::DOUBLE AS per, round(CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 END * p_size * 1e9 / 1073741824, 6) AS gb, CASE p_partkey % 3 WHEN 0 THEN 'int8' WHEN 1 THEN 'int8' ELSE 'fp16' END AS precision FROM part""")
+def quantisation(read):
+    level = S.pick(["Q4_K_M", "q8_0", "odd"], F.col("p_partkey") % 3)
+    e = S.explain_quantisation(level, F.col("p_size") * 1e9)
+    return read("part").select("p_partkey", e.bytes_per_param.alias("per"), F.round(e.weight_gb, 6).alias("gb"), S.precision_of(level).alias("precision"))
+
+
+@query("SELECT p_partkey, printf('%.4f', p_retailprice) AS price, p_size::VARCHAR AS size, CASE WHEN p_size > 10 THEN 2 ELSE 1 END + 1 AS n FROM part")
+def estimate_tags(read):
+    tags = S.estimate_tags({"price": (F.col("p_retailprice"), "double"), "size": (F.col("p_size"), "int"), "big": (F.when(F.col("p_size") > 10, "x"), "text")})
+    return read("part").select("p_partkey", tags.alias("t")).select("p_partkey", F.element_at("t", "est_price").alias("price"), F.element_at("t", "est_size").alias("size"), F.size("t").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'image' WHEN doc_id % 3 = 1 THEN 'text' ELSE 'multimodal' END AS kind FROM documents")
+def dataset_types(read):
+    k = F.col("doc_id") % 3
+    keys = F.when(k == 0, F.array(F.lit("text"), F.lit("img"))).when(k == 1, F.array(F.lit("sentence"))).otherwise(F.array(F.lit("other")))
+    return read("documents").select("doc_id", S.dataset_type(keys).alias("kind"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND lang <> 'de' THEN lang ELSE source END AS content FROM documents")
+def embedding_content(read):
+    kind = F.when(F.col("doc_id") % 2 == 0, "summary").otherwise("text")
+    return read("documents").select("doc_id", S.content_to_embed(kind, F.when(F.col("lang") != "de", F.col("lang")).otherwise(""), F.col("source")).alias("content"))
+
+
+@query(r"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE trim(regexp_replace(url, '[\\/]+', '/', 'g'), '/') END AS path FROM pages")
+def path_sanitise(read):
+    url = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("/../x"))).otherwise(F.col("url"))
+    return read("pages").select("page_id", S.sanitise_path(url).alias("path"))
+
+
+@query("SELECT page_id, 'a_b_é' || page_id || '.txt' AS name FROM pages")
+def name_sanitise(read):
+    return read("pages").select("page_id", S.sanitise_name(F.concat(F.lit("dir%2Fa%20b+é"), F.col("page_id").cast("string"), F.lit(".txt"))).alias("name"))
+
+
+@query("""SELECT conv_id, array_to_string(list_slice(list(role || ':' || n ORDER BY n DESC, role), 1, 2), ',') AS top FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY 1""")
+def top_labels(read):
+    rows = read("conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("conv_id").agg(F.collect_list(F.struct("role", "n")).alias("l"))
+    top = S.top_labels(F.col("l.role"), F.col("l.n"), 2)
+    return rows.select("conv_id", F.array_join(F.transform(top, lambda x: F.concat(x.label, F.lit(":"), x.probability.cast("long").cast("string"))), ",").alias("top"))
+
+
+@query("""SELECT conv_id, concat_ws(' | ', CASE WHEN count(*) FILTER (turn < 2) > 0 THEN 'upper: ' || string_agg(role, ' ' ORDER BY turn) FILTER (turn < 2) END,
+  CASE WHEN count(*) FILTER (turn BETWEEN 2 AND 6) > 0 THEN 'middle: ' || string_agg(role, ' ' ORDER BY turn) FILTER (turn BETWEEN 2 AND 6) END,
+  CASE WHEN count(*) FILTER (turn > 6) > 0 THEN 'lower: ' || string_agg(role, ' ' ORDER BY turn) FILTER (turn > 6) END) AS text FROM conversations GROUP BY 1""")
+def region_text(read):
+    items = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("text"), F.col("turn").cast("double").alias("center_y"), F.lit(0.9).alias("score"))))
+    return read("conversations").groupBy("conv_id").agg(items.alias("i")).select("conv_id", T.region_text(F.col("i"), F.lit(8.0)).alias("text"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN right(t, 1) IN ('.', '!', '?') THEN t ELSE t || '.' END AS text FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
+def clean_description(read):
+    return read("conversations").select("conv_id", "turn", T.clean_description(F.concat(F.lit("<image>"), "text")).alias("text"))
+
+
+@query("""SELECT r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS text
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1""")
+def grid_markdown(read):
+    rows = read("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("c")))).alias("r"))
+    return rows.select("r_regionkey", T.grid_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("r", lambda x: x.c))).alias("text"))
+
+
+@query("SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1")
+def result_harvest(read):
+    rows = read("conversations").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("summary"), "text", F.lit("text").alias("embedding_type"))
+    return envelopes.harvest(rows, "conv_id", "document").select("conv_id", "text")
+
+
+@query("""WITH a AS (SELECT user_id AS key, count(*) AS hits FROM events WHERE event_type = 'view' GROUP BY 1), c AS (SELECT DISTINCT user_id AS key FROM events)
+SELECT key, CASE WHEN hits > 0 THEN epoch_us(TIMESTAMP '2024-02-01') // 1000000 + CAST(floor(3600 * (hits * 0.01 + 1) + 1e-9) AS BIGINT) ELSE epoch_us(TIMESTAMP '2024-02-01') // 1000000 + 60 END AS expires FROM c LEFT JOIN a USING (key)""")
+def life_extension(read):
+    e = read("events").withColumnRenamed("user_id", "key")
+    now = F.to_timestamp(F.lit(NOW))
+    held = e.select("key").distinct().withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(60)))
+    return cache.extend_life(held, e.where("event_type = 'view'"), now).select("key", (F.unix_micros("expires_at") / 1_000_000).cast("long").alias("expires"))
+
+
+@query("SELECT user_id AS key, count(*) AS hits FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error') GROUP BY 1")
+def live_counters(read):
+    e = read("events").withColumnRenamed("user_id", "key")
+    return cache.live_counters(cache.count_hits(e), e.where("event_type = 'error'").select("key", F.lit(1).alias("expires_at")), F.lit(0))
+
+
+@query("SELECT user_id AS key, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def cache_put(read):
+    e = read("events").withColumnRenamed("user_id", "key")
+    now = F.to_timestamp(F.lit(NOW))
+    old = vector.latest_by_key(e.where("ts < timestamp_ntz'2024-01-20'"), ["key"], F.desc("ts"), F.desc("event_id")).select("key", "value", now.alias("expires_at"))
+    new = vector.latest_by_key(e.where("ts >= timestamp_ntz'2024-01-20'"), ["key"], F.desc("ts"), F.desc("event_id")).select("key", "value")
+    return cache.put_many(old, new, now).select("key", "value")
+
+
+@query("SELECT event_id AS id, event_type AS speaker FROM events")
+def payload_normalisation(read):
+    e = read("events")
+    standard = F.struct(F.lit(0.0).alias("start"), F.col("value").alias("end"), F.col("event_type").alias("speaker"), F.lit("t").alias("text"))
+    rows = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, standard).alias("payload"), F.lit(0.0).alias("start"), F.col("value").alias("end"), F.col("event_type").alias("speaker"), F.lit("t").alias("text"))
+    return envelopes.standard_rows(rows).select("id", "payload.speaker")
+
+
+@query("SELECT event_id, message_type, event_type AS target, 'MEDIUM' AS priority, user_id::VARCHAR AS correlation, 3600 AS ttl FROM (SELECT *, 'REQUEST' AS message_type FROM events)")
+def message_envelope(read):
+    m = S.envelope(F.lit("s"), F.col("event_type"), F.lit("REQUEST"), F.struct("value"), F.lit(None).cast("string"), F.col("user_id").cast("string"), F.lit(None).cast("int"), F.to_timestamp(F.lit(NOW)))
+    return read("events").select("event_id", m.alias("m")).select("event_id", "m.message_type", F.col("m.target_service").alias("target"), "m.priority", F.col("m.correlation_id").alias("correlation"), "m.ttl")
+
+
+@query("SELECT s_suppkey AS device, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 END, 0.0) AS load FROM supplier")
+def device_monitor(read):
+    r = read("supplier").select(F.col("s_suppkey").alias("device"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("a_load"), F.when(F.col("s_suppkey") % 2 == 0, 1.0).alias("b_load"), F.lit(0.0).alias("c_load"))
+    return registry.device_readings(r, ["a", "b", "c"], "load").select("device", "load")
+
+
+@query()
+def lru_trace(read):
+    rows = read("events").select("event_type", F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("key"), F.lit(1).cast("long").alias("bytes"))
+    return cache.lru_evictions(rows, "event_type", 5, 100)
+
+
+@query()
+def text_embedding(read):
+    from quillspark.functions.models import embed
+
+    return read("conversations").select("conv_id", "turn", F.transform(embed(F.col("text"), dim=64), lambda x: F.round(x.cast("double"), 6)).alias("vec"))
