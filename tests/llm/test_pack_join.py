@@ -136,3 +136,11 @@ def test_components(spark):
             x, y = find(a), find(b)
             comp[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in comp}
+
+
+def test_clear_stored(spark):
+    df = common.stored(spark.range(3).toDF("id"), "test")
+    assert df.count() == 3
+    common.clear_stored(spark)
+    with pytest.raises(Exception, match="exist"):
+        common.stored(df, "test")
