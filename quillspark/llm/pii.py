@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Documents from which the potentials are estimated, at most.
 TRAIN_DOCS = 2000
+#: Longer documents are left out of that sample (not of the search), so that it stays small on the driver.
+TRAIN_CHARS = 20_000
 #: Marginal probability from which a mention becomes a span; rounds of messages at most; damping.
 DECIDE, ROUNDS, DAMPING = 0.8, 30, 0.3
 #: Digits or characters two keys must share to count as similar.
@@ -234,10 +236,9 @@ def all_spans(text: str, base: list[tuple[int, int, str]], field: dict[str, np.n
 
 def fit(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """Potentials from at most TRAIN_DOCS documents whose text holds an @ or a digit, chosen by the text's hash."""
-    rows = docs.where(F.col(text).rlike("[@0-9]")).select(F.xxhash64(text).alias("h"), F.length(text).alias("n"), text)
-    sample = rows.where("n <= 20000").groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    share = int(2**32 * min(1.0, TRAIN_DOCS * 0.8 / max(sample, 1)))
-    got = rows.where("n <= 20000").where(F.pmod("h", F.lit(2**32)) < share).select(text).limit(TRAIN_DOCS).collect()
+    rows = docs.where((F.length(text) <= TRAIN_CHARS) & F.col(text).rlike("[@0-9]")).select(F.pmod(F.xxhash64(text), F.lit(1 << 32)).alias("h"), text)
+    share = int((1 << 32) * min(1.0, TRAIN_DOCS * 0.8 / max(rows.count(), 1)))
+    got = rows.where(F.col("h") < share).select(text).limit(TRAIN_DOCS).collect()
     return estimate(sorted(r[0] for r in got))
 
 
