@@ -66,7 +66,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log P(slot | language)) from at most TRAIN_DOCS labelled documents, chosen by the hash of their id."""
     known = docs.where("lang is not null and text is not null")
     share = min(1.0, TRAIN_DOCS / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.substring("text", 1, 1 << 20).alias("text"), "lang")
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("text").cast("string"), "lang")
     rows = sample.mapInArrow(_count_slots, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()  # languages * SLOTS numbers
     langs = sorted({r["lang"] for r in rows})
     counts = np.full((len(langs), SLOTS), SMOOTH)
