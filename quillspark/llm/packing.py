@@ -1,7 +1,7 @@
 """Packing of tokenised documents into windows by multiway Karmarkar-Karp differencing.
 
-A document's ids (with the end id) are cut into full windows and one remainder.  Full windows stand alone; the
-remainders are dealt by hash into blocks of about BLOCK pieces.  In a block every piece starts as a partial
+A document's ids (with the end id) are cut into full windows and a remainder, the remainder into equal pieces of at
+most a quarter of a window.  Full windows stand alone; the other pieces are dealt by hash into blocks of about BLOCK.  In a block every piece starts as a partial
 partition of k windows; the two partial partitions of the largest imbalance are merged, the fullest window
 of one onto the emptiest of the other, until one is left: k windows of near-equal length.  k starts at the
 least that could hold the tokens, and rises by one whenever a window exceeds the capacity.
@@ -94,7 +94,14 @@ def word_ids(path: str) -> WordIds:
 
 
 def _pieces(path: str, capacity: int):
-    end = struct.pack("<I", END_ID)
+    end, most = struct.pack("<I", END_ID), max(1, capacity // 4)
+
+    def cuts(n: int) -> list[tuple[int, int]]:
+        """(start, end) of the pieces of n ids."""
+        full = n - n % capacity
+        parts = -(-(n % capacity) // most)
+        edges = [*range(0, full + 1, capacity), *(full + (n % capacity) * k // parts for k in range(1, parts + 1))]
+        return list(zip(edges, edges[1:], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +111,7 @@ def _pieces(path: str, capacity: int):
                 for i, text in zip(batch.column(0).slice(lo, 1000).to_pylist(), batch.column(1).slice(lo, 1000).to_pylist(), strict=True):
                     ids = known.ids(text or "") + end
                     n = len(ids) // 4
-                    rows += [(i, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+                    rows += [(i, s, e - s, zlib.crc32(ids[4 * s : 4 * e]), n) for s, e in cuts(n)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
