@@ -33,26 +33,18 @@ def read_through(cache: DataFrame, requests: DataFrame, now: Column, compute: Ca
     return requests.join(live.unionByName(made), "key"), made
 
 
-def semantic_or_exact(cache: DataFrame, queries: DataFrame, now: Column, threshold: float = 0.8) -> DataFrame:
+def semantic_or_exact(cache: DataFrame, queries: DataFrame, now: Column, threshold: float = 0.8, skip_same: bool = False) -> DataFrame:
     """(query, value, how): the nearest live entry of the same filter if similar enough, else the one of the exact key.  Queries:
     (query, key, scope, qvec), entries: (key, scope, vec, value); scope is the hash of filter and options, so equal vectors
     with different filters never answer each other."""
     live = alive(cache, now)
-    pairs = F.broadcast(queries).join(live.select("scope", F.col("key").alias("k"), "vec"), "scope")
-    near = nearest_within(pairs, threshold)
+    near = nearest(live, queries.drop("key"), threshold, scope="scope", skip_same=skip_same).select("query", F.col("key").alias("hit"))
     out = queries.join(near, "query", "left").join(live.select("key", F.col("value").alias("exact")), "key", "left")
     out = out.join(live.select(F.col("key").alias("hit"), F.col("value").alias("similar")), "hit", "left")
     how = F.when(F.col("similar").isNotNull(), "similar").when(F.col("exact").isNotNull(), "exact").otherwise("miss")
     return out.select("query", F.coalesce("similar", "exact").alias("value"), how.alias("how"))
 
 
-def nearest_within(pairs: DataFrame, threshold: float) -> DataFrame:
-    from quillspark.functions.scalars import cosine
-
-    scored = pairs.select("query", "k", cosine(F.col("qvec"), F.col("vec")).alias("score")).where(F.col("score") >= threshold)
-    return scored.groupBy("query").agg(F.max(F.struct("score", "k")).alias("b")).select("query", F.col("b.k").alias("hit"))
-
-
 def nearest_key(entries: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
     return nearest(entries, queries, threshold)
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import content_to_embed, cosine
 
+#: Queries and entries that one task compares.
+QUERY_BLOCK, ENTRY_BLOCK = 1024, 8192
 POINT_SCHEMA = (
     "id string, type string, embedding_type string, status string, filename string, source string, speaker string, "
     "asset_path string, version_id string, branch string, text string, summary string, vec array<float>"
@@ -51,13 +55,47 @@ def top_k(points: DataFrame, query: Sequence[float] | Column, k: int = 5, condit
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest(entries: DataFrame, queries: DataFrame, threshold: float, key: str = "key", vec: str = "vec", query_key: str = "query") -> DataFrame:
-    """For each query row (query, qvec) the nearest entry, if its cosine reaches the threshold.  The query side is
-    small by contract (a batch of requests)."""
-    score = cosine(F.col("qvec"), F.col(vec))
-    pairs = entries.select(key, vec).join(F.broadcast(queries), F.lit(True)).select(query_key, key, score.alias("score")).where("score is not null")
-    best = pairs.groupBy(query_key).agg(F.max(F.struct("score", F.col(key).alias("key"))).alias("b"))
-    return best.where(F.col("b.score") >= threshold).select(query_key, F.col("b.key").alias(key), F.col("b.score").alias("score"))
+def nearest(entries: DataFrame, queries: DataFrame, threshold: float, key: str = "key", vec: str = "vec", query_key: str = "query", scope: str | None = None, skip_same: bool = False) -> DataFrame:
+    """(query, key, score): for each query row (query, qvec) the nearest entry, if its cosine reaches the threshold; of equal
+    ones the larger key.  With ``scope`` only entries of the query's scope count, with ``skip_same`` none of its own key.
+
+    Queries and entries are dealt into blocks; a pair of blocks is one task that returns a row per query, so neither side is
+    broadcast and no pair becomes a row."""
+    n_q, n_e = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-entries.count() // ENTRY_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mark = F.lit("") if scope is None else F.col(scope).cast("string")
+    q = queries.select(query_key, F.col("qvec").cast("array<double>").alias("v"), mark.alias("s"), block(query_key, n_q).alias("b"), every(n_e).alias("p"))
+    e = entries.select(key, F.col(vec).cast("array<double>").alias("v"), mark.alias("s"), block(key, n_e).alias("p"), every(n_q).alias("b"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lv, rv = _unit_rows(left.column("v")), _unit_rows(right.column("v"))
+        names = left.column(query_key).to_pylist(), right.column(key).to_pylist()
+        order = np.array(sorted(range(len(names[1])), key=names[1].__getitem__), "i8")  # of equal scores the larger key
+        scores = lv @ rv[order].T if len(lv) and len(rv) else np.zeros((len(lv), len(rv)))
+        ls, rs = (np.array(t.column("s").to_pylist(), dtype=object) for t in (left, right))
+        scores[~(ls[:, None] == rs[order][None, :])] = np.nan
+        if skip_same:
+            scores[np.array(names[0], dtype=object)[:, None] == np.array(names[1], dtype=object)[order][None, :]] = np.nan
+        scores[~(scores >= threshold)] = -np.inf
+        best = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1) if scores.shape[1] else np.zeros(len(lv), "i8")
+        hit = [i for i in range(len(lv)) if scores.shape[1] and scores[i, best[i]] > -np.inf]
+        at = [pa.array(x, pa.int64()) for x in (hit, [int(order[best[i]]) for i in hit])]
+        return pa.table({query_key: left.column(query_key).take(at[0]), key: right.column(key).take(at[1]), "score": pa.array([float(scores[i, best[i]]) for i in hit], pa.float64())})
+
+    kinds = dict(queries.dtypes)[query_key], dict(entries.dtypes)[key]
+    found = q.groupBy("b", "p").cogroup(e.groupBy("b", "p")).applyInArrow(run, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
+    best = found.groupBy(query_key).agg(F.max(F.struct("score", F.col(key).alias("k"))).alias("b"))
+    return best.select(query_key, F.col("b.k").alias(key), F.col("b.score").alias("score"))
+
+
+def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1; those that are null, zero or of another length than the first have no score."""
+    rows = column.to_pylist()
+    dim = next((len(r) for r in rows if r), 1)
+    x = np.array([r if r is not None and len(r) == dim and None not in r else [np.nan] * dim for r in rows], "f8").reshape(-1, dim)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.full(x.shape, np.nan), where=norm > 0)
 
 
 def latest_by_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

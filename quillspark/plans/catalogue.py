@@ -97,13 +97,13 @@ def collection_info(read):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id AS key, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q WHERE e.vec_id >= 5)
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
 SELECT query, arg_max(key, score) AS key, round(max(score), 6) AS score FROM s GROUP BY query HAVING max(score) >= 0.3""")
 def knn1_threshold(read):
-    e = read("embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
-    out = vector.nearest(e.where("vec_id >= 5").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), q, 0.3)
-    return out.select("query", "key", F.round("score", 6).alias("score"))
+    """Every vector of an id divisible by 100 against all others."""
+    e = read("embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
+    q = e.where("key % 100 = 0").select(F.col("key").alias("query"), F.col("vec").alias("qvec"))
+    return vector.nearest(e, q, 0.3, skip_same=True).select("query", "key", F.round("score", 6).alias("score"))
 
 
 @query("""WITH u AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderpriority AS text, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END AS type FROM orders)
@@ -169,17 +169,18 @@ def cache_single_flight(read):
     return out.select("event_id", "key", "value")
 
 
-@query("""WITH live AS (SELECT vec_id AS key, label AS scope, embedding AS vec FROM embeddings WHERE vec_id % 2 = 0),
-q AS (SELECT vec_id AS query, vec_id - vec_id % 4 AS key, label AS scope, embedding AS qvec FROM embeddings WHERE vec_id < 40),
-s AS (SELECT query, live.key AS hit, list_cosine_similarity(vec::DOUBLE[], qvec::DOUBLE[]) AS score FROM q JOIN live USING (scope)),
-n AS (SELECT query, arg_max(hit, score) AS hit FROM s WHERE score >= 0.8 GROUP BY query)
+@query("""WITH live AS (SELECT vec_id AS key, label AS scope, embedding AS vec FROM embeddings WHERE label <> 3),
+q AS (SELECT vec_id AS query, vec_id + 7 AS key, label AS scope, embedding AS qvec FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query, live.key AS hit, list_cosine_similarity(vec::DOUBLE[], qvec::DOUBLE[]) AS score FROM q JOIN live USING (scope) WHERE live.key <> query),
+n AS (SELECT query, arg_max(hit, score) AS hit FROM s WHERE score >= 0.4 GROUP BY query)
 SELECT q.query, coalesce(n.hit, x.key) AS value, CASE WHEN n.hit IS NOT NULL THEN 'similar' WHEN x.key IS NOT NULL THEN 'exact' ELSE 'miss' END AS how
 FROM q LEFT JOIN n USING (query) LEFT JOIN live x ON x.key = q.key""")
 def semantic_or_exact_cache(read):
-    e = read("embeddings")
-    held = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("key"), F.col("label").alias("scope"), F.col("embedding").alias("vec"), F.col("vec_id").alias("value"), F.lit(1).alias("expires_at"))
-    q = e.where("vec_id < 40").select(F.col("vec_id").alias("query"), (F.col("vec_id") - F.col("vec_id") % 4).alias("key"), F.col("label").alias("scope"), F.col("embedding").alias("qvec"))
-    return cache.semantic_or_exact(held, q, F.lit(0))
+    """Every vector of an id divisible by 100 against all live entries (label 3 has expired)."""
+    e = read("embeddings").withColumnsRenamed({"vec_id": "key", "label": "scope", "embedding": "vec"})
+    held = e.select("key", "scope", "vec", F.col("key").alias("value"), F.when(F.col("scope") == 3, -1).otherwise(1).alias("expires_at"))
+    q = e.where("key % 100 = 0").select(F.col("key").alias("query"), (F.col("key") + 7).alias("key"), "scope", F.col("vec").alias("qvec"))
+    return cache.semantic_or_exact(held, q, F.lit(0), 0.4, skip_same=True)
 
 
 @query("SELECT event_type || ':' || user_id AS key, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1")
@@ -401,9 +402,9 @@ def final_transcript(read):
     return temporal.final_transcript(rows, "conv_id", "turn")
 
 
-@query("SELECT l.doc_id, coalesce(d.source, '') AS text FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 2 = 0")
+@query("SELECT l.doc_id, coalesce(d.source, '') AS text FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang <> 'en'")
 def left_lookup(read):
-    texts = read("documents").where("doc_id % 2 = 0").select(T.scene_frame_name(F.col("doc_id")).alias("file"), F.col("source").alias("text"))
+    texts = read("documents").where("lang <> 'en'").select(T.scene_frame_name(F.col("doc_id")).alias("file"), F.col("source").alias("text"))
     return temporal.attach_text(read("labels").select("doc_id"), texts, "doc_id").select("doc_id", "text")
 
 
@@ -822,13 +823,13 @@ def delete_versions(read):
     return assets.delete_versions(o, o.where("o_totalprice > 300000")).select("o_orderkey")
 
 
-@query("""WITH u AS (SELECT c_custkey AS id, 'user' || (c_custkey % 120) AS username, c_custkey % 3 = 0 AS odd FROM customer), old AS (SELECT DISTINCT username FROM u WHERE id <= 60)
-SELECT id, username, CASE WHEN username IN (SELECT username FROM old) THEN 'duplicate user' WHEN odd THEN 'unknown permission' ELSE 'created' END AS outcome FROM u WHERE id > 60""")
+@query("""WITH u AS (SELECT c_custkey AS id, 'user' || (c_custkey % 120) AS username, c_custkey % 3 = 0 AS odd, c_mktsegment = 'BUILDING' AS first FROM customer), old AS (SELECT DISTINCT username FROM u WHERE first)
+SELECT id, username, CASE WHEN username IN (SELECT username FROM old) THEN 'duplicate user' WHEN odd THEN 'unknown permission' ELSE 'created' END AS outcome FROM u WHERE NOT first""")
 def user_creation(read):
-    c = read("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), (F.col("c_custkey") % 120).cast("string")).alias("username"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("fly"))).otherwise(F.array(F.lit("list"))).alias("permissions"))
-    old = c.where("id <= 60").dropDuplicates(["username"])
-    after, bad = assets.create_users(old, c.where("id > 60"))
-    return after.where("id > 60").select("id", "username", F.lit("created").alias("outcome")).unionByName(bad.select("id", "username", F.col("error").alias("outcome")))
+    c = read("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), (F.col("c_custkey") % 120).cast("string")).alias("username"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("fly"))).otherwise(F.array(F.lit("list"))).alias("permissions"), (F.col("c_mktsegment") == "BUILDING").alias("first"))
+    old = c.where("first").dropDuplicates(["username"])
+    after, bad = assets.create_users(old, c.where("not first"))
+    return after.where("not first").select("id", "username", F.lit("created").alias("outcome")).unionByName(bad.select("id", "username", F.col("error").alias("outcome")))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'download' WHEN c_custkey % 4 = 1 THEN 'list' ELSE 'list' END AS permissions FROM customer")
@@ -845,13 +846,13 @@ def branch_listing(read):
     return out.select("path", F.array_join(F.array_sort(F.transform("branches", lambda b: F.concat(b.branch, F.lit("="), b.ts.cast("string")))), ",").alias("branches"))
 
 
-@query("""WITH d AS (SELECT source AS path, lang AS branch, sha256(text) AS version, doc_id AS ts FROM documents), old AS (SELECT * FROM d WHERE ts % 3 > 0),
+@query("""WITH d AS (SELECT source AS path, lang AS branch, sha256(text) AS version, doc_id AS ts, n_chars FROM documents), old AS (SELECT path, branch, version, ts FROM d WHERE n_chars < 2000),
 h AS (SELECT path, branch, arg_max(version, (ts, version)) AS head FROM old GROUP BY ALL)
-SELECT path, branch, version, ts FROM old UNION ALL SELECT d.path, d.branch, d.version, d.ts FROM d LEFT JOIN h USING (path, branch) WHERE ts % 3 = 0 AND version IS DISTINCT FROM head""")
+SELECT path, branch, version, ts FROM old UNION ALL SELECT d.path, d.branch, d.version, d.ts FROM d LEFT JOIN h USING (path, branch) WHERE n_chars >= 2000 AND version IS DISTINCT FROM head""")
 def object_commit(read):
-    d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.col("text").alias("content"), F.col("doc_id").alias("ts"))
-    old = d.where("ts % 3 > 0").select("path", "branch", F.sha2("content", 256).alias("version"), "ts")
-    return assets.commit(old, d.where("ts % 3 = 0"))
+    d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.col("text").alias("content"), F.col("doc_id").alias("ts"), "n_chars")
+    old = d.where("n_chars < 2000").select("path", "branch", F.sha2("content", 256).alias("version"), "ts")
+    return assets.commit(old, d.where("n_chars >= 2000"))
 
 
 @query("SELECT doc_id AS ts FROM documents WHERE NOT (starts_with(source || '/' || lang, 'src1') AND NOT contains(source || '/' || lang, 'en'))")
