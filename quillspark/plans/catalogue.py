@@ -281,9 +281,9 @@ def fixed_groups(read):
     return packing.fixed_groups(read("conversations"), "conv_id", ["turn"], 5).select("conv_id", "turn", "group_no")
 
 
-@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index FROM conversations")
 def chunk_index(read):
-    return packing.numbered(read("documents").select("source", "doc_id"), "source", ["doc_id"])
+    return packing.numbered(read("conversations").select("conv_id", "turn"), "conv_id", ["turn"])
 
 
 @query("""SELECT p_brand, '| name | size |' || chr(10) || '| ---- | ---- |' || chr(10) || string_agg('| ' || p_name || ' | ' || p_size || ' |', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand""")
@@ -381,9 +381,9 @@ def uniform_sampling(read):
     return n.select("user_id", F.posexplode(temporal.uniform_samples(F.lit(0), F.col("n"), 8)).alias("i", "frame")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) % 4 AS candidate FROM events")
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 4 AS candidate FROM events")
 def round_robin(read):
-    return registry.round_robin(read("events"), 4, ["ts", "event_id"], "event_type").select("event_id", "candidate")
+    return registry.round_robin(read("events"), 4, ["ts", "event_id"], "user_id").select("event_id", "candidate")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b")
@@ -1023,8 +1023,8 @@ def device_monitor(read):
 
 @query()
 def lru_trace(read):
-    rows = read("events").select("event_type", F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("key"), F.lit(1).cast("long").alias("bytes"))
-    return cache.lru_evictions(rows, "event_type", 5, 100)
+    rows = read("events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("key"), F.lit(1).cast("long").alias("bytes"))
+    return cache.lru_evictions(rows, "user_id", 3, 100)
 
 
 @query()
