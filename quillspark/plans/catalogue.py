@@ -1032,3 +1032,39 @@ def text_embedding(read):
     from quillspark.functions.models import embed
 
     return read("conversations").select("conv_id", "turn", F.transform(embed(F.col("text"), dim=64), lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    from quillspark.streaming import flow
+
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    reader = spark.readStream.schema(table.schema)
+    if table.inputFiles()[:1] and table.inputFiles()[0].endswith("/events.parquet"):  # one file: its folder is watched
+        return flow.event_time(reader.option("pathGlobFilter", "events.parquet").parquet(sf))
+    return flow.event_time(reader.parquet(f"{sf}/events.parquet"))
+
+
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as a stream that carries each of them twice; each comes out once."""
+    from quillspark.streaming import flow
+
+    twice = _event_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return flow.run_to_files(flow.distinct_messages(twice, "event_id").select("event_id", "user_id", "event_type"), "stream-dedup")
+
+
+def stream_fanin(spark: SparkSession, sf: str) -> DataFrame:
+    """The fan-in of views and clicks per user and day as a stateful stream."""
+    from quillspark.streaming import flow
+
+    e = _event_stream(spark, sf)
+    day = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
+    rows = e.select(day.alias("correlation_id"), F.col("event_type").alias("branch"), F.when(F.col("value") > 90, "failed").otherwise("ok").alias("status"), F.col("event_id").cast("string").alias("result"), "ts")
+    out = flow.run_to_files(flow.fan_in(rows, ("view", "click")), "stream-fanin").where("outcome <> 'timeout'")
+    return out.select(F.col("key").alias("correlation_id"), "errors")
+
+
+_QUERIES |= {"stream_dedup": stream_dedup, "stream_fanin": stream_fanin}
+_SQL |= {"stream_dedup": "SELECT event_id, user_id, event_type FROM events", "stream_fanin": _SQL["fanin_2"]}

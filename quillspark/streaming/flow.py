@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -131,3 +133,14 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """The rows that a stream appends over all input there is, as files in the folder that driver and executors share
+    (``spark.checkpoint.dir``; a local one where that is unset, as in tests)."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
