@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, sized_join, stored
-from .wordhash import fragment, gathered, grams, mix, scatter, slices, word_hashes
+from .wordhash import fragment, gathered, grams, mix, runs, scatter, slices, word_hashes
 
 #: The overlap of a pair is counted over 2**PAIR_BITS fragments.
 PAIR_BITS = 2
@@ -76,7 +76,7 @@ def _emit(k: int, fragments: int, percent: int | None):
     """Segments of each set to their fragments; with ``percent``, only the first n-grams of step 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype("i8")
             sets = list(shingle_sets(batch.column(1), k))
             size = np.array([len(s) for s in sets], "i8")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; one longer text is hashed alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _P = 0x9E3779B97F4A7C15
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, "u8"), "down": np.ones(1, "u8")}
@@ -88,6 +88,13 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
+def runs(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Batches cut into shorter ones, which bounds what a worker holds at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def planes(a: np.ndarray) -> bytes:
     """An integer array byte plane by byte plane, which the shuffle's codec packs well for ids."""
     return np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes()
