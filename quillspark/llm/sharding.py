@@ -1,12 +1,12 @@
 """Shards by extendible hashing, in DataFrame functions only.
 
-Every row has a 64-bit hash.  The directory is indexed by the leading bits of the hash; a bucket whose bytes
+Every row has a hash of its key and text, so a key of any number of rows still splits.  The directory is indexed by the leading bits of the hash; a bucket whose bytes
 exceed the limit is split on its next bit, all others stay as they are, until every shard fits.
 
 The bytes per prefix are counted once, on a prefix a few bits longer than an even spread needs; all splits
 up to that depth are decided from those counts by aggregates.  Buckets that are still too large are counted
 again on further bits, and only they.  A row above the limit by itself gets a shard of its own, marked
-oversized; so do rows that share all 64 bits (repeated rows are told apart by their key columns' hash only).
+oversized; so do rows that repeat both key and text and together exceed it.
 
 Nulls in the key or text: hashed as such, a null text has 0 bytes.  Empty tables give no shard.
 """
@@ -18,25 +18,40 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Bits counted beyond those an even spread needs, and bits added when a bucket is still too large.
 SPARE_BITS = 4
 DEEPEST = 62
+#: Depths summed at a time.
+STRIDE = 4
+
+
+def _levels(counts: DataFrame, low: int, high: int) -> DataFrame:
+    """(depth, prefix, bytes, n_rows) at every depth from low to high, from rows (p, bytes, n_rows) at depth high.  A few
+    depths are summed at a time and the next ones start from the shortest of them, so the work is a few times the counts."""
+    out, top = None, high
+    while True:
+        floor = max(low, top - STRIDE + 1)
+        spread = counts.select(F.explode(F.sequence(F.lit(floor), F.lit(top))).alias("depth"), "p", "bytes", "n_rows")
+        part = spread.groupBy("depth", F.expr(f"shiftright(p, {top} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
+        part = stored(part, "levels")
+        out = part if out is None else out.unionByName(part)
+        if floor == low:
+            return out
+        counts = part.where(F.col("depth") == floor).select(F.expr("shiftright(prefix, 1)").alias("p"), "bytes", "n_rows")
+        top = floor - 1
 
 
 def directory(rows: DataFrame, limit: int) -> DataFrame:
     """(depth, prefix, bytes, n_rows, oversized): the leaves of the directory for rows (h, bytes)."""
-    from .common import stored
-
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
     low, high = 0, min(DEEPEST, max(1, math.ceil(math.log2(max(total, 1) / limit + 1)) + SPARE_BITS))
-    leaves, left = None, rows.withColumn("at", F.lit(0).cast("long"))
+    leaves, left = None, rows
     while True:
         # bytes of the longest prefixes, then of every shorter one: a bucket is a leaf if it fits and its parent does not
         counts = left.groupBy(F.call_function("shiftright", F.col("h"), F.lit(DEEPEST - high)).alias("p")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
-        levels = counts.select(
-            F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "p", "bytes", "n_rows"
-        ).groupBy("depth", F.expr(f"shiftright(p, {high} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n_rows").alias("n_rows"))
-        levels = stored(levels, "levels")
+        levels = _levels(counts, low, high)
         parent = levels.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("up"), F.col("bytes").alias("parent_bytes"))
         node = levels.withColumn("up", F.expr("shiftright(prefix, 1)")).join(parent, ["depth", "up"], "left")
         leaf = node.where(((F.col("bytes") <= limit) | (F.col("n_rows") == 1) | (F.col("depth") == DEEPEST)) & (F.col("parent_bytes").isNull() | (F.col("parent_bytes") > limit)))
@@ -58,8 +73,8 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     """(key, bytes, shard, depth, shard_bytes, shard_rows, oversized) for every row; shard is the bit string of the
     directory's prefix.  The directory has as many rows as shards; it is joined on depth and prefix, one depth
     that occurs at a time found by a join on the shortest prefix, so its size is free."""
-    raw = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-    rows = raw.withColumn("h", F.call_function("shiftright", F.xxhash64("key"), F.lit(2)) + F.lit(2**61))
+    h = F.call_function("shiftright", F.xxhash64(F.col(key), F.col(text)), F.lit(2)) + F.lit(2**61)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), h.alias("h"))
     leaves = directory(rows.select("h", "bytes"), limit)
     depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # at most DEEPEST + 1 numbers
     spread = rows.select("*", F.explode(F.array(*[F.lit(d) for d in sorted(depths)] or [F.lit(0)])).alias("depth")).withColumn(
