@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Tokens of a window, pieces of a block (a block is packed by one task), words whose ids a worker remembers.
-CAPACITY, BLOCK, WORDS_KEPT = 4096, 1000, 700_000
+CAPACITY, BLOCK, WORDS_KEPT = 4096, 1000, 400_000
 END_ID = 2
 #: The vocabulary's own way to cut a word into what it merges (fixed value).
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -56,7 +56,9 @@ class WordIds(dict):
 
     def _part(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in part.encode()]))]
-        got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.parts) < WORDS_KEPT:
+            self.parts[part] = got
         return got
 
     def text(self, text: str) -> bytes:
@@ -69,7 +71,8 @@ class WordIds(dict):
         else:
             known = self.parts
             got = b"".join([known.get(p) or self._part(p) for p in self.cut.findall(unicodedata.normalize("NFC", word).lower())])
-        self[word] = got
+        if len(self) < WORDS_KEPT:
+            self[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
@@ -82,15 +85,10 @@ _loaded: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The vocabulary of this worker process; what it remembers is bounded."""
+    """The vocabulary of this worker process.  It remembers the first words it meets, common ones among them, up to a bound."""
     if path not in _loaded:
         _loaded[path] = WordIds(path)
-    w = _loaded[path]
-    if len(w) > WORDS_KEPT:
-        w.clear()
-    if len(w.parts) > WORDS_KEPT:
-        w.parts.clear()
-    return w
+    return _loaded[path]
 
 
 def _pieces(path: str, capacity: int):
