@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
-from .wordhash import fragment, gathered, grams, scatter, slices, word_hashes
+from .wordhash import fragment, gathered, grams, runs, scatter, slices, word_hashes
 
 #: Words of a phrase, and of the gram that anchors it.
 WIDTH, ANCHOR = 13, 6
@@ -50,7 +50,7 @@ def _phrases(data: np.ndarray, offsets: np.ndarray, width: int):
 
 def _anchors(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             ids, hashes, docs = batch.column(0).to_numpy(zero_copy_only=False), [], []
             for i, j, data, offsets in slices(batch.column(1)):
                 _, counts, _, owner, anchor = _phrases(data, offsets, width)
@@ -104,7 +104,7 @@ def _windows(width: int, n: int):
     """The phrases of each document whose anchor is shared, dealt to the blocks of the reference index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches):
             ids, found = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             parts: list[tuple] = []
             for i, j, data, offsets in slices(batch.column(1)):
