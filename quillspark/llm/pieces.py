@@ -1,6 +1,10 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search.
+"""SentencePiece encoding and decoding: merges in rank order, or a streaming Viterbi search, whichever the model asks for.
 
-The best segmentation (largest sum of piece scores) is searched character by character.  Only a window as long as
+Merge models (``Vocabulary.merges``): neighbours whose joint piece has the best score are joined, the leftmost of equal ones
+first, until no joint piece is left; ids are those of the library's encoder.  No merge reaches across two neighbouring characters that
+no piece holds side by side, so a text is cut there and its parts are encoded one after the other; a part is held as a whole.
+
+Other models: the best segmentation (largest sum of piece scores) is searched character by character.  Only a window as long as
 the longest piece is kept: a piece ending here started inside it.  When the backpointer paths of all positions
 that can still be extended pass one common boundary, everything before it is final, and its ids are committed.
 
@@ -10,14 +14,14 @@ library has it, and an equally good path that starts earlier wins.
 A vocabulary whose pieces never run from a character into the following white-space mark has such a common boundary
 before every word; ids of a word are then remembered, and the search runs for words not yet known.
 
-The vocabularies at hand hold merge ranks as scores.  For them this gives the segmentation of the largest score
-sum, which is not always the one that merging in rank order gives; decoding is exact for both.
+``Vocabulary.ids`` picks the method by the model's type; decoding is exact for both.
 
 Null texts encode to null; empty texts to no ids.  Every text without the mark itself decodes to what it was.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +43,7 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -57,6 +62,11 @@ class Vocabulary:
         # pieces end before a mark that follows another character, and none holds a line break
         self.by_word = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score)
         self.words: dict[str, tuple[int, ...]] = {}
+        spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).trainer_spec
+        self.merges = spec.model_type == spec.BPE
+        #: Characters that some piece holds side by side, and ids of words by merging.
+        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.merged: dict[str, tuple[int, ...]] = {}
 
     def prepared(self, text: str) -> str:
         """Marks for spaces, and one in front."""
@@ -160,6 +170,95 @@ class Vocabulary:
             out += got
         return out
 
+    def merge(self, text: str) -> tuple[int, ...]:
+        """The ids of a short part: the best pair of neighbours is joined, again and again."""
+        score, parts = self.score, list(text)
+        ranks = [got[0] if (got := score.get(a + b)) else -np.inf for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (top := max(ranks)) > -np.inf:
+            k = ranks.index(top)
+            parts[k] += parts.pop(k + 1)
+            ranks.pop(k)
+            if k:
+                ranks[k - 1] = got[0] if (got := score.get(parts[k - 1] + parts[k])) else -np.inf
+            if k < len(ranks):
+                ranks[k] = got[0] if (got := score.get(parts[k] + parts[k + 1])) else -np.inf
+        return tuple(self._piece_ids(parts))
+
+    def merge_long(self, text: str) -> list[int]:
+        """The same for a long part: pairs wait in a heap, and outdated ones are passed over."""
+        n, score, parts = len(text), self.score, list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def push(a: int, b: int) -> None:
+            if got := score.get(parts[a] + parts[b]):
+                heapq.heappush(heap, (-got[0], a, len(parts[a]) + len(parts[b])))
+
+        for k in range(n - 1):
+            push(k, k + 1)
+        while heap:
+            _, a, size = heapq.heappop(heap)
+            b = after[a]
+            if not parts[a] or b >= n or len(parts[a]) + len(parts[b]) != size:
+                continue
+            parts[a] += parts[b]
+            parts[b] = ""
+            after[a] = c = after[b]
+            if c < n:
+                before[c] = a
+                push(a, c)
+            if before[a] >= 0:
+                push(before[a], a)
+        return self._piece_ids([p for p in parts if p])
+
+    def _piece_ids(self, parts: list[str]) -> list[int]:
+        out: list[int] = []
+        unknown_before = False
+        for p in parts:
+            got = self.score.get(p)
+            if got:
+                out.append(got[1])
+            elif self.has_bytes:
+                out += [self.byte_id[b] for b in p.encode()]
+            elif not unknown_before:  # the library makes a run of unknown characters one id
+                out.append(self.unknown)
+            unknown_before = not got
+        return out
+
+    def merge_parts(self, word: str) -> Iterator[str]:
+        """A word cut where no piece holds both neighbours; without bytes, not between two unknown characters."""
+        start, pairs, score = 0, self.pairs, self.score
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in pairs and (self.has_bytes or word[k - 1] in score or word[k] in score):
+                yield word[start:k]
+                start = k
+        yield word[start:]
+
+    def merge_encode(self, text: str) -> list[int]:
+        prepared = self.prepared(text)
+        out: list[int] = []
+        known = self.merged
+        for w in _WORD.findall(prepared) if self.by_word and self.has_bytes else [prepared] if prepared else []:
+            got = known.get(w)
+            if got is None:
+                for part in [w] if len(w) <= WORD_CHARS else self.merge_parts(w):
+                    if len(part) > WORD_CHARS:
+                        out += self.merge_long(part)
+                        continue
+                    got = known.get(part)
+                    if got is None:
+                        got = self.merge(part)
+                        if len(known) < WORDS_KEPT:
+                            known[part] = got
+                    out += got
+            else:
+                out += got
+        return out
+
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text as the model's type has them."""
+        return self.merge_encode(text) if self.merges else self.encode(text)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and runs of byte pieces, marks as spaces, without the one in front."""
         raw = b"".join([self.raw[i] for i in ids])
@@ -174,8 +273,9 @@ _loaded: dict[str, Vocabulary] = {}
 def vocabulary(path: str) -> Vocabulary:
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
-    if len(_loaded[path].words) >= WORDS_KEPT:
-        _loaded[path].words.clear()
+    for kept in (_loaded[path].words, _loaded[path].merged):
+        if len(kept) >= WORDS_KEPT:
+            kept.clear()
     return _loaded[path]
 
 
@@ -184,7 +284,7 @@ def _encode(path: str):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 v = vocabulary(path)
-                ids = [None if t is None else v.encode(t) for t in batch.column(1).slice(lo, 500).to_pylist()]
+                ids = [None if t is None else v.ids(t) for t in batch.column(1).slice(lo, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -221,7 +321,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 v = vocabulary(path)
                 for t in batch.column(1).slice(lo, 500).to_pylist():
-                    ids = v.encode(t) if t is not None else []
+                    ids = v.ids(t) if t is not None else []
                     back = v.decode(ids)
                     n.append(len(ids))
                     crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))

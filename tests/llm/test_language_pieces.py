@@ -44,6 +44,21 @@ def test_stream_against_whole_search():
     assert len(list(v.stream(v.prepared("one two three " * 50)))) > 20  # committed on the way
 
 
+def test_ids_are_the_librarys(spark):
+    import sentencepiece
+
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Vocabulary(MODEL)
+    assert v.merges and sp.encode("und", out_type=str) == ["▁und"]
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    whole = [*ODD, "und", "das", "a▁b", "x▁", "▁▁▁", "<unk><0x41>", "漢字" * 400, "aé" * 90 + "\u200b\u0301", *(t for t in texts() if t), *(r["text"] for r in rows if r["text"])]
+    for t in whole:
+        want = sp.encode(t)
+        assert v.ids(t) == v.ids(t) == want
+        assert v.merge_long(v.prepared(t)[:150]) == list(v.merge(v.prepared(t)[:150]))
+    got = pieces.encode(frame(spark, list(enumerate(whole))), MODEL).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: sp.encode(t) for i, t in enumerate(whole)}
+
+
 def test_decoding_agrees_with_the_library():
     import sentencepiece
 
