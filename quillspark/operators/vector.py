@@ -61,12 +61,8 @@ def nearest(entries: DataFrame, queries: DataFrame, threshold: float, key: str =
 
     Queries and entries are dealt into blocks; a pair of blocks is one task that returns a row per query, so neither side is
     broadcast and no pair becomes a row."""
-    n_q, n_e = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-entries.count() // ENTRY_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     mark = F.lit("") if scope is None else F.col(scope).cast("string")
-    q = queries.select(query_key, F.col("qvec").cast("array<double>").alias("v"), mark.alias("s"), block(query_key, n_q).alias("b"), every(n_e).alias("p"))
-    e = entries.select(key, F.col(vec).cast("array<double>").alias("v"), mark.alias("s"), block(key, n_e).alias("p"), every(n_q).alias("b"))
+    q, e = _blocks(entries.withColumn("s", mark), queries.withColumn("s", mark), key, vec, query_key, ["s"], ["s"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lv, rv = _unit_rows(left.column("v")), _unit_rows(right.column("v"))
@@ -89,6 +85,48 @@ def nearest(entries: DataFrame, queries: DataFrame, threshold: float, key: str =
     return best.select(query_key, F.col("b.k").alias(key), F.col("b.score").alias("score"))
 
 
+def nearest_k(entries: DataFrame, queries: DataFrame, k: int, key: str = "id", vec: str = "vec", query_key: str = "query", keep: Sequence[str] = (), digits: int = 9) -> DataFrame:
+    """(query, key, kept columns, score): for each query row (query, qvec) its k nearest entries by cosine, rounded to ``digits`` so
+    that copies of a vector tie; of equal ones the smaller keys.  Blocks against blocks as in ``nearest``: a task returns at most k
+    rows per query."""
+    q, e = _blocks(entries, queries, key, vec, query_key, keep, ())
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lv, rv = _unit_rows(left.column("v")), _unit_rows(right.column("v"))
+        names = right.column(key).to_pylist()
+        order = np.array(sorted(range(len(names)), key=names.__getitem__), "i8")
+        at, to, top = [], [], []
+        if len(lv) and len(rv):
+            scores = np.round(lv @ rv[order].T, digits)
+            scores[np.isnan(scores)] = -np.inf
+            n = min(k, scores.shape[1])
+            least = np.partition(scores, -n, axis=1)[:, -n]
+            for i, row in enumerate(scores):
+                found = np.flatnonzero((row >= least[i]) & (row > -np.inf))
+                found = found[np.argsort(-row[found], kind="stable")][:k]
+                at += [i] * len(found)
+                to += order[found].tolist()
+                top += row[found].tolist()
+        a, b = pa.array(at, pa.int64()), pa.array(to, pa.int64())
+        return pa.table({query_key: left.column(query_key).take(a), **{c: right.column(c).take(b) for c in (key, *keep)}, "score": pa.array(top, pa.float64())})
+
+    kinds = dict(entries.dtypes)
+    fields = ", ".join([f"{query_key} {dict(queries.dtypes)[query_key]}", *(f"{c} {kinds[c]}" for c in (key, *keep)), "score double"])
+    found = q.groupBy("b", "p").cogroup(e.groupBy("b", "p")).applyInArrow(run, fields)
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def _blocks(entries: DataFrame, queries: DataFrame, key: str, vec: str, query_key: str, keep: Sequence[str], keep_query: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Queries and entries with their vectors as v, in every pair (b, p) of a block of queries and a block of entries."""
+    n_q, n_e = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-entries.count() // ENTRY_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(query_key, F.col("qvec").cast("array<double>").alias("v"), *keep_query, block(query_key, n_q).alias("b"), every(n_e).alias("p"))
+    e = entries.select(key, F.col(vec).cast("array<double>").alias("v"), *keep, block(key, n_e).alias("p"), every(n_q).alias("b"))
+    return q, e
+
+
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows of length 1; those that are null, zero or of another length than the first have no score."""
     rows = column.to_pylist()

@@ -46,9 +46,9 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _points(read) -> DataFrame:
-    """Embeddings with the payload of the document of the same id."""
+    """All embeddings, with the payload of the document of the same id where there is one."""
     docs = read("documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", F.concat("lang", F.lit("_"), "source").alias("filename"))
-    e = read("embeddings").join(docs, "vec_id")
+    e = read("embeddings").join(docs, "vec_id", "left")
     return e.select(F.col("vec_id").alias("id"), F.lit("document").alias("type"), F.when(F.col("label") % 2 == 0, "text").otherwise("summary").alias("embedding_type"), F.when(F.col("label") < 9, "active").otherwise("inactive").alias("status"), "filename", "source", F.col("lang").alias("speaker"), F.col("embedding").alias("vec"))
 
 
@@ -81,6 +81,40 @@ def topk_in_list(read):
     return _top(read, vector.metadata_filter("text", "document", ["en_src1", "en_src2", "de_src3"], speaker=["en", "de"]))
 
 
+_ALL_TOP = """WITH points AS (
+  SELECT e.vec_id AS id, 'document' AS type, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'summary' END AS embedding_type,
+         CASE WHEN label < 9 THEN 'active' ELSE 'inactive' END AS status, lang || '_' || source AS filename, source, lang AS speaker, embedding AS vec
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
+q AS (SELECT vec_id AS query, embedding AS qvec FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query, id, filename, source, round(list_cosine_similarity(vec::DOUBLE[], qvec::DOUBLE[]), 9) AS score FROM points, q WHERE status = 'active' AND embedding_type = 'text' {})
+SELECT query, id, filename, source, round(score, 6) AS score FROM s WHERE score IS NOT NULL AND NOT isnan(score)
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5"""
+
+
+def _all_top(read, condition) -> DataFrame:
+    q = read("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
+    found = vector.nearest_k(_points(read).where(condition), q, 5, keep=["filename", "source"])
+    return found.select("query", "id", "filename", "source", F.round("score", 6).alias("score"))
+
+
+@query(_ALL_TOP.format(""))
+def topk_all(read):
+    """Every vector of an id divisible by 100 against all active text points, with or without a document."""
+    return _all_top(read, vector.metadata_filter("text"))
+
+
+@query(_ALL_TOP.format("AND source = 'src1'"))
+def filtered_topk_all(read):
+    """The search of filtered_topk for every vector of an id divisible by 100."""
+    return _all_top(read, vector.metadata_filter("text", source="src1"))
+
+
+@query(_ALL_TOP.format("AND filename IN ('en_src1', 'en_src2', 'de_src3') AND speaker IN ('en', 'de') AND type = 'document'"))
+def topk_in_list_all(read):
+    """The search of topk_in_list for every vector of an id divisible by 100."""
+    return _all_top(read, vector.metadata_filter("text", "document", ["en_src1", "en_src2", "de_src3"], speaker=["en", "de"]))
+
+
 @query(f"WITH {_POINTS} SELECT source, count(*) AS n FROM points WHERE source IS NOT NULL AND source <> '' GROUP BY source")
 def collection_stats(read):
     return vector.collection_stats(_points(read), "source")

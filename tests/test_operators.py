@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import assets, cache, envelopes, packing, registry, summarize, temporal, vector
+from quillspark.plans import catalogue
 
 
 def greedy(weights, limit, joiner):
@@ -204,6 +206,33 @@ def test_vectors(spark):
     assert ids(embedding_type="text", speaker=["bob"]) == ["2"]
 
 
+def test_nearest_k_for_every_query(spark):
+    rng = np.random.default_rng(3)
+    e = [(i, f"f{i}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    e += [(100 + i, "copy", e[7][2]) for i in range(8)] + [(200, "null", None), (201, "zero", [0.0] * 6)]
+    q = [(f"q{i}", e[i][2]) for i in (3, 7, 11)] + [("none", None), ("zero", [0.0] * 6)]
+    entries, queries = spark.createDataFrame(e, "id long, name string, vec array<float>"), spark.createDataFrame(q, "query string, qvec array<float>")
+    unit = lambda v: np.array(v, "f4").astype("f8") / np.linalg.norm(np.array(v, "f4").astype("f8"))
+    want = {n: sorted((-round(float(unit(v) @ unit(x)), 9), i, name) for i, name, x in e if x and any(x))[:5] for n, v in q[:3]}
+    for blocks in ((1024, 8192), (2, 20)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(vector, "QUERY_BLOCK", blocks[0])
+            m.setattr(vector, "ENTRY_BLOCK", blocks[1])
+            got = vector.nearest_k(entries, queries, 5, keep=["name"]).collect()
+        for n in want:
+            assert sorted((-r["score"], r["id"], r["name"]) for r in got if r["query"] == n) == want[n]
+        assert {r["query"] for r in got} == set(want)
+
+
+def test_searches_take_every_query(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0 and embedding is not null").collect()}
+    for name in ("topk_all", "filtered_topk_all", "topk_in_list_all"):
+        assert {r["query"] for r in catalogue.queries()[name](spark, sf).collect()} == ids
+    without = catalogue.queries()["topk_all"](spark, sf).where("source is null")
+    assert without.count() > 0
+
+
 def test_cache(spark):
     now = F.lit(10)
     c = spark.createDataFrame([("a", "old", 5, [1.0, 0.0], "s"), ("b", "live", 20, [1.0, 0.0], "s"), ("c", "other", 20, [1.0, 0.0], "z")], "key string, value string, expires_at int, vec array<double>, scope string")
