@@ -1095,8 +1095,8 @@ def stream_fanin(spark: SparkSession, sf: str) -> DataFrame:
 
     e = _event_stream(spark, sf)
     day = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
-    rows = e.select(day.alias("correlation_id"), F.col("event_type").alias("branch"), F.when(F.col("value") > 90, "failed").otherwise("ok").alias("status"), F.col("event_id").cast("string").alias("result"), "ts")
-    out = flow.run_to_files(flow.fan_in(rows, ("view", "click")), "stream-fanin").where("outcome <> 'timeout'")
+    rows = e.select(day.alias("correlation_id"), F.col("event_type").alias("branch"), F.when(F.col("value") > 90, "failed").otherwise("ok").alias("status"), F.col("event_id").cast("string").alias("result"), "ts", "event_id")
+    out = flow.run_to_files(flow.fan_in(rows, ("view", "click"), order="event_id"), "stream-fanin").where("outcome <> 'timeout'")
     return out.select(F.col("key").alias("correlation_id"), "errors")
 
 

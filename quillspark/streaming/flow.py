@@ -33,19 +33,22 @@ def distinct_messages(df: DataFrame, key: str = "message_id") -> DataFrame:
     return df.dropDuplicatesWithinWatermark([key])
 
 
-def fan_in(results: DataFrame, branches: Sequence[str], timeout_seconds: int = TASK_SECONDS, key: str = "correlation_id") -> DataFrame:
+def fan_in(results: DataFrame, branches: Sequence[str], timeout_seconds: int = TASK_SECONDS, key: str = "correlation_id", order: str | None = None) -> DataFrame:
     """(key, outcome, errors, results): one row per key, when all branches have answered or the time is up.
 
-    Input: (key, branch, status, result, ts) with a watermark on ts.  The state holds the first answer of each branch, so
-    repeated messages change nothing, and a finished key answers once only.  error and failed both count as failures."""
+    Input: (key, branch, status, result, ts) with a watermark on ts.  The state holds the earliest answer of each branch by
+    (ts, order), order being a column of whole numbers if given, whichever chunk of rows brings it before the key is finished; so repeated
+    messages change nothing, and a finished key answers once only.  error and failed both count as failures."""
     wanted = tuple(branches)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         got: dict[str, tuple[str, str]] = {}
+        when: dict[str, tuple[int, int]] = {}
         done = False
         if state.exists:
-            names, statuses, texts, done = state.get
+            names, statuses, texts, times, orders, done = state.get
             got = {n: (s, t) for n, s, t in zip(names, statuses, texts, strict=True)}
+            when = {n: (int(t), int(o)) for n, t, o in zip(names, times, orders, strict=True)}
         if state.hasTimedOut:
             if not done:
                 missing = ",".join(b for b in wanted if b not in got)
@@ -54,22 +57,28 @@ def fan_in(results: DataFrame, branches: Sequence[str], timeout_seconds: int = T
             return
         last = 0
         for df in batches:
-            for r in df.sort_values(["ts", "branch"]).itertuples(index=False):
-                last = max(last, int(r.ts.timestamp() * 1000))
-                if r.branch in wanted:
-                    got.setdefault(r.branch, (r.status, r.result))
+            orders = [0] * len(df) if order is None else df[order].tolist()
+            for branch, status, text, ts, o in zip(df["branch"], df["status"], df["result"], df["ts"], orders, strict=True):
+                last = max(last, int(ts.timestamp() * 1000))
+                at = (_micros(ts), int(o))
+                if branch in wanted and not done and (branch not in got or at < when[branch]):
+                    got[branch], when[branch] = (status, text), at
         if not done and all(b in got for b in wanted):
             errors = "; ".join(f"{b}: {got[b][1]}" for b in wanted if got[b][0] in ("error", "failed"))
             yield pd.DataFrame({"key": [k[0]], "outcome": ["failed" if errors else "complete"], "errors": [errors], "results": [_texts(got, wanted)]})
             done = True
-        state.update((list(got), [s for s, _ in got.values()], [t for _, t in got.values()], done))
+        state.update((list(got), [s for s, _ in got.values()], [t for _, t in got.values()], [when[b][0] for b in got], [when[b][1] for b in got], done))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * (STATE_SECONDS if done else timeout_seconds))
 
     return results.groupBy(key).applyInPandasWithState(
-        run, "key string, outcome string, errors string, results array<string>", "names array<string>, statuses array<string>, texts array<string>, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+        run, "key string, outcome string, errors string, results array<string>", "names array<string>, statuses array<string>, texts array<string>, times array<long>, orders array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def _micros(ts: pd.Timestamp) -> int:
+    return ts.as_unit("ns").value // 1000
+
+
 def _texts(got: dict[str, tuple[str, str]], wanted: Sequence[str]) -> list[str | None]:
     return [got[b][1] if b in got else None for b in wanted]
 

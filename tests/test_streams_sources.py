@@ -18,6 +18,21 @@ def _stream(spark, tmp_path, name, batches, schema):
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
+def test_fan_in_keeps_the_earliest_answer_of_all_chunks(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "correlation_id string, branch string, status string, result string, ts timestamp, id long"
+    rows = [("k", b, "failed" if i == 0 else "ok", f"{b}{i}", at(100 + max(i, 1)), i) for i in range(20, -1, -1) for b in ("ocr", "description")]
+    s = _stream(spark, tmp_path, "chunks", [rows, [("k", "ocr", "ok", "later", at(0), -1)]], schema).withWatermark("ts", "10 minutes")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = flow.run_once(flow.fan_in(s, ("description", "ocr"), order="id"), "fan_in_chunks", str(tmp_path / "ckc")).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert [(r["outcome"], r["errors"], r["results"]) for r in got if r["key"] == "k"] == [("failed", "description: description0; ocr: ocr0", ["description0", "ocr0"])]
+
+
 def test_fan_in(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     schema = "correlation_id string, branch string, status string, result string, ts timestamp"
