@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +16,30 @@ from quillspark.functions.text import estimated_tokens, shortened
 Summariser = Callable[[Column], Column]
 
 
-def first_sentences(texts: Column, width: int = 60) -> Column:
-    """Default summariser, deterministic and offline: the beginning of every text."""
-    return F.array_join(F.transform(texts, lambda t: F.trim(F.substring(t, 1, width))), " / ")
+#: A sentence ends after a full stop, question or exclamation mark before white space, after a wide mark, or with its line.
+_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？；])\s*|[\n\r]+")
+_TOKEN = re.compile(r"\w+")
 
 
-def layered_summary(chunks: DataFrame, key: str, order: str, text: str, summarise: Summariser = first_sentences, group: int = 5, width: int = 4, budget: int = 4800) -> DataFrame:
+def key_sentences(texts: list[str | None] | None) -> str:
+    """The best third of the sentences of all texts (at least one), in order, a line each.  A sentence is as good as its words are frequent
+    in all texts together, on average over its distinct words; of equal ones the earlier is kept, and a repeated one counts once."""
+    sentences = list(dict.fromkeys(p for t in texts or () if t for s in _END.split(t) if (p := s.strip())))
+    counts = Counter(w for t in texts or () if t for w in _TOKEN.findall(t.lower()))
+    score = []
+    for s in sentences:
+        words = set(_TOKEN.findall(s.lower()))
+        score.append(sum(counts[w] for w in words) / len(words) if words else 0.0)
+    best = sorted(range(len(sentences)), key=lambda i: (-score[i], i))[: -(-len(sentences) // 3)]
+    return "\n".join(sentences[i] for i in sorted(best))
+
+
+def frequent_sentences(texts: Column) -> Column:
+    """Default summariser, deterministic and offline: ``key_sentences`` of the whole texts."""
+    return F.udf(key_sentences, "string")(texts)
+
+
+def layered_summary(chunks: DataFrame, key: str, order: str, text: str, summarise: Summariser = frequent_sentences, group: int = 5, width: int = 4, budget: int = 4800) -> DataFrame:
     """(key, summary, layers).  One chunk is its own summary.  All keys go through a layer together, so there are as many
     passes as the longest document has layers, each a group-by on (key, group); a layer's rows are at most a fourth of the last."""
     w = Window.partitionBy(key).orderBy(order)
@@ -30,23 +51,37 @@ def layered_summary(chunks: DataFrame, key: str, order: str, text: str, summaris
         open_ = (F.col("_n") > 1) & ((F.col("layers") == 0) | (F.col("_t") > budget))
         groups = counted.where(open_).groupBy(key, F.floor(F.col("pos") / size).alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("r"), F.max("layers").alias("layers"))
         made = groups.select(key, F.col("g").cast("int").alias("pos"), summarise(F.transform("r", lambda x: x.text)).alias("text"), (F.col("layers") + 1).alias("layers"))
-        level = made.unionByName(counted.where(~open_).select(key, "pos", "text", "layers"))
+        level = made.unionByName(counted.where(~open_).select(key, "pos", "text", "layers")).persist()  # read twice by the next layer
         items, size = -(-items // size), width
     last = level.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("r"), F.max("layers").alias("layers"))
     texts = F.transform("r", lambda x: x.text)
     return last.select(key, F.when(F.size("r") > 1, summarise(texts)).otherwise(F.element_at(texts, 1)).alias("summary"), F.when(F.size("r") > 1, F.col("layers") + 1).otherwise(F.col("layers")).alias("layers"))
 
 
-def batch_summary(lines: DataFrame, key: str, order: str, text: str, summarise: Summariser = first_sentences, limit: int = 1600) -> DataFrame:
-    """(key, summary, n_batches): lines batched within the token limit, each batch summarised, then all of them."""
+def batch_summary(lines: DataFrame, key: str, order: str, text: str, summarise: Summariser = frequent_sentences, limit: int = 1600) -> DataFrame:
+    """(key, summary, n_batches): lines batched within the token limit, each batch summarised, and the summaries batched again
+    while they exceed the limit together; then one summary of all that are left.  n_batches counts the first round's.  A key whose
+    tokens a round didn't lessen goes to the final summary as it is.  All keys go through a round together, a group-by each."""
     from quillspark.operators.packing import packed
 
+    tokens = lambda items: F.aggregate(F.transform(items, estimated_tokens), F.lit(0).cast("long"), lambda n, t: n + F.coalesce(t, F.lit(0)))
+
+    def batched(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("weights", F.transform("items", estimated_tokens)).withColumn("before", tokens(F.col("items")))
+        parts = packed(rows, [key, "n_batches", "before"], "items", "weights", limit, "\n").select(key, "n_batches", "before", "chunk_index", summarise(F.array("text")).alias("text"))
+        made = parts.groupBy(key).agg(F.first("n_batches").alias("n"), F.first("before").alias("before"), F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
+        made = made.select(key, F.coalesce("n", F.size("p").cast("long")).alias("n_batches"), F.transform("p", lambda x: x.text).alias("items"), "before")
+        after = tokens(F.col("items"))
+        return made.select(key, "n_batches", "items", ((F.size("items") > 1) & (after > limit) & (after < F.col("before"))).alias("open")).persist()
+
     rows = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("l"))
-    rows = rows.select(key, F.transform("l", lambda x: x.t).alias("items")).withColumn("weights", F.transform("items", estimated_tokens))
-    parts = packed(rows, [key], "items", "weights", limit, "\n").select(key, "chunk_index", summarise(F.array("text")).alias("text"))
-    done = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("p"))
-    texts = F.transform("p", lambda x: x.text)
-    return done.select(key, F.when(F.size("p") > 1, summarise(texts)).otherwise(F.element_at(texts, 1)).alias("summary"), F.size("p").cast("long").alias("n_batches"))
+    level = batched(rows.select(key, F.transform("l", lambda x: x.t).alias("items"), F.lit(None).cast("long").alias("n_batches")))
+    closed = [level.where("not open")]
+    while not level.where("open").isEmpty():
+        level = batched(level.where("open").drop("open"))
+        closed.append(level.where("not open"))
+    done = reduce(DataFrame.unionByName, closed)
+    return done.select(key, F.when(F.size("items") > 1, summarise(F.col("items"))).otherwise(F.element_at("items", 1)).alias("summary"), "n_batches")
 
 
 def fused_prompt(scene_text: Column, transcript: Column, event: Column, limit: int = 1600) -> Column:

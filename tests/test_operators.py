@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import estimated_tokens
 from quillspark.operators import assets, cache, envelopes, packing, registry, summarize, temporal, vector
 from quillspark.plans import catalogue
 
@@ -247,6 +248,36 @@ def test_cache(spark):
     assert got == [(False, ""), (False, ""), (True, ""), (False, "b"), (False, "a"), (False, "c,b")]
 
 
+def test_summaries_read_whole_texts(spark):
+    talk = "Alpha beta gamma. "
+    rows = [(1, i, "x" * 70 + f"{i}. Nothing{i} else{i}. " + ("The launch of the rocket, the launch is late." if i in (3, 6) else f"Some{i}.")) for i in range(8)]
+    rows += [(2, i, talk * 3 + f"Word{i} other{i}.") for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, i int, t string")
+    got = {r["k"]: r["summary"] for r in summarize.layered_summary(df, "k", "i", "t").collect()}
+    assert "rocket" in got[1] and "Alpha" in got[2]  # turns 3 and 6, after 60 characters
+    batches = {r["k"]: r for r in summarize.batch_summary(df, "k", "i", "t", limit=120).collect()}
+    assert "rocket" in batches[1]["summary"]
+    # with a summariser that keeps every second word, summaries are batched until they fit
+    half = lambda ts: " ".join([w for t in ts if t for w in t.split()][::2])
+    calls = [(7, i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(64)] + [(8, 0, "just one"), (9, 0, None)]
+    many = spark.createDataFrame(calls, "k int, i int, t string")
+    out = {r["k"]: (r["summary"], r["n_batches"]) for r in summarize.batch_summary(many, "k", "i", "t", summarise=F.udf(half, "string"), limit=60).collect()}
+
+    def tokens(t):
+        return spark.range(1).select(estimated_tokens(F.lit(t))).first()[0]
+
+    items, n = [c[2] for c in calls[:64]], None
+    while True:
+        weight = [tokens(t) for t in items]
+        at = iter(items)
+        made = [half([next(at) for _ in g]) for g in greedy(weight, 60, 0)]
+        n, before, after, items = n or len(made), sum(weight), sum(map(tokens, made)), made
+        if len(items) == 1 or after <= 60 or after >= before:
+            break
+    want = items[0] if len(items) == 1 else half(items)
+    assert out[7] == (want, n) and out[8] == ("just", 1) and set(out) == {7, 8, 9}
+
+
 def test_summaries(spark):
     rows = [(k, i, f"t{i} " * 5) for k, n in ((1, 1), (2, 5), (3, 23), (4, 0)) for i in range(n)]
     got = {r["k"]: (r["layers"], r["summary"]) for r in summarize.layered_summary(spark.createDataFrame(rows, "k int, i int, t string"), "k", "i", "t").collect()}
