@@ -1,9 +1,8 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by an index of all phrases of ``width`` words.
 
-Every document is parsed against all documents of smaller id as reference: a factor starts where a phrase of
-``width`` words stands in the reference and grows, greedily, word by word while the next phrase does too.
-Phrases that straddle the end of one factor and the start of the next are looked up as well, so the words of
-all factors together are exactly the words of all repeated phrases.
+A phrase of a document is repeated if a document of smaller id has it.  Every phrase is looked up, and repeated ones that overlap
+or touch are merged into one span, so the words of all spans together are exactly the words of all repeated phrases.  This is
+no relative Lempel-Ziv parse: spans have no source, and one may join phrases of several documents.
 
 The reference is an index in blocks by phrase hash.  So that not every phrase of the corpus has to be moved,
 each phrase has an anchor, the smallest hash among the ANCHOR-word grams in it: equal phrases have equal
@@ -147,8 +146,8 @@ def _repeated(n: int):
 
 
 def factors(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Starts of repeated phrases, sorted → factors (first word, end word), greedily extended and merged where
-    phrases across a boundary join them."""
+    """Starts of repeated phrases, sorted → spans (first word, end word), phrases that overlap or touch being
+    merged."""
     if not len(starts):
         return []
     gap = np.flatnonzero(starts[1:] > starts[:-1] + width)
@@ -199,7 +198,7 @@ def _strip(width: int, texts_too: bool):
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept_text) for every row of ``docs``; spans are the
-    factors removed, in words, end exclusive; kept_text only if ``texts``."""
+    runs of words removed, end exclusive; kept_text only if ``texts``."""
     found = repeated_starts(docs, width)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     joined = rows.join(found.hint("merge"), "doc_id", "left").select("doc_id", "text", "found")
