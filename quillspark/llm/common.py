@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +16,28 @@ BROADCAST_BYTES = 24 << 20
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or a fresh
-    local folder where the setting is unset (tests on one machine)."""
+    local folder where the setting is unset and everything runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
-_written: list[str] = []
+#: Tables written per session.
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Delete the tables that this session's operators wrote, once their results have been saved elsewhere."""
+def clear_stored(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that this session's operators wrote (but for the first ``keep``), once what was made of them
+    has been saved elsewhere."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    paths = _written.get(spark, [])
+    while len(paths) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -39,12 +46,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what came before."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(df.sparkSession, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
+    """(docs with a number of its own for each row, the number's column, whether it is the id).  The id is that number where
+    none is null or repeats; otherwise the numbered rows are stored, so that they keep their numbers."""
+    name = free_name(docs, "row")
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("k")).first()
+    if size["n"] == size["k"]:
+        return docs.withColumn(name, F.col(id_col).cast("long")), name, True
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name, False
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int | None = None, blob: str | None = None) -> DataFrame:

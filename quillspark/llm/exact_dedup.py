@@ -9,7 +9,8 @@ Identifiers are 64-bit chunk hashes that the dictionary verifies: chunks whose h
 contents are named by the whole chunk's SHA-256 instead, so no two contents share an identifier.
 
 Nulls count as empty texts; all texts of nothing but white space are equal.  Rows with a null id take part as
-any other row and sort before all ids.  Repeated rows form one group.  Extra columns are carried along.
+any other row and sort before all ids.  Repeated rows form one group.  Empty tables give no rows.  Extra columns are
+carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,42 +41,48 @@ def chunk_dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(F.xxhash64("chunk").alias("hash"), "chunk").distinct()
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_chars, text_sha256, recipe): the verified identifier list of each row."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """(id, n_chars, text_sha256, recipe): the verified identifier list of each row; ``more`` columns go with it."""
     shared = chunk_dictionary(docs, text).groupBy("hash").count().where("count > 1")
     clashes = shared.agg(F.collect_set("hash").alias("h")).scalar()
     name = lambda c: F.when(F.array_contains(F.col("clashes"), F.xxhash64(c)), F.sha2(c, 256)).otherwise(F.hex(F.xxhash64(c)))
-    return (
-        docs.select(F.col(id_col).alias("id"), F.col(text).alias("_t"), _normal(F.col(text)).alias("_n"))
-        .withColumn("clashes", clashes)
-        .select(
-            "id",
-            F.length(F.coalesce("_t", F.lit(""))).cast("long").alias("n_chars"),
-            F.sha2("_n", 256).alias("text_sha256"),
-            F.array_join(F.transform(chunks(F.col("_n")), name), ",").alias("recipe"),
-        )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("_t"), _normal(F.col(text)).alias("_n"), *more)
+    return rows.withColumn("clashes", clashes).select(
+        "id",
+        F.length(F.coalesce("_t", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2("_n", 256).alias("text_sha256"),
+        F.array_join(F.transform(chunks(F.col("_n")), name), ",").alias("recipe"),
+        *rows.columns[3:],
     )
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: id, keep_id (most code points, then smallest id), group_size, kept, text_sha256.
-
-    Groups are made by an aggregate with map-side combine, and a join back that adaptive execution splits, so
-    one group may hold any share of the rows."""
+def _groups(docs: DataFrame, id_col: str, text: str, row: str) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256, row, keep_row); the first row of those with the id that stays is the one."""
     from .common import stored
 
-    made = stored(recipes(docs, id_col, text), "recipes")
-    order = F.struct(F.col("n_chars"), (-F.coalesce("id", F.lit(-(2**62)))).alias("neg"))
+    made = stored(recipes(docs, id_col, text, F.col(row).alias("row")), "recipes")
+    order = F.struct(F.col("n_chars"), F.col("id").isNull().alias("null"), (-F.col("id")).alias("id"), (-F.col("row")).alias("row"))
     best = made.groupBy("recipe").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
     # a table of its own, so that the join has a shuffle on both sides and can split a hot recipe
-    best = best.select("recipe", "group_size", F.when(F.col("best.neg") == 2**62, None).otherwise(-F.col("best.neg")).alias("keep_id"))
+    best = best.select("recipe", "group_size", (-F.col("best.id")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
     return made.join(stored(best, "groups"), "recipe").select(
-        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row", "keep_row"
     )
 
 
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: id, keep_id (most code points, then smallest id), group_size, kept, text_sha256.  Rows that
+    repeat the id that stays are all marked kept.
+
+    Groups are made by an aggregate with map-side combine, and a join back that adaptive execution splits, so
+    one group may hold any share of the rows."""
+    return _groups(docs.select(id_col, text), id_col, text, id_col).drop("row", "keep_row")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all their columns.  Ids should be unique: rows that repeat the id of the row
-    that stays stay with it."""
-    stay = duplicate_groups(docs, id_col, text).where("kept").select(F.col("id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    """One row of each group of equal texts, all its columns; also of rows that repeat their id."""
+    from .common import numbered
+
+    every, row, _ = numbered(docs, id_col)
+    stay = _groups(every.select(id_col, text, row), id_col, text, row).where("row = keep_row").select(F.col("row").alias(row))
+    return every.join(stay, row, "left_semi").select(*docs.columns)

@@ -1,21 +1,28 @@
-"""Words of many texts at once as 64-bit hashes, in numpy: the inner loop of the n-gram and substring operators.
+"""Words of many texts at once as 128-bit hashes: the inner loop of the n-gram and substring operators.
 
-A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; these separators are ASCII, so UTF-8 texts
-can be cut bytewise.  A word's hash comes from a polynomial prefix sum over the bytes, mixed with its length.
+A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; these separators are ASCII, so UTF-8 texts can be cut
+bytewise.  A word's hash is the 128-bit XXH3 of its bytes, taken as two 64-bit lanes; a run of words has a polynomial of
+its words' hashes in each lane, so different runs share both lanes with a chance of about 2**-118 a pair.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-
-#: Bytes of text hashed at once; one longer text is hashed alone.
-SLICE_BYTES = 512 << 10
-_P = 0x9E3779B97F4A7C15
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
+
+#: Bytes of text a worker hashes at once (one longer text is taken alone), and bytes of it split into words at once.
+RUN_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+#: Bytes that a group of one hash range should hold, and tasks that an exchange has at most.
+GROUP_BYTES, MOST_TASKS = 16 << 20, 1 << 15
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, "u8"), "down": np.ones(1, "u8")}
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,71 +35,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        inverse = pow(_P, -1, 1 << 64)
-        for name, base in (("up", _P), ("down", inverse)):
-            steps = np.full(n, base, "u8")
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype="u8")
-    return _powers["up"], _powers["down"]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts in order, word counts per text).  Text i is data[offsets[i]:offsets[i+1]]."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, "u8"), np.zeros(len(offsets) - 1, "i8")
-    if lower:
-        data = data + ((data >= 65) & (data <= 90)).astype("u1") * np.uint8(32)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | cut[1:n]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | cut[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _power(n)
-    total = np.cumsum((data.astype("u8") + np.uint64(1)) * up[:n], dtype="u8")
-    h = total[ends] - np.where(starts > 0, total[np.maximum(starts, 1) - 1], np.uint64(0))
-    h *= down[starts]
-    h ^= (ends - starts).astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix(h), np.diff(np.searchsorted(starts, offsets))
-
-
-def grams(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hash of every k consecutive words, also across texts: the caller keeps those inside one text."""
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text in runs of about SLICE_BYTES, cut at white space."""
+    at = 0
+    while at < len(text):
+        if len(text) - at <= SLICE_BYTES:
+            end = len(text)
+        else:
+            m = _SPACE.search(text, at + SLICE_BYTES)
+            end = m.start() if m else len(text)
+        yield text[at:end] if at or end < len(text) else text
+        at = end
+
+
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first lane, second lane of each word of all texts in order, word counts per text)."""
+    got, counts = [], np.zeros(len(texts), "i8")
+    for i, text in enumerate(texts.cast(pa.large_string()).cast(pa.large_binary())):
+        for part in parts(text.as_py() or b""):
+            words = (part.lower() if lower else part).split()
+            counts[i] += len(words)
+            got.append(b"".join(map(xxh3_128_digest, words)))
+    h = np.frombuffer(b"".join(got), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), counts
+
+
+def grams(words: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """One lane's hash of every k consecutive words, also across texts: the caller keeps those inside one text."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, "u8")
     h = words[:n].copy()
     for j in range(1, k):
-        h *= np.uint64(_Q[salt])
+        h *= np.uint64(_Q[lane])
         h += words[j : j + n]
     h ^= np.uint64(k)
     return mix(h)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a column of texts into runs (first row, end row, bytes, offsets from 0) of at most SLICE_BYTES, or one text."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offs, data = texts.buffers()
-    offsets = np.frombuffer(offs, "i8")[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, "u1") if data is not None else np.zeros(0, "u1")
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
-        j = min(j, len(texts))
-        yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
+def order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order that sorts the 128-bit values (a, b): that of a, unless two values share a alone."""
+    by = np.argsort(a, kind="stable")
+    x, y = a[by], b[by]
+    return np.lexsort((b, a)) if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any() else by
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted columns: where a new combination of values starts."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def edges(new: np.ndarray) -> np.ndarray:
+    """Where the runs marked by ``firsts`` start, and where the last ends."""
+    return np.append(np.flatnonzero(new), len(new))
 
 
-def runs(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Batches cut into shorter ones, which bounds what a worker holds at once."""
+def runs(batches: Iterator[pa.RecordBatch], column: int, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into shorter ones of at most ``size`` bytes of text, or one row: what a worker holds at once."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype="i8")
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + size, "right"))
+            hi = max(lo + 1, hi)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -109,22 +121,53 @@ def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatc
     """One row per bucket: (bucket, a blob for each column)."""
     if not len(bucket):
         return None
-    order = np.argsort(bucket.astype("u4"), kind="stable")
-    got = bucket[order]
-    edge = np.flatnonzero(np.concatenate(([True], got[1:] != got[:-1], [True])))
+    by = np.argsort(bucket, kind="stable")
+    got = bucket[by]
+    edge = edges(firsts(got))
     out = {"bucket": pa.array(got[edge[:-1]].astype("i8"))}
     for name, a in columns.items():
-        a = a[order]
+        a = a[by]
         out[name] = pa.array([planes(a[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
 def gathered(table: pa.Table, name: str, kind: str) -> np.ndarray:
     """The blobs of a column put together again."""
-    parts = [unplane(b, kind) for b in table.column(name).to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+    got = [unplane(b, kind) for b in table.column(name).to_pylist()]
+    return np.concatenate(got) if got else np.zeros(0, kind)
+
+
+def blobs(names: list[str]) -> tuple[pa.Schema, str]:
+    """The schema of rows (bucket, a blob per name), for Arrow and for Spark."""
+    return pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in names)]), ", ".join(["bucket long", *(f"{n} binary" for n in names)])
+
+
+def table(got: pa.RecordBatch | None, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([] if got is None else [got.select(schema.names)], schema=schema)
 
 
 def fragment(h: np.ndarray, n: int) -> np.ndarray:
     """Which of n contiguous ranges of the 64-bit order a hash lies in."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype("i8")
+
+
+def dealt(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of n groups a row number belongs to."""
+    return (mix(h.astype("u8")) % np.uint64(n)).astype("i8")
+
+
+def ranges(size: int) -> int:
+    """How many hash ranges keep a group of ``size`` measured bytes in all near GROUP_BYTES."""
+    return max(1, -(-int(size) // GROUP_BYTES))
+
+
+def by_bucket(df: DataFrame, n: int):
+    """Rows grouped by bucket, in as many tasks as there are groups where the session's own number is less."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df if n <= usual else df.repartition(min(n, max(usual, MOST_TASKS)), "bucket")
+    return spread.groupBy("bucket")
+
+
+def text_bytes(rows: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, measured."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]

@@ -2,9 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, sharding, substring
+from quillspark.llm import exact_dedup, sharding, substring, wordhash
 
 SCHEMA = "doc_id long, text string, id string, hash string, bucket string"
 
@@ -49,10 +52,21 @@ def test_exact_groups(spark):
 
 def test_exact_null_ids(spark):
     got = exact_dedup.duplicate_groups(frame(spark, [(None, "a b"), (1, "ab"), (2, "c")])).collect()
-    assert {(r["id"], r["keep_id"], r["kept"]) for r in got} == {(None, None, True), (1, None, False), (2, 2, True)} or True
+    assert {(r["id"], r["keep_id"], r["kept"]) for r in got} == {(None, None, True), (1, None, False), (2, 2, True)}
     assert len(got) == 3
 
 
+def test_exact_repeated_rows(spark):
+    """Of rows that repeat their id one stays; a row of the same id in another group goes; columns of any name are kept."""
+    rows = [(4, "a b", 1), (4, "a b", 2), (4, "ab", 3), (4, "long text", 4), (7, "long  text", 5), (None, "n", 6), (None, "n", 7), (9, None, 8), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stay long").withColumn("row", F.col("_stay")).withColumn("recipe", F.lit("r"))
+    got = exact_dedup.exact_dedup(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "").replace(" ", "")) for r in got.collect())
+    assert kept == [(0, "n"), (4, "ab"), (7, "longtext"), (9, "")]
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
 def brute_repeats(rows, width):
     seen = {}
     for i, t in sorted(rows):
@@ -91,6 +105,73 @@ def test_repeats_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 14)]
 
 
+def plain_words(rows):
+    return {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+
+
+@pytest.mark.parametrize(("seed", "width"), [(0, 13), (2, 7)])
+def test_factors(spark, seed, width):
+    """Every factor is a run of words of its source, a document of smaller id; long copies are few factors."""
+    rows = list(enumerate(texts(seed)))
+    words = plain_words(rows)
+    got = substring.factors(frame(spark, rows), width).collect()
+    for r in got:
+        assert r["source"] < r["doc_id"] and r["end"] - r["start"] >= width
+        assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["source"]][r["source_start"] : r["source_start"] + r["end"] - r["start"]]
+    last = rows[-1][0]  # two copies of a text of 6000 words
+    mine = [r for r in got if r["doc_id"] == last]
+    assert max(r["end"] - r["start"] for r in mine) > 5000 and len(mine) < 40
+
+
+def test_greedy_parse():
+    lanes = lambda words: (np.array(words, "u8"), np.array(words, "u8"))
+    text = lanes([1, 2, 3, 4, 5, 6, 7, 8, 9, 50, 51, 52])
+    blocks = {(1, 0): (0, lanes([9, 2, 3, 4, 5, 6, 70])), (2, 0): (0, lanes([4, 5, 6, 7, 8, 9, 50, 51])), (3, 0): (0, lanes([5, 6, 7]))}
+    seeds = (np.array([1, 3, 4, 9]), np.array([1, 2, 3, 9]), np.array([1, 0, 0, substring.NONE]))
+    found = substring.matches(text, seeds, blocks, 3)
+    assert found == [(1, 6, 1, 1), (3, 11, 2, 0), (4, 7, 3, 0)]
+    assert substring.greedy(found) == [(1, 6, 1, 1), (3, 11, 2, 0)]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_repeats_colliding_words(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(12))
+    got = substring.remove_repeats(frame(spark, [(1, f"{word} {tail}"), (2, f"{other} {tail}"), (3, f"{word} {tail}")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 0, 3: 13}
+
+
+def test_repeats_hot_phrase(spark):
+    """A phrase of every document, in many partitions, reaches its hash range once a run of texts; rows of one id."""
+    rng = random.Random(5)
+    hot = " ".join(f"h{i}" for i in range(20))
+    rows = [(i, f"{' '.join(rng.choice('xyz') + str(rng.randrange(99)) for _ in range(rng.randrange(30)))} {hot} e{i}") for i in range(600)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, rows).repartition(7)).collect()}
+    assert got == brute_repeats(rows, 13)
+    batch = pa.RecordBatch.from_pydict({"row": [i for i, _ in rows], "doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    sent = [wordhash.unplane(x.as_py(), "u8") for b in substring._anchors(13, 4)(iter([batch])) if b.column("bucket")[0].as_py() >= 0 for x in b.column("hash")]
+    assert np.unique(np.concatenate(sent), return_counts=True)[1].max() == 1
+    same = [(1, hot), (1, hot + " more"), (2, "a " + hot), (None, hot)]
+    assert sorted((r["n_words"], r["n_removed"]) for r in substring.remove_repeats(frame(spark, same)).collect()) == [(20, 0), (20, 0), (21, 0), (21, 20)]
+
+
+def test_word_hash_edges():
+    long = ("x" * 700 + " ") * 4000 + "y" * (3 << 20) + " z"
+    _, _, counts = wordhash.word_hashes(pa.array([long, None, "", " A\x0bb\xa0c "]))
+    assert counts.tolist() == [4002, 0, 0, 2]
+    one, two = wordhash.word_hashes(pa.array(["A b", "a b"]), lower=True)[:2]
+    assert one[0] == one[2] and two[0] == two[2]
+    a = np.array([5, 5, 5, 1], "u8")
+    b = np.array([2, 1, 2, 9], "u8")
+    by = wordhash.order(a, b)
+    assert list(zip(a[by].tolist(), b[by].tolist(), strict=True)) == [(1, 9), (5, 1), (5, 2), (5, 2)]
+
+
 @pytest.mark.parametrize("limit", [1, 50, 400, 100_000])
 def test_shards(spark, limit):
     rows = [*enumerate(texts()), (None, "null key"), (7, "again"), (7, "again")]

@@ -3,12 +3,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import common, ngram_join, packing
+from quillspark.llm import common, ngram_join, packing, wordhash
 from quillspark.llm.queries import tokenizer_file
 
-from .test_exact_sharding_substring import frame, texts
+from .test_exact_sharding_substring import frame, texts, thue_morse
 
 VOCAB = tokenizer_file("word_bpe_49k.json")
 
@@ -116,8 +118,43 @@ def test_near_edges(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A b c d e f"), (5, None), (6, "")]
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
     assert got == [("3", 2, 3), ("3", 2, 3), ("5", 0, 5), ("6", 0, 6), ("9", 2, 3), ("None", 2, None)]
-    stay = ngram_join.drop_near_duplicates(frame(spark, rows))
-    assert sorted(str(r["doc_id"]) for r in stay.collect()) == ["3", "3", "5", "6", "None"]
+    stay = ngram_join.drop_near_duplicates(frame(spark, rows).withColumn("_stay", F.lit(1)).withColumn("row", F.lit(2)))
+    assert stay.columns[-2:] == ["_stay", "row"]
+    assert sorted(str(r["doc_id"]) for r in stay.collect()) == ["3", "5", "6", "None"]
+    # rows of one id with different texts are separate documents
+    rows = [(3, "a b c d e f"), (3, "g h i j k l"), (8, "g h i j k l"), (8, "m n o p q r"), (8, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(3, 2, 3), (3, 2, 3), (8, 0, 8), (8, 2, 3), (8, 2, 8)]
+    assert sorted(r["text"] for r in ngram_join.drop_near_duplicates(frame(spark, rows)).collect()) == ["", "a b c d e f", "g h i j k l", "m n o p q r"]
+
+
+def test_near_colliding_words(spark):
+    """Words that a polynomial modulo 2**64 can't tell apart."""
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y z"), (2, f"{other} x y z"), (3, f"{word} x y z")]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(frame(spark, rows), 4, 85).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize(("own", "seed"), [(4, 0), (3, 1), (2, 2)])
+def test_near_shared_passage(spark, own, seed):
+    """Documents of one passage and some words of their own: no links among those of four, links past every centre for fewer."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(43)]
+    rows = []
+    for i in range(60):
+        w = [*passage, *(f"o{i}x{j}" for j in range(own))] if i % 3 else [f"o{i}x{j}" for j in range(rng.randrange(own + 1))] + passage[rng.randrange(3) :]
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_near_names_of_clashing_hashes():
+    """n-grams that share the first lane get names of their own."""
+    entry = lambda run, h, m: {"bucket": 0, "hash": wordhash.planes(np.array(h, "u8")), "more": wordhash.planes(np.array(m, "u8")), "times": wordhash.planes(np.ones(len(h), "u4")), "run": run}
+    got = ngram_join._frequencies(pa.Table.from_pylist([entry(1, [5, 5, 6], [1, 2, 3]), entry(2, [5, 5, 6, 7], [1, 2, 3, 9])]))
+    names = [wordhash.unplane(x.as_py(), "u8").tolist() for x in got.column("name")]
+    assert names == [[5, 8, 6]] * 2 and got.column("bucket").to_pylist() == [1, 2]
 
 
 def test_components(spark):
