@@ -319,13 +319,13 @@ def _classified(rows: DataFrame, unique: bool, k: int, percent: int) -> DataFram
     texts = rows.where("doc_id is not null and text is not null").select("row", "text")
 
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    cut = ranges(12 * total * 2 * (100 - percent) // 100)
+    cut = ranges(rows, 12 * total * 2 * (100 - percent) // 100)
     near = by_bucket(texts.mapInArrow(_first_grams(k, cut, percent), _SHARED_SQL), cut).applyInArrow(_shared_rows(cut), _SHARED_SQL)
     near = by_bucket(near, cut).applyInArrow(_sum_shared, "row long, shared long")
     least = F.expr(f"(((n * {percent} + 99) div 100) * {100 - percent} + 99) div 100")
     alive = stored(near.join(classes.select(F.col("rep").alias("row"), "n"), "row").where(F.col("shared") >= least).select("row", "n"), "alive")
 
-    cut = ranges(24 * alive.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    cut = ranges(rows, 24 * alive.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     whole = stored(sized_join(texts, alive.select("row"), "row", "left_semi").mapInArrow(_whole_sets(k, cut), _SETS_SQL + ", run long"), "sets")
     counted = by_bucket(whole.where("bucket >= 0").select("bucket", "hash", "more", "times", "run"), cut).applyInArrow(_frequencies, _FREQUENT_SQL)
     counted = counted.withColumnRenamed("bucket", "run").groupBy("run")

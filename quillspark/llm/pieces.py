@@ -1,28 +1,33 @@
-"""SentencePiece encoding and decoding: merges in rank order, or a streaming Viterbi search, whichever the model asks for.
+"""SentencePiece encoding and decoding by a streaming Viterbi search.
 
-Merge models (``Vocabulary.merges``): neighbours whose joint piece has the best score are joined, the leftmost of equal ones
-first, until no joint piece is left; ids are those of the library's encoder.  No merge reaches across two neighbouring characters that
-no piece holds side by side, so a text is cut there and its parts are encoded one after the other; a part is held as a whole.
+A text is read character by character.  Only a window as long as the longest piece is searched: a piece ending here started
+inside it.  Each position keeps the last piece of the best segmentation up to it.  When the backpointer paths of all
+positions that can still be extended pass one common boundary, everything before it is final, and its ids are committed.
 
-Other models: the best segmentation (largest sum of piece scores) is searched character by character.  Only a window as long as
-the longest piece is kept: a piece ending here started inside it.  When the backpointer paths of all positions
-that can still be extended pass one common boundary, everything before it is final, and its ids are committed.
+What makes a segmentation the best one depends on the model.  For a model of piece scores (unigram) it is the largest sum,
+an equally good path that starts earlier winning.  For a merge model (BPE), whose scores are merge ranks, it is the one in
+which every two neighbours are what merging in rank order makes of their characters: exactly one segmentation has that
+property, and it is the library's.  (No merge joins characters of different pieces of its result, so neighbours stay apart
+when merged alone; and the first merge across a boundary of any other segmentation would also be made in that pair alone.)
+Whether two pieces can be neighbours is remembered.
 
-Characters of no piece become byte pieces (or the unknown id); their score is the lowest score less 10, as the public
-library has it, and an equally good path that starts earlier wins.
+Characters of no piece become byte pieces (or the unknown id, one for a run of them in a merge model, as the public library
+has it); in a unigram model their score is the lowest score less 10.
 
-A vocabulary whose pieces never run from a character into the following white-space mark has such a common boundary
-before every word; ids of a word are then remembered, and the search runs for words not yet known.
+A vocabulary whose pieces never run from a character into the following white-space mark has a common boundary before
+every word; the ids committed for a word are then remembered, and the search runs for words not yet known and long ones.
+A path that doesn't converge keeps its backpointers (two numbers a character) until it does; that is all that is kept of
+the text before the window.
 
-``Vocabulary.ids`` picks the method by the model's type; decoding is exact for both.
-
-Null texts encode to null; empty texts to no ids.  Every text without the mark itself decodes to what it was.
+Null texts encode to null; empty texts to no ids; repeated rows are encoded alike; empty tables give no rows; extra columns are
+ignored.  Every text without the mark itself decodes to what it was.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +39,23 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Below the lowest score, for characters of no piece.
 UNKNOWN_PENALTY = 10.0
-#: Words a worker remembers; longer words are searched each time.
-WORDS_KEPT, WORD_CHARS = 600_000, 48
+#: Words and pairs of pieces that a worker remembers; longer words are searched each time.
+WORDS_KEPT, PAIRS_KEPT, WORD_CHARS = 800_000, 1_000_000, 48
+#: Rows that are encoded before their ids are handed on.
+ROWS = 500
+
+
+class _Words(dict):
+    """word → its ids as little-endian 32-bit bytes, by the search of a vocabulary; the first words met are kept."""
+
+    def __init__(self, search) -> None:
+        self.search = search
+
+    def __missing__(self, word: str) -> bytes:
+        got = b"".join(struct.pack(f"<{len(ids)}I", *ids) for ids in self.search(word))
+        if len(word) <= WORD_CHARS and len(self) < WORDS_KEPT:
+            self[word] = got
+        return got
 
 
 class Vocabulary:
@@ -58,211 +78,143 @@ class Vocabulary:
         self.raw = [raw(i) for i in range(n)]
         self.longest = max(map(len, self.score))
         self.unknown_score = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        #: Character by character to (score, id), under "", of each piece.
+        self.trie: dict = {}
+        for p, value in self.score.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = value
         # pieces end before a mark that follows another character, and none holds a line break
         self.by_word = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.score)
-        self.words: dict[str, tuple[int, ...]] = {}
         spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).trainer_spec
         self.merges = spec.model_type == spec.BPE
-        #: Characters that some piece holds side by side, and ids of words by merging.
-        self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        self.merged: dict[str, tuple[int, ...]] = {}
+        self.neighbours: dict[int, bool] = {}
+        self.words = _Words(self.stream)
+        #: How often ids were committed, and the longest stretch of characters with open paths.
+        self.commits, self.longest_open = 0, 0
 
     def prepared(self, text: str) -> str:
         """Marks for spaces, and one in front."""
         return MARK + text.replace(" ", MARK) if text else ""
 
+    def merge(self, text: str) -> list[str]:
+        """A short text's pieces by merging: the neighbours of the best joint piece are joined, again and again."""
+        score, parts = self.score, list(text)
+        ranks = [got[0] if (got := score.get(a + b)) else -np.inf for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (top := max(ranks)) > -np.inf:
+            k = ranks.index(top)
+            parts[k] += parts.pop(k + 1)
+            ranks.pop(k)
+            if k:
+                ranks[k - 1] = got[0] if (got := score.get(parts[k - 1] + parts[k])) else -np.inf
+            if k < len(ranks):
+                ranks[k] = got[0] if (got := score.get(parts[k] + parts[k + 1])) else -np.inf
+        return parts
+
+    def follows(self, before: int, piece: int) -> bool:
+        """In a merge model: can a piece come right after another (-1: at the start)?  Both by their codes: the id, or
+        beyond all ids a character that is no piece."""
+        n = len(self.pieces)
+        text = lambda k: "" if k < 0 else chr(k - n) if k >= n else self.pieces[k]
+        parts = [text(before), text(piece)] if before >= 0 else [text(piece)]
+        got = self.merge("".join(parts)) == parts
+        if len(self.neighbours) < PAIRS_KEPT:
+            self.neighbours[before << 32 | piece] = got
+        return got
+
     def stream(self, chars: Iterator[str] | str) -> Iterator[list[int]]:
         """Ids of prepared characters, committed as soon as they are final."""
-        longest, score, prefixes = self.longest, self.score, self.prefixes
-        text, base = "", 0  # characters of the window, position of its first
+        longest, root, merges, neighbours, n = self.longest, self.trie, self.merges, self.neighbours, len(self.pieces)
+        base, end = 0, 0  # positions of the window's start and of what was read
         best: list[float] = [0.0]  # of positions base, base + 1, ...
-        back: list[tuple[int, int]] = [(0, -1)]  # start and id of the best piece ending there
+        back: list[int] = [0]  # where the last piece of the best path there starts
+        last: list[int] = [-1]  # and its code
+        growing: list[tuple[int, dict]] = []  # starts from which a piece can still grow, and where it stands in the trie
+        unknown_before = False
         for c in chars:
-            text += c
-            end = base + len(text)
-            top, got = -np.inf, (end - 1, -1)
-            first = max(base, end - longest)
-            single = c in score
-            for start in range(first, end):
-                piece = text[start - base :]
-                if piece in score and best[start - base] > -np.inf:
-                    s, i = score[piece]
-                    if best[start - base] + s > top:
-                        top, got = best[start - base] + s, (start, i)
-            if not single and best[end - 1 - base] + self.unknown_score > top:
-                top, got = best[end - 1 - base] + self.unknown_score, (end - 1, -1)
-            best.append(top)
-            back.append(got)
-            # positions that a later piece can start from: here, and where the window's tail is the start of a piece
-            if len(text) >= longest or not single or c == MARK:
-                alive = [end] + [s for s in range(max(base, end - longest + 1), end) if text[s - base :] in prefixes]
-                common = self._meet(alive, back, base)
+            growing.append((end, root))
+            end += 1
+            top, at, code, more, single = None, end - 1, n + ord(c), [], False
+            for start, node in growing:
+                node = node.get(c)
+                if node is None:
+                    continue
+                more.append((start, node))
+                value = node.get("")
+                if value is None:
+                    continue  # only the start of a piece
+                single = start == end - 1
+                if merges:
+                    if top is None:  # there is only one
+                        before = last[start - base]
+                        fits = neighbours.get(before << 32 | value[1])
+                        if fits or (fits is None and self.follows(before, value[1])):
+                            top, at, code = 0.0, start, value[1]
+                else:
+                    total = best[start - base] + value[0]
+                    if top is None or total > top:
+                        top, at, code = total, start, value[1]
+            growing = more
+            if not merges:
+                if not single and (top is None or best[-1] + self.unknown_score > top):
+                    top, at, code = best[-1] + self.unknown_score, end - 1, n + ord(c)
+                best.append(top)
+            back.append(at)
+            last.append(code)
+            if end - base >= longest or not single or c == MARK:
+                common = self._meet([end, *(s for s, _ in growing)], back, base)
                 if common > base:
-                    yield self._ids(common, back, base, text)
+                    ids, unknown_before = self._ids(common, back, last, base, unknown_before)
+                    yield ids
                     drop = common - base
-                    offset = best[drop]
-                    text, best, back, base = text[drop:], [b - offset for b in best[drop:]], back[drop:], common
-                    back[0] = (common, -1)
-        end = base + len(text)
+                    best, back, last, base = [b - best[drop] for b in best[drop:]], back[drop:], last[drop:], common
+                self.longest_open = max(self.longest_open, end - base)
         if end > base:
-            yield self._ids(end, back, base, text)
-
-    def word(self, text: str) -> tuple[int, ...]:
-        """The ids of a short text at once: the same search with all of it as the window."""
-        n, score, prefixes, unknown = len(text), self.score, self.prefixes, self.unknown_score
-        best = [0.0] + [-np.inf] * n
-        back = [(0, -1)] * (n + 1)
-        for start in range(n):
-            sofar = best[start]
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                if piece not in prefixes:
-                    break
-                if (got := score.get(piece)) and sofar + got[0] > best[end]:
-                    best[end], back[end] = sofar + got[0], (start, got[1])
-            if text[start] not in score and sofar + unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = sofar + unknown, (start, -1)
-        return tuple(self._ids(n, back, 0, text))
+            yield self._ids(end, back, last, base, unknown_before)[0]
 
     @staticmethod
-    def _meet(alive: list[int], back: list[tuple[int, int]], base: int) -> int:
+    def _meet(alive: list[int], back: list[int], base: int) -> int:
         """The last boundary on the paths of all given positions."""
         at = set(alive)
         while len(at) > 1:
-            last = max(at)
-            at.discard(last)
-            at.add(back[last - base][0])
+            latest = max(at)
+            at.discard(latest)
+            at.add(back[latest - base])
         return at.pop()
 
-    def _ids(self, end: int, back: list[tuple[int, int]], base: int, text: str) -> list[int]:
-        parts = []
-        at = end
-        while at > base:
-            start, i = back[at - base]
-            parts.append((start, i))
-            at = start
+    def _ids(self, end: int, back: list[int], last: list[int], base: int, unknown_before: bool) -> tuple[list[int], bool]:
+        """(the ids of the path to ``end``, whether they end in an unknown character)."""
+        self.commits += 1
+        codes, n = [], len(self.pieces)
+        while end > base:
+            codes.append(last[end - base])
+            end = back[end - base]
         out: list[int] = []
-        for start, i in reversed(parts):
-            if i >= 0:
-                out.append(i)
+        for code in reversed(codes):
+            if code < n:
+                out.append(code)
             elif self.has_bytes:
-                out += [self.byte_id[b] for b in text[start - base].encode()]
-            else:
+                out += [self.byte_id[b] for b in chr(code - n).encode()]
+            elif not (self.merges and unknown_before):  # the library makes a run of unknown characters one id
                 out.append(self.unknown)
-        return out
+            unknown_before = code >= n
+        return out, unknown_before
 
-    def encode(self, text: str) -> list[int]:
-        prepared = self.prepared(text)
-        if not self.by_word:
-            return [i for part in self.stream(prepared) for i in part]
-        out: list[int] = []
-        words = self.words
-        for w in _WORD.findall(prepared):
-            got = words.get(w)
-            if got is None:
-                if len(w) > WORD_CHARS:
-                    got = [i for part in self.stream(w) for i in part]
-                else:
-                    got = self.word(w)
-                    if len(words) < WORDS_KEPT:
-                        words[w] = got
-            out += got
-        return out
-
-    def merge(self, text: str) -> tuple[int, ...]:
-        """The ids of a short part: the best pair of neighbours is joined, again and again."""
-        score, parts = self.score, list(text)
-        ranks = [got[0] if (got := score.get(a + b)) else -np.inf for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (top := max(ranks)) > -np.inf:
-            k = ranks.index(top)
-            parts[k] += parts.pop(k + 1)
-            ranks.pop(k)
-            if k:
-                ranks[k - 1] = got[0] if (got := score.get(parts[k - 1] + parts[k])) else -np.inf
-            if k < len(ranks):
-                ranks[k] = got[0] if (got := score.get(parts[k] + parts[k + 1])) else -np.inf
-        return tuple(self._piece_ids(parts))
-
-    def merge_long(self, text: str) -> list[int]:
-        """The same for a long part: pairs wait in a heap, and outdated ones are passed over."""
-        n, score, parts = len(text), self.score, list(text)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[float, int, int]] = []
-
-        def push(a: int, b: int) -> None:
-            if got := score.get(parts[a] + parts[b]):
-                heapq.heappush(heap, (-got[0], a, len(parts[a]) + len(parts[b])))
-
-        for k in range(n - 1):
-            push(k, k + 1)
-        while heap:
-            _, a, size = heapq.heappop(heap)
-            b = after[a]
-            if not parts[a] or b >= n or len(parts[a]) + len(parts[b]) != size:
-                continue
-            parts[a] += parts[b]
-            parts[b] = ""
-            after[a] = c = after[b]
-            if c < n:
-                before[c] = a
-                push(a, c)
-            if before[a] >= 0:
-                push(before[a], a)
-        return self._piece_ids([p for p in parts if p])
-
-    def _piece_ids(self, parts: list[str]) -> list[int]:
-        out: list[int] = []
-        unknown_before = False
-        for p in parts:
-            got = self.score.get(p)
-            if got:
-                out.append(got[1])
-            elif self.has_bytes:
-                out += [self.byte_id[b] for b in p.encode()]
-            elif not unknown_before:  # the library makes a run of unknown characters one id
-                out.append(self.unknown)
-            unknown_before = not got
-        return out
-
-    def merge_parts(self, word: str) -> Iterator[str]:
-        """A word cut where no piece holds both neighbours; without bytes, not between two unknown characters."""
-        start, pairs, score = 0, self.pairs, self.score
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in pairs and (self.has_bytes or word[k - 1] in score or word[k] in score):
-                yield word[start:k]
-                start = k
-        yield word[start:]
-
-    def merge_encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
         prepared = self.prepared(text)
-        out: list[int] = []
-        known = self.merged
-        for w in _WORD.findall(prepared) if self.by_word and self.has_bytes else [prepared] if prepared else []:
-            got = known.get(w)
-            if got is None:
-                for part in [w] if len(w) <= WORD_CHARS else self.merge_parts(w):
-                    if len(part) > WORD_CHARS:
-                        out += self.merge_long(part)
-                        continue
-                    got = known.get(part)
-                    if got is None:
-                        got = self.merge(part)
-                        if len(known) < WORDS_KEPT:
-                            known[part] = got
-                    out += got
-            else:
-                out += got
-        return out
-
-    def ids(self, text: str) -> list[int]:
-        """The ids of a text as the model's type has them."""
-        return self.merge_encode(text) if self.merges else self.encode(text)
+        if self.by_word and self.has_bytes:
+            return b"".join(map(self.words.__getitem__, _WORD.findall(prepared)))
+        return b"".join(struct.pack(f"<{len(ids)}I", *ids) for ids in self.stream(prepared))
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and runs of byte pieces, marks as spaces, without the one in front."""
-        raw = b"".join([self.raw[i] for i in ids])
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -273,19 +225,20 @@ _loaded: dict[str, Vocabulary] = {}
 def vocabulary(path: str) -> Vocabulary:
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
-    for kept in (_loaded[path].words, _loaded[path].merged):
-        if len(kept) >= WORDS_KEPT:
-            kept.clear()
     return _loaded[path]
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                v = vocabulary(path)
-                ids = [None if t is None else v.ids(t) for t in batch.column(1).slice(lo, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for lo in range(0, batch.num_rows, ROWS):
+                texts = batch.column(1).slice(lo, ROWS).to_pylist()
+                packed = [b"" if t is None else v.packed(t) for t in texts]
+                offsets = np.append(0, np.cumsum([len(x) // 4 for x in packed])).astype("i4")
+                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, ROWS), ids], names=["doc_id", "ids"])
 
     return run
 
@@ -314,19 +267,17 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, round_trip) per row: ids and decoded text as digests, so neither has to move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
+        v = vocabulary(path)
         for batch in batches:
             n, crc, sha, same = [], [], [], []
-            for lo in range(0, batch.num_rows, 500):
-                v = vocabulary(path)
-                for t in batch.column(1).slice(lo, 500).to_pylist():
-                    ids = v.ids(t) if t is not None else []
-                    back = v.decode(ids)
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
-                    sha.append(hashlib.sha256(back.encode()).hexdigest())
-                    same.append(back == (t or ""))
+            for text in batch.column(1):
+                t = text.as_py() or ""
+                ids = v.packed(t)
+                back = v.decode(np.frombuffer(ids, "<u4").tolist())
+                n.append(len(ids) // 4)
+                crc.append(zlib.crc32(ids))
+                sha.append(hashlib.sha256(back.encode()).hexdigest())
+                same.append(back == t)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

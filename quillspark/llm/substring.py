@@ -327,7 +327,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def _duplicate_spans(rows: DataFrame, size: int, width: int) -> DataFrame:
     """(row, pos, end, src, at) for each row with repeated phrases, as blobs of numbers."""
-    n = ranges(size)
+    n = ranges(rows, size)
     texts = rows.where("doc_id is not null and text is not null")
     seeds = by_bucket(texts.select("row", "doc_id", "text").mapInArrow(_anchors(width, n), _SEEDS_SQL), n).applyInArrow(_sources(n), _SEEDS_SQL)
     seeds = by_bucket(seeds, n).applyInArrow(_seeds_of_rows, "row long, pos binary, src binary, at binary, needs array<struct<src:long,block:long>>")

@@ -156,9 +156,9 @@ def dealt(h: np.ndarray, n: int) -> np.ndarray:
     return (mix(h.astype("u8")) % np.uint64(n)).astype("i8")
 
 
-def ranges(size: int) -> int:
-    """How many hash ranges keep a group of ``size`` measured bytes in all near GROUP_BYTES."""
-    return max(1, -(-int(size) // GROUP_BYTES))
+def ranges(df: DataFrame, size: int) -> int:
+    """How many hash ranges keep a group of ``size`` measured bytes in all near GROUP_BYTES; no fewer than tasks of a shuffle."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // GROUP_BYTES))
 
 
 def by_bucket(df: DataFrame, n: int):

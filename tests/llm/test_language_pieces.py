@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -33,9 +35,10 @@ def best_segmentation(v, text):
 ODD = ["", " ", "  a  b ", "\n\n x", "漢字テスト 😀😀", "x" * 3000, "ab" * 1500, "thethe" * 40, "\x00 \x7f é́", " the quick", "don't stop"]
 
 
-def test_stream_against_whole_search():
+def test_unigram_stream_against_whole_search():
+    """The pieces' scores taken as those of a unigram model."""
     v = pieces.Vocabulary(MODEL)
-    assert v.by_word
+    v.merges = False
     for t in [*ODD, *(t for t in texts() if t)]:
         whole = best_segmentation(v, v.prepared(t[:3000]))
         parts = list(v.stream(v.prepared(t[:3000])))
@@ -44,17 +47,37 @@ def test_stream_against_whole_search():
     assert len(list(v.stream(v.prepared("one two three " * 50)))) > 20  # committed on the way
 
 
+def test_stream_against_merging():
+    """The search finds what merging a whole part in rank order makes; ids are committed on the way, from a short window."""
+    v = pieces.Vocabulary(MODEL)
+    assert v.merges and v.by_word
+    rng = random.Random(1)
+    odd = ["".join(rng.choice("abtheinorsué\u200b漢") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    for t in [*odd, "ab" * 700, "thethe" * 40, "x" * 999, "e" * 63 + "s" * 64]:
+        ids = [[v.score[p][1]] if p in v.score else [v.byte_id[b] for b in p.encode()] for p in v.merge(v.prepared(t))]
+        assert [i for part in v.stream(v.prepared(t)) for i in part] == [i for part in ids for i in part]
+    v.commits = v.longest_open = 0
+    long = " ".join(t for t in texts() if t)
+    parts = list(v.stream(v.prepared(long)))
+    assert v.commits == len(parts) > len(long) / 40 and v.longest_open <= 4 * v.longest
+    v.commits = 0
+    v.encode("anewword another")
+    first = v.commits
+    v.encode("anewword another")  # remembered
+    assert 2 <= first == v.commits
+
+
 def test_ids_are_the_librarys(spark):
     import sentencepiece
 
     sp, v = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Vocabulary(MODEL)
-    assert v.merges and sp.encode("und", out_type=str) == ["▁und"]
+    assert sp.encode("und", out_type=str) == ["▁und"]
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     whole = [*ODD, "und", "das", "a▁b", "x▁", "▁▁▁", "<unk><0x41>", "漢字" * 400, "aé" * 90 + "\u200b\u0301", *(t for t in texts() if t), *(r["text"] for r in rows if r["text"])]
     for t in whole:
         want = sp.encode(t)
-        assert v.ids(t) == v.ids(t) == want
-        assert v.merge_long(v.prepared(t)[:150]) == list(v.merge(v.prepared(t)[:150]))
+        assert v.encode(t) == v.encode(t) == want
+        assert [i for part in v.stream(v.prepared(t[:2000])) for i in part] == sp.encode(t[:2000])
     got = pieces.encode(frame(spark, list(enumerate(whole))), MODEL).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {i: sp.encode(t) for i, t in enumerate(whole)}
 
