@@ -4,14 +4,16 @@ Patterns find emails, ip addresses, card numbers and phone numbers in whole text
 The field's variables are a document's candidates: the base spans, whose labels are observed, and mentions that
 no pattern accepts but that look like a part or a variant of personal data (a name part of an address, a number
 written without its prefix, ...).  Neighbours in the text share a chain potential; candidates of equal or similar
-key, however distant, share a skip potential.  Loopy sum-product messages run until they settle, and a mention
-whose marginal favours a kind becomes a span of that kind.  Documents without any base span have no evidence
-beyond the unary potentials, which alone never reach the decision, so they get no added span.
+key, however distant, share a skip potential.  Loopy sum-product messages run until they settle.  A mention becomes a span
+of a kind if its marginal favours that kind and a path of skip links leads from it to a base span: what only looks like
+personal data, however often it is repeated, stays as it is.
 
-Unary, chain and skip potentials are estimated from at most TRAIN_DOCS documents with base spans: a base span is
-hidden and its label predicted from its shape, its neighbours and its skip links.
+Unary, chain and skip potentials are smoothed counts over all documents: how often a shape has a label (unlinked
+mentions that no pattern accepts count as none), which labels follow each other, how often the two ends of a skip link
+have the same one.  The counts are sums, made by Spark; only they reach the driver.
 
-Null and empty texts have no spans.  Matching is linear in the length of the text; no text is cut.
+Null and empty texts have no spans; repeated rows have the same ones; empty tables give no rows; extra columns are ignored
+(redact_documents keeps them).  Matching is linear in the length of the text; no text is cut.
 """
 
 from __future__ import annotations
@@ -26,10 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents from which the potentials are estimated, at most.
-TRAIN_DOCS = 2000
-#: Longer documents are left out of that sample (not of the search), so that it stays small on the driver.
-TRAIN_CHARS = 20_000
+#: Skip links that are taken to agree and to disagree before any is counted.
+AGREE, DISAGREE = 19.0, 1.0
 #: Marginal probability from which a mention becomes a span; rounds of messages at most; damping.
 DECIDE, ROUNDS, DAMPING = 0.8, 30, 0.3
 #: Digits or characters two keys must share to count as similar.
@@ -157,36 +157,50 @@ def skip_links(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int,
     return sorted(links)
 
 
-def estimate(docs: list[str]) -> dict[str, np.ndarray]:
-    """Log potentials from documents, by smoothed counts.  Unlinked mentions that no pattern accepts count as
-    none; linked ones are left out, as their label is what the field is asked for."""
+COUNTS = SHAPES * len(LABELS) + len(LABELS) ** 2 + 2
+
+
+def count(text: str, total: np.ndarray) -> None:
+    """Add a text's counts to ``total``: labels by shape, label pairs of neighbours, skip links that disagree and agree."""
+    n = len(LABELS)
+    unary, chain, same = total[: SHAPES * n].reshape(SHAPES, n), total[SHAPES * n : -2].reshape(n, n), total[-2:]
+    found = candidates(text, base_spans(text))
+    links = skip_links(text, found)
+    linked = {i for pair in links for i in pair}
+    # the label of a linked mention is what the field is asked for
+    label = [LABELS.index(k) if k else (None if i in linked else 0) for i, (_, _, k) in enumerate(found)]
+    for (s, e, _), y in zip(found, label, strict=True):
+        if y is not None:
+            unary[min(shape(text[s:e]), SHAPES - 1), y] += 1
+    for a, b in zip(label, label[1:], strict=False):
+        if a is not None and b is not None:
+            chain[a, b] += 1
+    for i, j in links:
+        if label[i] is not None and label[j] is not None:
+            same[int(label[i] == label[j])] += 1
+
+
+def potentials(total: np.ndarray) -> dict[str, np.ndarray]:
+    """Log potentials from summed counts."""
     n = len(LABELS)
-    unary, chain = np.full((SHAPES, n), 0.5), np.full((n, n), 0.5)
-    same = np.full(2, 0.5)
-    for text in docs:
-        found = candidates(text, base_spans(text))
-        links = skip_links(text, found)
-        linked = {i for pair in links for i in pair}
-        label = [LABELS.index(k) if k else (None if i in linked else 0) for i, (_, _, k) in enumerate(found)]
-        for (s, e, _), y in zip(found, label, strict=True):
-            if y is not None:
-                unary[min(shape(text[s:e]), SHAPES - 1), y] += 1
-        for a, b in zip(label, label[1:], strict=False):
-            if a is not None and b is not None:
-                chain[a, b] += 1
-        for i, j in links:
-            if label[i] is not None and label[j] is not None:
-                same[int(label[i] == label[j])] += 1
+    unary, joint, same = 0.5 + total[: SHAPES * n].reshape(SHAPES, n), 0.5 + total[SHAPES * n : -2].reshape(n, n), total[-2:]
     unary = np.log(unary / unary.sum(axis=1, keepdims=True))
-    joint = chain / chain.sum()
+    joint = joint / joint.sum()
     chain = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
-    agree = same[1] / same.sum()
-    agree = min(max(agree, 0.9), 0.999)  # skip links hold between mentions of one key; never weaker than this
+    agree = (same[1] + AGREE) / (same.sum() + AGREE + DISAGREE)
     skip = np.full((n, n), np.log((1 - agree) / (n - 1)))
     np.fill_diagonal(skip, np.log(agree))
     return {"unary": unary, "chain": np.clip(chain, -1, 1), "skip": skip}
 
 
+def estimate(texts: list[str]) -> dict[str, np.ndarray]:
+    """Log potentials of these texts."""
+    total = np.zeros(COUNTS)
+    for text in texts:
+        count(text, total)
+    return potentials(total)
+
+
 def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """Loopy sum-product in the log domain: all messages of a round at once, damped, until they settle."""
     n, k = unary.shape
@@ -215,6 +229,21 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np
     return p / p.sum(axis=1, keepdims=True)
 
 
+def anchored(found: list[tuple[int, int, str]], links: list[tuple[int, int]]) -> set[int]:
+    """Candidates from which a path of skip links leads to a base span."""
+    of: dict[int, list[int]] = {}
+    for i, j in links:
+        of.setdefault(i, []).append(j)
+        of.setdefault(j, []).append(i)
+    reach = {i for i in of if found[i][2]}
+    open_ = list(reach)
+    while open_:
+        fresh = [j for j in of[open_.pop()] if j not in reach]
+        reach.update(fresh)
+        open_ += fresh
+    return reach
+
+
 def all_spans(text: str, base: list[tuple[int, int, str]], field: dict[str, np.ndarray]) -> list[tuple[int, int, str]]:
     """Base spans and those the field adds."""
     if not base:
@@ -228,18 +257,27 @@ def all_spans(text: str, base: list[tuple[int, int, str]], field: dict[str, np.n
         if kind:
             unary[i] = np.where(np.arange(len(LABELS)) == LABELS.index(kind), 0.0, -50.0)
     edges = [(i, i + 1, field["chain"]) for i in range(len(found) - 1)] + [(i, j, field["skip"]) for i, j in links]
-    linked = {i for pair in links for i in pair}
+    near = anchored(found, links)
     p = marginals(unary, edges)
-    extra = [(s, e, LABELS[int(q.argmax())]) for i, ((s, e, kind), q) in enumerate(zip(found, p, strict=True)) if not kind and i in linked and q.argmax() and q.max() >= DECIDE]
+    extra = [(s, e, LABELS[int(q.argmax())]) for i, ((s, e, kind), q) in enumerate(zip(found, p, strict=True)) if not kind and i in near and q.argmax() and q.max() >= DECIDE]
     return sorted([*base, *extra], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTS)
+    for batch in batches:
+        for text in batch.column(0):
+            count(text.as_py(), total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTS)), pa.array(total)], names=["i", "n"])
+
+
 def fit(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
-    """Potentials from at most TRAIN_DOCS documents whose text holds an @ or a digit, chosen by the text's hash."""
-    rows = docs.where((F.length(text) <= TRAIN_CHARS) & F.col(text).rlike("[@0-9]")).select(F.pmod(F.xxhash64(text), F.lit(1 << 32)).alias("h"), text)
-    share = int((1 << 32) * min(1.0, TRAIN_DOCS * 0.8 / max(rows.count(), 1)))
-    got = rows.where(F.col("h") < share).select(text).limit(TRAIN_DOCS).collect()
-    return estimate(sorted(r[0] for r in got))
+    """Potentials from the counts over all documents whose text holds an @ or a digit; COUNTS numbers come back."""
+    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[@0-9]"))
+    total = np.zeros(COUNTS)
+    for r in rows.mapInArrow(_counts, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        total[r["i"]] = r["n"]
+    return potentials(total)
 
 
 def _scan(field: dict[str, np.ndarray], redact: bool):

@@ -52,6 +52,26 @@ def test_field_carries_labels():
     assert pii.all_spans("jo.lee and 555-2678 and (736) 555-2678", [], field) == []
 
 
+def test_repeated_number_is_no_card(spark):
+    """A number that fails the checksum, however often it stands there, is linked only to itself and gains no label."""
+    text = "Mail me@a.example.org. Number 9870157079875996 again 9870157079875996 and 9870157079875996, card 4111 1111 1111 1111."
+    field = pii.estimate([text] * 50)
+    base = pii.base_spans(text)
+    assert pii.all_spans(text, base, field) == base
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id = 646")
+    assert {(r["n_card"], "card" in r["spans"]) for r in pii.find_pii(docs).collect()} == {(0, False)}
+
+
+def test_potentials_over_all_documents(spark):
+    """Counts of all rows, however long or often repeated, and however they are cut into partitions."""
+    texts = ["write to jo.lee@mail.example.com now", "call +1 (736) 555-2678 or v1.2 build 33.44", "x " * 30_000 + "at 10.0.0.1", "no data"] * 5
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = pii.estimate(texts)
+    for n in (1, 5):
+        got = pii.fit(docs.repartition(n))
+        assert all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_messages_against_enumeration():
     rng = np.random.default_rng(0)
     unary = rng.normal(size=(4, 3))
