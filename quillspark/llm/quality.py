@@ -6,10 +6,11 @@ The tables are learnt by boosting shallow trees in turn, one feature at a time a
 correlated features share the credit; pairs are chosen by how much of the remaining gradient they explain.  A
 score is a sum of looked-up values, one vectorised addition per table, through the logistic function.
 
-Learning uses at most TRAIN_ROWS labelled rows, those of the smallest hash of the id; every document is scored.
+Learning uses at most TRAIN_ROWS labelled documents, those of the smallest hash of the id; every document is scored.
 Null and empty texts have the features of an empty text and get a score like any other.  Labels, language, source and
 id are no features.  Null labels and unlabelled rows are not learnt from; without two labels the score is the share of
-ones, or 0.5.
+ones, or 0.5.  Of rows that repeat a labelled id one is learnt from; all are scored, alike if their texts are.  Empty tables
+give no rows; extra columns are ignored (keep_good keeps them).  Words of long texts are counted as hashes, part by part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_digest
+
+from .common import stored
+from .wordhash import SLICE_BYTES, grams, parts
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -40,27 +45,46 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 8
 _CLASS[[32, 9, 10, 11, 12, 13]] = 4
 _CLASS[[44, 46, 59, 58, 63]] = 5
 _CLASS[124] = 6
+_MARKED = np.zeros(256, bool)
+_MARKED[list(b"!#$%&*~^@=<>")] = True
+
+
+def _line_hashes(text: bytes) -> Iterator[np.ndarray]:
+    """Hashes of the lines that aren't blank, a stretch of text at a time."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= SLICE_BYTES else text.find(b"\n", at + SLICE_BYTES)
+        end = len(text) if end < 0 else end
+        lines = [x for x in text[at:end].split(b"\n") if x.strip()]
+        yield np.frombuffer(b"".join(map(xxh3_64_digest, lines)), "u8")
+        at = end + 1
 
 
 def features(text: bytes) -> list[float]:
     """The FEATURES of one text (UTF-8)."""
-    raw = np.frombuffer(text, "u1")
-    n = max(len(raw), 1)
-    by_byte = np.bincount(raw, minlength=256)
+    n = max(len(text), 1)
+    by_byte, hashes, lengths, capital, marked = np.zeros(256, "i8"), [np.zeros(0, "u8")], [np.zeros(0, "i8")], 0, 0
+    for part in parts(text):
+        raw = np.frombuffer(part, "u1")
+        by_byte += np.bincount(raw, minlength=256)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _CLASS[raw] == 4, [True]))))
+        starts, ends = edge[::2], edge[1::2]
+        capital += np.count_nonzero(_CLASS[raw[starts]] == 2)
+        marked += np.count_nonzero(_MARKED[raw[ends - 1]])
+        lengths.append(ends - starts)
+        hashes.append(np.frombuffer(b"".join(map(xxh3_64_digest, part.split())), "u8"))
     kind = np.bincount(_CLASS, weights=by_byte, minlength=9)
-    words = text.split()
+    words, lengths = np.concatenate(hashes), np.concatenate(lengths)
     m = max(len(words), 1)
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    lines = [x for x in text.split(b"\n") if x.strip()]
+    seen, first, times = np.unique(words, return_index=True, return_counts=True)
+    lines = np.concatenate([np.zeros(0, "u8"), *_line_hashes(text)])
     k = max(len(lines), 1)
     letters = max(kind[1] + kind[2] + kind[8], 1)
     return [
-        np.log1p(len(raw)),
+        np.log1p(len(text)),
         np.log1p(len(words)),
         (n - kind[4]) / m,
-        sum(len(w) > 24 for w in seen) / max(len(seen), 1),
+        np.count_nonzero(lengths[first] > 24) / max(len(seen), 1),
         kind[2] / letters,
         kind[3] / n,
         kind[4] / n,
@@ -69,15 +93,15 @@ def features(text: bytes) -> list[float]:
         kind[6] / n,
         kind[8] / n,
         len(seen) / m,
-        max(seen.values(), default=0) / m,
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / m,
-        (m - len(set(zip(words, words[1:], words[2:], strict=False)))) / m,
+        times.max(initial=0) / m,
+        np.count_nonzero(words[1:] == words[:-1]) / m,
+        (m - len(np.unique(grams(words, 3)))) / m,
         np.log1p(len(lines)),
-        1 - len(set(lines)) / k,
-        np.log1p(len(raw) / k),
+        1 - len(np.unique(lines)) / k,
+        np.log1p(len(text) / k),
         kind[5] / m,
-        sum(w[:1].isupper() for w in words) / m,
-        sum(w[-1] in b"!#$%&*~^@=<>" for w in words) / m,
+        capital / m,
+        marked / m,
         np.count_nonzero(by_byte[33:48]) / 15,
     ]
 
@@ -88,9 +112,9 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = _rows(batch.column(0))
+        x = _rows(batch.column(1))
         vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * len(FEATURES)), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([vec, batch.column(1)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), vec, batch.column(2)], names=["doc_id", "x", "y"])
 
 
 # ---- the model -------------------------------------------------------------------------------------------------
@@ -184,13 +208,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model of at most TRAIN_ROWS labelled documents; labels: (doc_id, quality)."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("y in (0, 1)").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    """The model of at most TRAIN_ROWS labelled documents; labels: (doc_id, quality).  An id with several labels counts with
+    the greatest, one with several texts with the text of the least features."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), "doc_id").select("text", "y")  # broadcast: TRAIN_ROWS ids and labels
-    sample = rows.mapInArrow(_extract, "x array<double>, y int").limit(2 * TRAIN_ROWS).collect()
-    sample = sorted((tuple(r["x"]), r["y"]) for r in sample)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where("y in (0, 1)").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")).join(rows.select("doc_id"), "doc_id", "left_semi")
+    known = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "labelled")
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")  # broadcast: TRAIN_ROWS ids and labels
+    each = rows.mapInArrow(_extract, "doc_id long, x array<double>, y int").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y"))
+    sample = sorted((tuple(r["x"]), r["y"]) for r in each.select("x", "y").collect())  # TRAIN_ROWS rows
     return fit(np.array([x for x, _ in sample], "f8").reshape(-1, len(FEATURES)), np.array([y for _, y in sample], "f8"))
 
 
@@ -211,7 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, all their columns."""
+    """The documents predicted to be good, all their columns: nulls, empty texts and repeated rows by their scores."""
     model, at = learn(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

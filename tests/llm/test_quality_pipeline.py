@@ -18,6 +18,63 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == q for r, q in judged]) > 0.95
 
 
+def plain_features(text):
+    """The features by plain counting."""
+    words, n, m = text.split(), max(len(text), 1), max(len(text.split()), 1)
+    count = lambda keep: sum(map(keep, text))
+    space, upper, lower = b" \t\n\x0b\x0c\r", count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122)
+    high, digits = count(lambda c: c >= 128), count(lambda c: 48 <= c <= 57)
+    blank, stops, bars = count(lambda c: c in space), count(lambda c: c in b",.;:?"), count(lambda c: c == 124)
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    k, letters = max(len(lines), 1), max(upper + lower + high, 1)
+    triples = set(zip(words, words[1:], words[2:], strict=False))
+    return [
+        np.log1p(len(text)), np.log1p(len(words)), (n - blank) / m, sum(len(w) > 24 for w in set(words)) / max(len(set(words)), 1),
+        upper / letters, digits / n, blank / n, (len(text) - lower - upper - digits - blank - stops - bars - high) / n, text.count(b"!") / n,
+        bars / n, high / n, len(set(words)) / m, max(map(words.count, set(words)), default=0) / m,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, (m - len(triples)) / m, np.log1p(len(lines)), 1 - len(set(lines)) / k,
+        np.log1p(len(text) / k), stops / m, sum(w[:1].isupper() for w in words) / m, sum(w[-1] in b"!#$%&*~^@=<>" for w in words) / m,
+        len(set(text) & set(range(33, 48))) / 15,
+    ]
+
+
+def test_features_against_plain_counting(monkeypatch):
+    from .test_exact_sharding_substring import texts
+
+    some = [t[:3000].encode() for t in texts() if t] + [b"", b" ", "É!! | A\x0b9?\n\n é= ".encode(), b"word " * 30 + b"x" * 40]
+    whole = [quality.features(t) for t in some]
+    assert np.allclose(whole, [plain_features(t) for t in some])
+    monkeypatch.setattr("quillspark.llm.wordhash.SLICE_BYTES", 50)  # part by part
+    monkeypatch.setattr(quality, "SLICE_BYTES", 50)
+    lines = [t for t in some if b"\n" not in t]  # a cut at a line break leaves it out
+    assert np.allclose([quality.features(t)[3:] for t in lines], [plain_features(t)[3:] for t in lines], rtol=0.2)
+
+
+def test_features_of_a_long_text():
+    """100 MB in bounded memory and time."""
+    import resource
+    import time
+
+    rng = np.random.default_rng(0)
+    some = b" ".join(b"w%d" % i for i in rng.integers(0, 1 << 40, 150_000)) + b"\n"
+    text = some * (100_000_000 // len(some))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    got = quality.features(text)
+    assert got[0] == np.log1p(len(text)) and got[11] < 0.1
+    assert time.time() - began < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+
+
+def test_sample_of_documents_with_labels(spark, monkeypatch):
+    """Labels without a document take no place in the sample, and a repeated id counts once."""
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 40)
+    docs = spark.createDataFrame([(i % 60, "good prose " * 9 if i % 60 % 2 else "BAD!! " * 9) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((len(x), set(y.tolist()))) or {"base": 0.0, "single": [], "pairs": []})
+    quality.learn(docs, labels)
+    assert seen == [(40, {0.0, 1.0})]
+
+
 def test_only_text_matters(spark):
     """Labels of held-out rows, and all columns but the text, leave scores alone."""
     docs = spark.createDataFrame([(i, ("good prose of many words %d " % i) * 3 if i % 3 else "BAD!! " * 30, "en", "s", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
