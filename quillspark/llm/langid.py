@@ -9,7 +9,11 @@ declared value and per suffix.  P(l | host) is smoothed along global -> register
 wider level, scaled to PRIOR_ROWS, are added to those of the narrower one.  All counts are grouped aggregates with map-side
 combine; a host that holds a third of all pages is a few sums per task.
 
+The suffix is the two-letter folder that starts the address' path or, without one, the two-letter end of its host; the
+registered domain is taken to be the last two labels of the host.
+
 Null or empty pages have no text evidence; missing evidence of any kind drops out of the product.  Repeated rows are scored alike.
+Empty tables of pages give no rows; without labelled documents every language is null.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +34,31 @@ TRAIN_DOCS, SLOTS, TEXT_WEIGHT, PRIOR_ROWS = 6000, 1 << 15, 60.0, 20.0
 #: Added to every count.
 SMOOTH = 0.5
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style)\b", re.I)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 
 
 def visible_text(page: str) -> str:
-    """Text of a page without tags, comments, scripts and styles."""
-    return html_.unescape(_DROP.sub(" ", page))
+    """Text of a page without tags, comments, scripts and styles, each a blank.  One scan: an opening without an end
+    is searched for its end once; it then counts as a tag."""
+    out, at, closed = [], 0, {"comment": True, "script": True, "style": True}
+    while (lt := page.find("<", at)) >= 0:
+        end = -1
+        if closed["comment"] and page.startswith("<!--", lt):
+            got = page.find("-->", lt + 4)
+            closed["comment"], end = got >= 0, got + 3 if got >= 0 else -1
+        elif m := _HIDDEN.match(page, lt):
+            name = m[1].lower()
+            if closed[name]:
+                got = _END[name].search(page, m.end())
+                closed[name], end = got is not None, got.end() if got else -1
+        if end < 0:
+            end = page.find(">", lt) + 1
+            if not end:
+                break  # no tag ends any more
+        out += [page[at:lt], " "]
+        at = end
+    return html_.unescape("".join([*out, page[at:]]))
 
 
 def trigram_slots(text: str) -> np.ndarray:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import langid, pieces
 from quillspark.llm.queries import tokenizer_file
@@ -101,15 +102,39 @@ def test_piece_frames(spark):
     assert pieces.encode(frame(spark, []), MODEL).count() == 0
 
 
+def test_visible_text_against_patterns():
+    import html
+    import re
+
+    plain = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+    rng = random.Random(0)
+    bits = ["<", ">", "<!--", "-->", "<script", "<SCRIPT x>", "</script>", "</Script  >", "<style>", "</style>", "a", " ", "&amp;", "<b>", "</b>", "--", "!"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert langid.visible_text(page) == html.unescape(plain.sub(" ", page)), page
+
+
+@pytest.mark.parametrize("bit", ["<!--", "<script>", "<", "<style", "</script ", "<!-->", "&", "<script></style>"])
+def test_visible_text_stays_linear(bit):
+    import time
+
+    began = time.time()
+    langid.visible_text(bit * (5_000_000 // len(bit)))
+    assert time.time() - began < 20
+
+
 def test_language_on_pages(spark):
+    """Held out: the language folder of an address names the page's language; the pages are scored without it."""
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
-    got = langid.identify(pages, docs).collect()
-    assert len(got) == pages.count()
-    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
-    # held out: the language folder of the address names the page's language
-    assert np.mean([r["lang"] == r["suffix"] for r in got if r["suffix"]]) > 0.98
-    assert np.mean([r["text_lang"] == r["suffix"] for r in got if r["suffix"] and r["text_lang"]]) > 0.9
-    assert {r["lang"] for r in got} <= set(lang.values())
+    folder = r"^([^:]+://[^/]+)/[A-Za-z]{2}(?=[/?#]|$)"
+    truth = {r["page_id"]: r["suffix"] for r in langid.evidence(pages.where(F.col("url").rlike(folder))).collect()}
+    got = langid.identify(pages.withColumn("url", F.regexp_replace("url", folder, "$1")), docs).collect()
+    assert len(got) == pages.count() and len(truth) > 100
+    judged = [r for r in got if r["page_id"] in truth]
+    assert not any(r["suffix"] == truth[r["page_id"]] for r in judged)
+    assert np.mean([r["lang"] == truth[r["page_id"]] for r in judged]) > 0.95
+    assert np.mean([r["text_lang"] == truth[r["page_id"]] for r in judged if r["text_lang"]]) > 0.9
+    assert {r["lang"] for r in got} <= {r["lang"] for r in docs.collect()}
 
 
 def test_fusion_against_plain_python(spark):
