@@ -7,7 +7,8 @@ of one onto the emptiest of the other, until one is left: k windows of near-equa
 least that could hold the tokens, and rises by one whenever a window exceeds the capacity.
 
 Only (id, start, length, checksum) of a piece moves, never its ids.  Null and empty texts are one end id.  Any row
-counts, also of a null or repeated id.  Extra columns are ignored.
+counts, also of a null or repeated id; with unique ids the sequences don't depend on how the table is cut into files.  Empty
+tables give no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Tokens of a window, pieces of a block (a block is packed by one task), words whose ids a worker remembers.
-CAPACITY, BLOCK, WORDS_KEPT = 4096, 1000, 400_000
+#: Tokens of a window, pieces of a block (a block is packed by one task), words whose ids a worker remembers and their longest.
+CAPACITY, BLOCK, WORDS_KEPT, WORD_CHARS = 4096, 1000, 400_000, 64
 END_ID = 2
 #: The vocabulary's own way to cut a word into what it merges (fixed value).
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -57,7 +58,7 @@ class WordIds(dict):
     def _part(self, part: str) -> bytes:
         ids = [t.id for t in self.model.tokenize("".join([self.shown[b] for b in part.encode()]))]
         got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.parts) < WORDS_KEPT:
+        if len(part) <= WORD_CHARS and len(self.parts) < WORDS_KEPT:
             self.parts[part] = got
         return got
 
@@ -71,7 +72,7 @@ class WordIds(dict):
         else:
             known = self.parts
             got = b"".join([known.get(p) or self._part(p) for p in self.cut.findall(unicodedata.normalize("NFC", word).lower())])
-        if len(self) < WORDS_KEPT:
+        if len(word) <= WORD_CHARS and len(self) < WORDS_KEPT:
             self[word] = got
         return got
 
@@ -176,6 +177,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, capacity), schema), "pieces")
-    blocks = -(-pieces.count() // BLOCK)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(max(1, blocks))))
+    size = pieces.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start") == 0).alias("docs"), F.count_distinct("doc_id").alias("ids")).first()
+    # pieces of one null or repeated id are spread as well, else a third of all rows could fall in one block
+    salt = [] if size["docs"] == size["ids"] else [F.monotonically_increasing_id()]
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", *salt), F.lit(max(1, -(-size["n"] // BLOCK)))))
     return dealt.groupBy("block").applyInArrow(_pack_block(capacity), schema + ", sequence_id long, offset long")

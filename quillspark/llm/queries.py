@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import embedding_dedup, exact_dedup, langid, ngram_join, packing, pieces, pii, quality, sharding, substring
 
 #: Bytes of text a shard may hold.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 512 << 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -8,7 +8,7 @@ up to that depth are decided from those counts by aggregates.  Buckets that are
 again on further bits, and only they.  A row above the limit by itself gets a shard of its own, marked
 oversized; so do rows that repeat both key and text and together exceed it.
 
-Nulls in the key or text: hashed as such, a null text has 0 bytes.  Empty tables give no shard.
+Nulls in the key or text: hashed as such, a null text has 0 bytes.  Empty tables give no shard.  Extra columns are ignored.
 """
 
 from __future__ import annotations
