@@ -33,10 +33,18 @@ def collapse_blank_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+#: Set between the tokens before they are cut.
+_BETWEEN = "\x01\uf8ff\x01"
+
+
 def tag_tokens(html: Column) -> Column:
-    """Tags and the text between them, in order; blank text is left out."""
-    tokens = F.regexp_extract_all(html, F.lit(r"<[^>]+>|(?:(?!<[^>]+>)[\s\S])+"), F.lit(0))
-    return F.filter(tokens, lambda t: strip(t) != "")
+    """Tags and the text between them, in order; blank text is left out.  Tags are marked and the text is cut at the marks:
+    no pattern runs over the text between tags, or beyond the last end of a tag."""
+    closed = F.length(html) - F.locate(">", F.reverse(html)) + 1
+    closed = F.when(F.locate(">", html) > 0, closed).otherwise(F.lit(0))
+    marked = F.regexp_replace(F.substring(html, F.lit(1), closed), "<[^>]+>", f"{_BETWEEN}$0{_BETWEEN}")
+    rest = F.substring(html, closed + 1, F.length(html))
+    return F.filter(F.split(F.concat(marked, rest), _BETWEEN), lambda t: strip(t) != "")
 
 
 def word_tokens(text: Column) -> Column:
