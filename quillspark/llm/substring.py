@@ -5,12 +5,12 @@ A phrase (``width`` consecutive words) is repeated if it also stands in a docume
 1. Seeds.  The anchor of a phrase is the leftmost smallest hash among the ANCHOR-word grams in it, so equal phrases
    have equal anchors.  Each anchor that two documents have gets a source: its place in a document of smaller id.
 2. Reference blocks.  Documents that are sources are cut into blocks of BLOCK words (with a margin, so that every phrase
-   lies whole in one block); a document is joined with the blocks that its seeds point to.
+   lies whole in one block); a document is joined with the blocks that two of its seeds point to with the same shift.
 3. Parsing.  From each seed the match with its block is extended both ways as far as the words agree.  From left to
    right, the match that reaches furthest from the end of the last one is taken: these are the factors, each with its
    source and place there.  Factors of ``width`` words or more are duplicate spans.
-4. Factor boundaries.  A phrase that lies in no one factor (it straddles two, or its anchor's source has other words
-   around it) is looked up in an index of just these phrases.  The earliest document of a phrase has it in no factor
+4. Factor boundaries.  A phrase that lies in no one factor (it straddles two, its anchor's source has other words
+   around it, or its seed stands alone) is looked up in an index of just these phrases.  The earliest document of a phrase has it in no factor
    and so brings it to the index: no repeated phrase is missed, and what a factor covers needs no look-up.
 
 Words are compared by 128-bit hashes.  An anchor or phrase that many documents of a worker's run of texts have is
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, stored
-from .wordhash import blobs, by_bucket, dealt, edges, firsts, fragment, gathered, grams, parts, ranges, runs, scatter, text_bytes, word_hashes
+from .wordhash import blobs, by_bucket, dealt, edges, firsts, fragment, gathered, grams, parts, planes, ranges, runs, scatter, text_bytes, unplane, word_hashes
 
 #: Words of a phrase, and of the gram that anchors it; words of a reference block, and of its margins.
 WIDTH, ANCHOR, BLOCK, MARGIN = 13, 6, 128, 16
+#: Bytes of an anchor's hash that are sent within its range: anchors taken for equal by mistake are found out by the parse.
+ANCHOR_BYTES = 5
 #: Bytes of text parsed at once (with the blocks they point to).
 PARSE_BYTES = 2 << 20
 #: Place of a seed without a source: an anchor that others have, in its earliest document.
@@ -93,7 +95,7 @@ def _batch(got: pa.RecordBatch | None, schema: pa.Schema) -> Iterator[pa.RecordB
 # ---- seeds -----------------------------------------------------------------------------------------------------
 
 
-def _anchors(width: int, n: int):
+def _anchors(width: int, n: int, unique: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches, 2):
             row, doc = (batch.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in (0, 1))
@@ -112,20 +114,22 @@ def _anchors(width: int, n: int):
             lead, local = more[~late], more[late]
             send = np.concatenate((alone, lead))
             flag = np.concatenate((np.zeros(len(alone), bool), shared[first[~late]]))
-            yield from _batch(scatter(fragment(h[send], n), {"hash": h[send], "doc": doc[send], "row": row[send], "pos": pos[send].astype("u4"), "flag": flag}), _SEEDS)
+            out = {"hash": h[send], "row": row[send], "pos": pos[send].astype("u4"), "flag": flag} | ({} if unique else {"doc": doc[send]})
+            yield from _batch(scatter(fragment(h[send], n), out, {"hash": ANCHOR_BYTES}), _SEEDS)
             src = more[first[late]]
             yield from _batch(scatter(-1 - dealt(row[local], n), {"row": row[local], "pos": pos[local].astype("u4"), "src": row[src], "at": pos[src].astype("u4")}), _SEEDS)
 
     return run
 
 
-def _sources(n: int):
+def _sources(n: int, unique: bool):
     """A range of anchors: each place of an anchor that others have gets its source, the first place of the smallest id."""
 
     def run(got: pa.Table) -> pa.Table:
         if got.column("bucket")[0].as_py() < 0:
             return _pass_on(got, _SEEDS)
-        h, doc, row, pos, flag = (gathered(got, x, k) for x, k in (("hash", "u8"), ("doc", "i8"), ("row", "i8"), ("pos", "u4"), ("flag", "?")))
+        row, pos, flag = (gathered(got, x, k) for x, k in (("row", "i8"), ("pos", "u4"), ("flag", "?")))
+        h, doc = gathered(got, "hash", "u8", ANCHOR_BYTES), row if unique else gathered(got, "doc", "i8")
         alone, more = _several(h, doc, row, pos)
         more = more[firsts(h[more], row[more])]
         new = firsts(h[more])
@@ -144,20 +148,25 @@ def _sources(n: int):
 
 
 def _seeds_of_rows(got: pa.Table) -> pa.Table:
-    """(row, pos, src, at, needs): a row's seeds by place, and the reference blocks they point to."""
+    """(row, pos, src, at, needs): a row's seeds by place, and the reference blocks that two of them with one shift point to."""
     row, pos, src, at = (gathered(got, x, k) for x, k in (("row", "i8"), ("pos", "u4"), ("src", "i8"), ("at", "u4")))
     by = np.lexsort((pos, row))
     row, pos, src, at = row[by], pos[by], src[by], at[by]
     edge = edges(firsts(row))
     cut = list(zip(edge[:-1], edge[1:], strict=True))
     use = np.flatnonzero(at != NONE)
+    shift = at[use].astype("i8") - pos[use]
+    along = np.lexsort((shift, src[use], row[use]))
+    use, shift = use[along], shift[along]
+    size = np.diff(edges(firsts(row[use], src[use], shift)))
+    use = use[np.repeat(size > 1, size)]
     block = at[use].astype("i8") // BLOCK
     use, block = (x[np.lexsort((block, src[use], row[use]))] for x in (use, block))
     one = firsts(row[use], src[use], block)
     use, block = use[one], block[one]
-    offsets = np.searchsorted(row[use], np.append(row[edge[:-1]], row[-1] + 1 if len(row) else 0))
+    offsets = np.append(np.searchsorted(row[use], row[edge[:-1]]), len(use))
     needs = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.StructArray.from_arrays([pa.array(src[use]), pa.array(block)], names=["src", "block"]))
-    cells = [pa.array([x[s:e].tobytes() for s, e in cut], pa.binary()) for x in (pos, src, at)]
+    cells = [pa.array([planes(x[s:e]) for s, e in cut], pa.binary()) for x in (pos, src, at)]
     return pa.table([pa.array(row[edge[:-1]]), *cells, needs], names=["row", "pos", "src", "at", "needs"])
 
 
@@ -165,25 +174,20 @@ def _seeds_of_rows(got: pa.Table) -> pa.Table:
 
 
 def _blocks(margin: int):
-    """(src, block, words): the blocks of a text, each with the words around it."""
+    """(src, block, words): the blocks asked for of a text, each with the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches, 1):
+        for batch in runs(batches, 2):
             src, block, words = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, first, number = [], 0, 0  # words from index ``first`` on, the next block's number
-                for part in parts((text or "").encode()):
-                    own += part.split()
-                    while first + len(own) >= (number + 1) * BLOCK + margin:
-                        lo, hi = max(0, number * BLOCK - margin), (number + 1) * BLOCK + margin
-                        src.append(row), block.append(number), words.append(b" ".join(own[lo - first : hi - first]))
-                        number += 1
-                        drop = max(0, number * BLOCK - margin) - first
-                        own, first = own[drop:], first + drop
-                while first + len(own) > number * BLOCK:
+            for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                own, first = [], 0  # words from index ``first`` on
+                stream = parts(text.as_py().encode())
+                for number in sorted(wanted):
                     lo, hi = max(0, number * BLOCK - margin), (number + 1) * BLOCK + margin
+                    while first + len(own) < hi and (part := next(stream, None)) is not None:
+                        drop = min(lo - first, len(own))  # words that no later block has
+                        own, first = own[drop:] + part.split(), first + drop
                     src.append(row), block.append(number), words.append(b" ".join(own[lo - first : hi - first]))
-                    number += 1
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(block, pa.int64()), pa.array(words, pa.binary()).cast(pa.string())], names=["src", "block", "words"])
 
     return run
@@ -211,6 +215,8 @@ def matches(text: tuple, seeds: tuple, blocks: dict, width: int) -> list[tuple[i
         k = last.get((s, shift))
         if k is not None and out[k][1] >= p + ANCHOR:
             continue
+        if (s, q // BLOCK) not in blocks:
+            continue  # a seed that stands alone
         first, block = blocks[s, q // BLOCK]
         j = q - first
         end = p + _agree(text, p, block, j)
@@ -241,7 +247,7 @@ def greedy(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
             return out
 
 
-def _parse(width: int, n: int):
+def _parse(width: int, n: int, unique: bool):
     """Factors go to their row's group, phrases in no factor whose anchor others have to the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +264,7 @@ def _parse(width: int, n: int):
             of, numbers = (around.field(x).to_pylist() if len(around) else [] for x in ("src", "block"))
             factors, open_ = [], np.zeros(len(inside), bool)
             for i in range(len(row)):
-                pos, src, there = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in ((3, "u4"), (4, "i8"), (5, "u4")))
+                pos, src, there = (unplane(batch.column(k)[i].as_py(), t) for k, t in ((3, "u4"), (4, "i8"), (5, "u4")))
                 count = len(lists[i]) if lists[i].is_valid else 0
                 known = {(of[k], numbers[k]): (max(0, numbers[k] * BLOCK - max(MARGIN, width)), (ba[edge[k] : edge[k + 1]], bb[edge[k] : edge[k + 1]])) for k in range(taken, taken + count)}
                 taken += count
@@ -287,19 +293,21 @@ def _parse(width: int, n: int):
             first = _leaders(firsts(x[more], y[more]))
             late = d[more] > d[more][first]
             send, local, src = np.concatenate((alone, more[~late])), more[late], more[first[late]]
-            yield from _batch(scatter(fragment(x[send], n), {"hash": x[send], "more": y[send], "doc": d[send], "row": r[send], "pos": pos[send].astype("u4")}), _FOUND)
+            out = {"hash": x[send], "more": y[send], "row": r[send], "pos": pos[send].astype("u4")} | ({} if unique else {"doc": d[send]})
+            yield from _batch(scatter(fragment(x[send], n), out), _FOUND)
             yield from _batch(scatter(-1 - dealt(r[local], n), {"row": r[local], "pos": pos[local].astype("u4"), "end": (pos[local] + width).astype("u4"), "src": r[src], "at": pos[src].astype("u4")}), _FOUND)
 
     return run
 
 
-def _index(width: int, n: int):
+def _index(width: int, n: int, unique: bool):
     """A range of the index of phrases in no factor: those that a document of smaller id has."""
 
     def run(got: pa.Table) -> pa.Table:
         if got.column("bucket")[0].as_py() < 0:
             return _pass_on(got, _FOUND)
-        a, b, doc, row, pos = (gathered(got, x, k) for x, k in (("hash", "u8"), ("more", "u8"), ("doc", "i8"), ("row", "i8"), ("pos", "u4")))
+        a, b, row, pos = (gathered(got, x, k) for x, k in (("hash", "u8"), ("more", "u8"), ("row", "i8"), ("pos", "u4")))
+        doc = row if unique else gathered(got, "doc", "i8")
         _, more = _several(a, b, doc, row, pos)
         first = _leaders(firsts(a[more], b[more]))
         late = doc[more] > doc[more][first]
@@ -316,47 +324,48 @@ def _found_in_rows(got: pa.Table) -> pa.Table:
     by = np.lexsort((end, pos, row))
     edge = edges(firsts(row[by]))
     cut = list(zip(edge[:-1], edge[1:], strict=True))
-    return pa.table([pa.array(row[by][edge[:-1]]), *(pa.array([x[by][s:e].tobytes() for s, e in cut], pa.binary()) for x in (pos, end, src, at))], names=["row", "pos", "end", "src", "at"])
+    return pa.table([pa.array(row[by][edge[:-1]]), *(pa.array([planes(x[by][s:e]) for s, e in cut], pa.binary()) for x in (pos, end, src, at))], names=["row", "pos", "end", "src", "at"])
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(rows (row, doc_id, text) with a number of its own each, bytes of text)."""
-    rows, row, _ = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
-    return rows.select(F.col(row).alias("row"), "doc_id", "text"), text_bytes(rows)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(rows (row, doc_id, text) with a number of its own each, whether that is the id)."""
+    rows, row, unique = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+    return rows.select(F.col(row).alias("row"), "doc_id", "text"), unique
 
 
-def _duplicate_spans(rows: DataFrame, size: int, width: int) -> DataFrame:
+def _duplicate_spans(rows: DataFrame, unique: bool, width: int) -> DataFrame:
     """(row, pos, end, src, at) for each row with repeated phrases, as blobs of numbers."""
-    n = ranges(rows, size)
+    n = ranges(rows, text_bytes(rows))
     texts = rows.where("doc_id is not null and text is not null")
-    seeds = by_bucket(texts.select("row", "doc_id", "text").mapInArrow(_anchors(width, n), _SEEDS_SQL), n).applyInArrow(_sources(n), _SEEDS_SQL)
+    seeds = by_bucket(texts.mapInArrow(_anchors(width, n, unique), _SEEDS_SQL), n).applyInArrow(_sources(n, unique), _SEEDS_SQL)
     seeds = by_bucket(seeds, n).applyInArrow(_seeds_of_rows, "row long, pos binary, src binary, at binary, needs array<struct<src:long,block:long>>")
     seeds = stored(seeds, "seeds")
 
+    # both joins of the texts below use one shuffle of them
     pairs = seeds.select("row", F.explode("needs").alias("need")).select("row", "need.src", "need.block")
-    sources = pairs.select(F.col("src").alias("row")).distinct()
-    blocks = texts.join(sources.hint("merge"), "row", "left_semi").select("row", "text").mapInArrow(_blocks(max(MARGIN, width)), "src long, block long, words string")
+    wanted = pairs.groupBy(F.col("src").alias("row")).agg(F.collect_set("block").alias("wanted"))
+    blocks = texts.join(wanted.hint("merge"), "row").select("row", "doc_id", "text", "wanted").mapInArrow(_blocks(max(MARGIN, width)), "src long, block long, words string")
     around = pairs.join(blocks.hint("merge"), ["src", "block"]).groupBy("row").agg(F.collect_list(F.struct("src", "block", "words")).alias("blocks"))
 
     joined = texts.join(seeds.drop("needs").hint("merge"), "row").join(around.hint("merge"), "row", "left")
-    parsed = joined.select("row", "doc_id", "text", "pos", "src", "at", "blocks").mapInArrow(_parse(width, n), _FOUND_SQL)
-    found = by_bucket(parsed, n).applyInArrow(_index(width, n), _FOUND_SQL)
+    parsed = joined.select("row", "doc_id", "text", "pos", "src", "at", "blocks").mapInArrow(_parse(width, n, unique), _FOUND_SQL)
+    found = by_bucket(parsed, n).applyInArrow(_index(width, n, unique), _FOUND_SQL)
     return stored(by_bucket(found, n).applyInArrow(_found_in_rows, "row long, pos binary, end binary, src binary, at binary"), "repeats")
 
 
 def factors(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, start, end, source, source_start): duplicate spans of the parse, in words, end exclusive; words start..end
     are those from source_start on of ``source``, a smaller doc_id."""
-    rows, size = _keyed(docs)
+    rows, unique = _keyed(docs)
     names = {n: (pa.int64(), t) for n, t in (("pos", "u4"), ("end", "u4"), ("src", "i8"), ("at", "u4"))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = {n: [np.frombuffer(x.as_py(), t).astype("i8") for x in batch.column(n)] for n, (_, t) in names.items()}
+            cells = {n: [unplane(x.as_py(), t).astype("i8") for x in batch.column(n)] for n, (_, t) in names.items()}
             row = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), [len(x) for x in cells["pos"]])
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *(pa.array(np.concatenate([*x, np.zeros(0, "i8")])) for x in cells.values())], names=["row", *names])
 
-    spans = _duplicate_spans(rows, size, width).mapInArrow(run, "row long, pos long, end long, src long, at long")
+    spans = _duplicate_spans(rows, unique, width).mapInArrow(run, "row long, pos long, end long, src long, at long")
     ids = rows.select("row", "doc_id")
     spans = spans.join(ids.hint("merge"), "row").join(ids.select(F.col("row").alias("src"), F.col("doc_id").alias("source")).hint("merge"), "src")
     return spans.select("doc_id", F.col("pos").alias("start"), "end", "source", F.col("at").alias("source_start"))
@@ -392,7 +401,7 @@ def _strip(texts_too: bool):
         for batch in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "spans": [], "kept_text": []}
             for text, pos, end in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-                spans = union(*(np.frombuffer(x.as_py(), "u4").astype("i8") for x in (pos, end))) if pos.is_valid else []
+                spans = union(*(unplane(x.as_py(), "u4").astype("i8") for x in (pos, end))) if pos.is_valid else []
                 sha, words, kept, pieces = hashlib.sha256(), 0, 0, []
                 for n, stay in without((text.as_py() or "").encode(), spans):
                     joined = (b" " if kept and stay else b"") + b" ".join(stay)
@@ -416,7 +425,7 @@ def _strip(texts_too: bool):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept_text) for every row of ``docs``; spans are the
     runs of words removed, end exclusive; kept_text only if ``texts``."""
-    rows, size = _keyed(docs)
-    found = _duplicate_spans(rows, size, width).select("row", "pos", "end")
+    rows, unique = _keyed(docs)
+    found = _duplicate_spans(rows, unique, width).select("row", "pos", "end")
     joined = rows.join(found.hint("merge"), "row", "left").select("doc_id", "text", "pos", "end")
     return joined.mapInArrow(_strip(texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>, kept_text string")

@@ -107,18 +107,21 @@ def runs(batches: Iterator[pa.RecordBatch], column: int, size: int = RUN_BYTES)
             lo = hi
 
 
-def planes(a: np.ndarray) -> bytes:
-    """An integer array byte plane by byte plane, which the shuffle's codec packs well for ids."""
-    return np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes()
+def planes(a: np.ndarray, width: int | None = None) -> bytes:
+    """An integer array byte plane by byte plane, which the shuffle's codec packs well for ids; of its low ``width`` bytes."""
+    return np.ascontiguousarray(a.view("u1").reshape(len(a), -1)[:, :width].T).tobytes()
 
 
-def unplane(b: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(width, -1).T).reshape(-1).view(kind)
+def unplane(b: bytes, kind: str, width: int | None = None) -> np.ndarray:
+    whole = np.dtype(kind).itemsize
+    got = np.frombuffer(b, "u1").reshape(width or whole, -1).T
+    if width and width < whole:
+        got = np.concatenate((got, np.zeros((len(got), whole - width), "u1")), axis=1)
+    return np.ascontiguousarray(got).reshape(-1).view(kind)
 
 
-def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-    """One row per bucket: (bucket, a blob for each column)."""
+def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray], width: dict[str, int] | None = None) -> pa.RecordBatch | None:
+    """One row per bucket: (bucket, a blob for each column); ``width``: columns of which only low bytes are sent."""
     if not len(bucket):
         return None
     by = np.argsort(bucket, kind="stable")
@@ -126,14 +129,14 @@ def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatc
     edge = edges(firsts(got))
     out = {"bucket": pa.array(got[edge[:-1]].astype("i8"))}
     for name, a in columns.items():
-        a = a[by]
-        out[name] = pa.array([planes(a[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        a, w = a[by], (width or {}).get(name)
+        out[name] = pa.array([planes(a[s:e], w) for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
-def gathered(table: pa.Table, name: str, kind: str) -> np.ndarray:
+def gathered(table: pa.Table, name: str, kind: str, width: int | None = None) -> np.ndarray:
     """The blobs of a column put together again."""
-    got = [unplane(b, kind) for b in table.column(name).to_pylist()]
+    got = [unplane(b, kind, width) for b in table.column(name).to_pylist()]
     return np.concatenate(got) if got else np.zeros(0, kind)
 
 

@@ -154,7 +154,7 @@ def test_repeats_hot_phrase(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, rows).repartition(7)).collect()}
     assert got == brute_repeats(rows, 13)
     batch = pa.RecordBatch.from_pydict({"row": [i for i, _ in rows], "doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
-    sent = [wordhash.unplane(x.as_py(), "u8") for b in substring._anchors(13, 4)(iter([batch])) if b.column("bucket")[0].as_py() >= 0 for x in b.column("hash")]
+    sent = [wordhash.unplane(x.as_py(), "u8", substring.ANCHOR_BYTES) for b in substring._anchors(13, 4, True)(iter([batch])) if b.column("bucket")[0].as_py() >= 0 for x in b.column("hash")]
     assert np.unique(np.concatenate(sent), return_counts=True)[1].max() == 1
     same = [(1, hot), (1, hot + " more"), (2, "a " + hot), (None, hot)]
     assert sorted((r["n_words"], r["n_removed"]) for r in substring.remove_repeats(frame(spark, same)).collect()) == [(20, 0), (20, 0), (21, 0), (21, 20)]
