@@ -31,14 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
 _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def clear_stored(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that this session's operators wrote (but for the first ``keep``), once what was made of them
-    has been saved elsewhere."""
-    jvm = spark.sparkContext._jvm
-    paths = _written.get(spark, [])
-    while len(paths) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+def tables_written(spark: SparkSession) -> int:
+    """How many tables this session's operators have written and not yet deleted."""
+    return len(_written.get(spark, []))
+
+
+def clear_stored(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that this session's operators wrote, from the ``since``-th on (``keep_last``: but for the last one),
+    once what was made of them has been saved elsewhere."""
+    jvm, paths = spark.sparkContext._jvm, _written.get(spark, [])
+    end = len(paths) - keep_last
+    for name in paths[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del paths[since:end]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

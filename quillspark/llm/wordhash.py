@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 #: Bytes of text a worker hashes at once (one longer text is taken alone), and bytes of it split into words at once.
-RUN_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+RUN_BYTES, SLICE_BYTES = 2 << 20, 512 << 10
 #: Bytes that a group of one hash range should hold, and tasks that an exchange has at most.
 GROUP_BYTES, MOST_TASKS = 16 << 20, 1 << 15
 _Q = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
