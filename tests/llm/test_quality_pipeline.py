@@ -145,3 +145,23 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in frames[-1].collect()} == set(rows[4])
     ran = c.run(spark, str(tmp_path))
     assert ran.columns == frames[-1].columns and ran.count() == frames[-1].count()
+
+
+def test_pipeline_edges(spark, tmp_path, monkeypatch):
+    """Nulls, empty texts, repeated rows, clashing columns and an empty table through run(); its own tables are deleted."""
+    import corpus_pipeline as c
+    from quillspark.llm.common import tables_written
+
+    monkeypatch.setattr(quality, "ACCEPT", 0.0)  # every document stays
+    prose = "one two three four five six seven eight nine ten"
+    rows = [(1, prose), (1, prose), (2, prose + " eleven"), (3, None), (4, ""), (None, "no id here"), (5, "me@a.example.org wrote this text"), (6, prose.upper() + "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _stay int, row int")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for f in "ab":
+        spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{f}/labels.parquet")
+    before = tables_written(spark)
+    got = c.run(spark, f"{tmp_path}/a").collect()
+    assert tables_written(spark) == before + 1
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "3", "5", "None"]
+    assert c.run(spark, f"{tmp_path}/b").count() == 0
