@@ -1,11 +1,15 @@
-"""A training corpus from raw documents: five stages, each over all that its predecessor kept."""
+"""A training corpus from raw documents: five stages, each over all that its predecessor kept.
+
+Null and empty texts count as empty documents: the classifier scores them like any other, of those it keeps one stays as an
+exact copy of the others, without words it is no near copy, and it is packed as its end id.  Of repeated rows one stays.
+Extra columns, whatever their names, are carried up to the packing.  An empty table gives no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import exact_dedup, ngram_join, packing, pii, quality
-from quillspark.llm.common import stored
+from quillspark.llm.common import clear_stored, stored, tables_written
 from quillspark.llm.queries import tokenizer_file
 
 
@@ -47,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage.  Each stage's table is kept until the next one is written, tables inside a stage until its end."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_written(spark)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_stored(spark, before, keep_last=True)
     return docs
