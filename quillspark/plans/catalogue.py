@@ -300,7 +300,29 @@ def pack_lines(read):
     return packing.packed(rows, ["conv_id"], "items", "w", 400, "\n").select("conv_id", "chunk_index", "n_items", "tokens")
 
 
-@query()
+_WORDS = r"len(regexp_extract_all({}, '\w+|[^\w\s]'))"
+_CHUNK_SENTENCES = rf"""WITH RECURSIVE items AS (
+  SELECT k, item, {_WORDS.format('item')} AS w, row_number() OVER (PARTITION BY k ORDER BY i) AS pos
+  FROM (SELECT doc_id AS k, trim(unnest(l), chr(32) || chr(9)) AS item, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[。！？；\n\r]') AS l FROM documents)) WHERE item <> ''),
+g AS (
+  SELECT k, pos, w, w AS total, 0 AS chunk FROM items WHERE pos = 1
+  UNION ALL
+  SELECT i.k, i.pos, i.w, CASE WHEN g.total + i.w <= 400 THEN g.total + i.w ELSE i.w END, CASE WHEN g.total + i.w <= 400 THEN g.chunk ELSE g.chunk + 1 END
+  FROM g JOIN items i ON i.k = g.k AND i.pos = g.pos + 1),
+whole AS (SELECT k, chunk, sum(g.w)::BIGINT AS tokens, string_agg(item, ' ' ORDER BY pos) AS text FROM g JOIN items USING (k, pos) GROUP BY k, chunk),
+words AS (SELECT k, chunk, unnest(l) AS item, generate_subscripts(l, 1) AS pos FROM (SELECT k, chunk, regexp_split_to_array(text, '\s+') AS l FROM whole WHERE tokens > 400)),
+v AS (SELECT k, chunk, item, pos, {_WORDS.format('item')} AS w FROM words),
+h AS (
+  SELECT k, chunk, pos, w, w AS total, 0 AS part FROM v WHERE pos = 1
+  UNION ALL
+  SELECT v.k, v.chunk, v.pos, v.w, CASE WHEN h.total + v.w <= 400 THEN h.total + v.w ELSE v.w END, CASE WHEN h.total + v.w <= 400 THEN h.part ELSE h.part + 1 END
+  FROM h JOIN v ON v.k = h.k AND v.chunk = h.chunk AND v.pos = h.pos + 1),
+cut AS (SELECT k, chunk, part, sum(h.w)::BIGINT AS tokens, string_agg(item, ' ' ORDER BY pos) AS text FROM h JOIN v USING (k, chunk, pos) GROUP BY k, chunk, part),
+every AS (SELECT k, chunk, 0 AS part, tokens, text FROM whole WHERE tokens <= 400 UNION ALL SELECT * FROM cut)
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY chunk, part) - 1 AS chunk_index, tokens, text FROM every"""
+
+
+@query(_CHUNK_SENTENCES)
 def chunk_sentences(read):
     return packing.chunk_sentences(read("documents"), "doc_id", "text")
 
@@ -310,6 +332,25 @@ def chunk_html(read):
     return packing.chunk_html(read("pages"), "page_id", "html")
 
 
+@query(_GREEDY.format(items=f"SELECT conv_id AS k, {_WORDS.format('text')}::BIGINT AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 4, turn) AS pos FROM conversations", limit=300, joiner=0)
+       + """, e AS (SELECT conv_id AS k, turn // 4 AS page, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 4, turn) AS pos FROM conversations)
+SELECT k AS conv_id, chunk::BIGINT AS chunk_index, sum(w)::BIGINT AS tokens, string_agg(DISTINCT role, ',' ORDER BY role) AS types, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS pages FROM g JOIN e USING (k, pos) GROUP BY k, chunk""")
+def element_chunks(read):
+    """Turns as layout elements: four to a page, by height."""
+    rows = read("conversations").select("conv_id", F.floor(F.col("turn") / 4).cast("long").alias("page"), F.col("turn").alias("y"), F.col("turn").alias("pos"), F.col("role").alias("type"), F.col("text").alias("content"))
+    out = packing.pack_elements(rows, "conv_id", 300)
+    return out.select("conv_id", "chunk_index", "tokens", F.array_join("element_types", ",").alias("types"), F.array_join(F.array_sort(F.transform("page_numbers", lambda p: p.cast("string"))), ",").alias("pages"))
+
+
+@query(_GREEDY.format(items=f"SELECT o_custkey AS k, {_WORDS.format("line")}::BIGINT AS w, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM (SELECT *, '| ' || o_orderkey || ' | ' || o_orderpriority || ' |' AS line FROM orders)", limit=40 - 21, joiner=0)
+       + """SELECT k AS o_custkey, chunk::BIGINT AS chunk_index, min(pos) - 1 AS first, count(*) AS n_rows FROM g GROUP BY k, chunk""")
+def table_row_chunks(read):
+    """A customer's orders as a table, cut into ranges of rows."""
+    rows = read("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("c")))).alias("r"))
+    tables = rows.select("o_custkey", F.array(F.lit("order"), F.lit("priority")).alias("head"), F.col("r.c").alias("rows"))
+    return packing.pack_table_rows(tables, "o_custkey", "head", "rows", 40).select("o_custkey", "chunk_index", "first", "n_rows")
+
+
 @query("SELECT conv_id, turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 5)::BIGINT AS group_no FROM conversations")
 def fixed_groups(read):
     return packing.fixed_groups(read("conversations"), "conv_id", ["turn"], 5).select("conv_id", "turn", "group_no")
@@ -694,6 +735,11 @@ def device_totals(read):
     return read("supplier").groupBy(F.col("s_nationkey").alias("node")).agg(F.round(F.sum(F.coalesce("s_acctbal", F.lit(0.0))), 2).alias("used"))
 
 
+@query("SELECT round(sum(coalesce(s_acctbal, 0)), 2) AS total_gb, round(sum(s_suppkey % 16), 2)::DOUBLE AS used_gb, count(*) AS n FROM supplier")
+def device_memory(read):
+    return registry.device_totals(read("supplier").select(F.col("s_acctbal").alias("total_gb"), (F.col("s_suppkey") % 16).cast("double").alias("used_gb")))
+
+
 @query("SELECT s_suppkey AS device FROM supplier ORDER BY s_acctbal >= 5000 DESC, s_acctbal DESC, s_suppkey LIMIT 1")
 def select_device(read):
     d = read("supplier").select(F.col("s_suppkey").alias("device"), F.col("s_acctbal").alias("free_gb"), F.lit(0.0).alias("load"))
