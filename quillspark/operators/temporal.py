@@ -35,9 +35,9 @@ def best_speaker(speech: DataFrame, turns: DataFrame, key: str, bin_size: float
     return speech.join(best, [key, "pos"], "left").select(*speech.columns, F.col("b.speaker").alias("speaker"))
 
 
-def overlapping_labels(speech: DataFrame, segments: DataFrame, key: str, threshold: float = 0.4) -> DataFrame:
+def overlapping_labels(speech: DataFrame, segments: DataFrame, key: str, threshold: float = 0.4, bin_size: float | None = None) -> DataFrame:
     """(key, pos, labels): distinct labels above the threshold of the segments (key, s2, e2, top_classes) that overlap."""
-    pairs = overlap_join(speech.select(key, "pos", "s1", "e1"), segments, key)
+    pairs = overlap_join(speech.select(key, "pos", "s1", "e1"), segments, key, "inner", bin_size)
     labels = pairs.select(key, "pos", F.explode("top_classes").alias("c")).where(F.col("c.probability") > threshold)
     found = labels.groupBy(key, "pos").agg(F.array_sort(F.collect_set("c.label")).alias("labels"))
     return speech.select(key, "pos").join(found, [key, "pos"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))

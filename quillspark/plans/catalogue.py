@@ -411,14 +411,14 @@ def overlap_join(read):
 
 @query(f"WITH {_SPEECH}, b AS (SELECT user_id, pos, speaker, row_number() OVER (PARTITION BY user_id, pos ORDER BY overlap DESC, turn_pos) AS n FROM pairs) SELECT s.user_id, s.pos, b.speaker FROM speech s LEFT JOIN b ON b.user_id = s.user_id AND b.pos = s.pos AND b.n = 1")
 def argmax_overlap(read):
-    return temporal.best_speaker(*_speech(read), "user_id").select("user_id", "pos", "speaker")
+    return temporal.best_speaker(*_speech(read), "user_id", 3600.0).select("user_id", "pos", "speaker")
 
 
 @query(f"WITH {_SPEECH}, l AS (SELECT DISTINCT user_id, pos, 'l' || (turn_pos % 3) AS label FROM pairs WHERE (turn_pos % 10) / 10.0 > 0.4) SELECT s.user_id, s.pos, coalesce(string_agg(label, ',' ORDER BY label), '') AS labels FROM speech s LEFT JOIN l ON l.user_id = s.user_id AND l.pos = s.pos GROUP BY s.user_id, s.pos")
 def label_union_over_threshold(read):
     speech, turns = _speech(read)
     c = F.array(F.struct(F.concat(F.lit("l"), (F.col("turn_pos") % 3).cast("string")).alias("label"), ((F.col("turn_pos") % 10) / 10.0).alias("probability")))
-    out = temporal.overlapping_labels(speech, turns.withColumn("top_classes", c), "user_id")
+    out = temporal.overlapping_labels(speech, turns.withColumn("top_classes", c), "user_id", bin_size=3600.0)
     return out.select("user_id", "pos", F.array_join("labels", ",").alias("labels"))
 
 
