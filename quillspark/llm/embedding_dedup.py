@@ -1,8 +1,9 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison: exact links of cosine >= threshold.
 
 The second moments of all vectors (summed by Spark) give a rotation whose first coordinates carry most of the
-length.  Vectors are ordered by the first coordinate and cut into groups of about GROUP; two groups are compared
-only if their intervals lie close enough for a pair to reach the threshold.  In a pair of groups the products are
+length.  Vectors are ordered by the first coordinate and cut into groups; two groups are compared only if their
+intervals lie close enough for a pair to reach the threshold.  Each group travels once to each comparison it takes part in,
+so there are as few groups as keep all cores busy and as GROUP_BYTES allows; components travel in the width they were given in.  In a pair of groups the products are
 accumulated over the LEAD first coordinates, with the product of the suffix norms as a bound on the rest, then over
 further coordinates for the pairs that can still reach the threshold, and at last in double precision on the given vectors.
 
@@ -15,17 +16,20 @@ length link with nothing of another length.  A null id takes no part and gets a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import components, stored
 
-#: Vectors of a group, rows of a tile, coordinates accumulated before the first bound.
-GROUP, TILE, LEAD = 4096, 512, 20
+#: Vectors that a group need not go below, bytes of its vectors in double precision that it doesn't go beyond (but for GROUP vectors),
+#: products of a tile, coordinates accumulated before the first bound.
+GROUP, GROUP_BYTES, TILE, LEAD = 4096, 8 << 20, 1 << 22, 20
 #: Slack of the single-precision bounds.
 SLACK = 1e-4
 
@@ -73,7 +77,13 @@ def _place(dim: int, axis: np.ndarray, bounds: np.ndarray | None):
     return run
 
 
-def _blob(dim: int, edges: np.ndarray, reach: float):
+def group_count(n: int, dim: int, cores: int) -> int:
+    """Groups of ``n`` vectors: the pairs of groups occupy ``cores`` twice unless groups would fall below GROUP, within GROUP_BYTES a group."""
+    most = max(GROUP, GROUP_BYTES // (8 * max(1, dim)))
+    return max(1, -(-n // most), min(-(-n // GROUP), math.isqrt(4 * cores)))
+
+
+def _blob(dim: int, edges: np.ndarray, reach: float, width: str):
     """A group as one row, with the range of groups it has to be compared with."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -81,7 +91,7 @@ def _blob(dim: int, edges: np.ndarray, reach: float):
         lo = np.searchsorted(edges[1:], edges[g] - reach)
         hi = np.searchsorted(edges[:-1], edges[g + 1] + reach, "right") - 1
         x = _matrix(table.column("vec"), dim)
-        return pa.table({"g": [g], "lo": [int(min(lo, g))], "hi": [int(max(hi, g))], "ids": [table.column("rep").to_numpy().astype("i8").tobytes()], "ms": [table.column("m").to_numpy().astype("i8").tobytes()], "vecs": [np.ascontiguousarray(x, "f8").tobytes()]})
+        return pa.table({"g": [g], "lo": [int(min(lo, g))], "hi": [int(max(hi, g))], "ids": [table.column("rep").to_numpy().astype("i8").tobytes()], "ms": [table.column("m").to_numpy().astype("i8").tobytes()], "vecs": [np.ascontiguousarray(x, width).tobytes()]})
 
     return run
 
@@ -94,9 +104,10 @@ def _candidates(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, thre
     la, lb = with_rest(a), with_rest(b)
     need = threshold - SLACK
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-    for i0 in range(0, len(a), TILE):
+    tile = max(1, TILE // max(1, len(b)))
+    for i0 in range(0, len(a), tile):
         start = i0 if same else 0
-        hit = np.flatnonzero((la[i0 : i0 + TILE] @ lb[start:].T).ravel() >= need)
+        hit = np.flatnonzero((la[i0 : i0 + tile] @ lb[start:].T).ravel() >= need)
         i, j = np.divmod(hit, len(b) - start)
         i, j = i + i0, j + start
         if same:
@@ -114,13 +125,15 @@ def _candidates(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, thre
             yield p[keep], q[keep]
 
 
-def _compare(dim: int, rotation: np.ndarray, threshold: float):
+def _compare(dim: int, rotation: np.ndarray, threshold: float, width: str):
     def run(table: pa.Table) -> pa.Table:
         parts = []
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        if not same and table.num_rows < 2:  # a group beside an empty one
+            return pa.table({"id": pa.array([], "i8"), "links": pa.array([], "i8"), "root": pa.array([], "i8")})
         for row in sorted(table.to_pylist(), key=lambda r: r["g"]):
-            x = np.frombuffer(row["vecs"], "f8").reshape(-1, dim)
+            x = np.frombuffer(row["vecs"], width).reshape(-1, dim).astype("f8")
             parts.append((np.frombuffer(row["ids"], "i8"), np.frombuffer(row["ms"], "i8"), x, (_unit(x) @ rotation).astype("f4")))
-        same = len(parts) == 1
         (ia, ma, xa, ya), (ib, mb, xb, yb) = parts[0], parts[-1]
         shift = 0 if same else len(ia)
         ids = ia if same else np.concatenate((ia, ib))
@@ -145,16 +158,15 @@ def _compare(dim: int, rotation: np.ndarray, threshold: float):
     return run
 
 
-def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(id, links, root) rows of all comparisons among class representatives of one length."""
+def _links(classes: DataFrame, dim: int, threshold: float, width: str) -> DataFrame:
+    """(id, links, root) rows of all comparisons among class representatives of one length; ``width``: type in which components travel."""
     rows = classes.where(F.size("vec") == dim).select("rep", "m", "vec")
     sums = rows.select("vec").mapInArrow(_moments(dim), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # dim * dim numbers
     moment = np.zeros((dim, dim))
     for r in sums:
         moment[r["i"], r["j"]] = r["v"]
     rotation = np.linalg.eigh((moment + moment.T) / 2)[1][:, ::-1].copy()
-    n = rows.count()
-    groups = -(-n // GROUP)
+    groups = group_count(rows.count(), dim, rows.sparkSession.sparkContext.defaultParallelism)
     bounds = np.zeros(0)
     if groups > 1:
         y = rows.mapInArrow(_place(dim, rotation[:, 0], None), "y double")
@@ -163,20 +175,21 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     edges = np.concatenate(([-np.inf], bounds, [np.inf]))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6)
     placed = rows.mapInArrow(_place(dim, rotation[:, 0], bounds), "g long, rep long, m long, vec array<double>")
-    blobs = stored(placed.groupBy("g").applyInArrow(_blob(dim, edges, reach), "g long, lo long, hi long, ids binary, ms binary, vecs binary"), "groups")
+    blobs = stored(placed.groupBy("g").applyInArrow(_blob(dim, edges, reach, width), "g long, lo long, hi long, ids binary, ms binary, vecs binary"), "groups")
     dealt = blobs.select("*", F.explode(F.sequence("lo", "hi")).alias("p")).select(F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b"), "g", "ids", "ms", "vecs")
-    return stored(dealt.groupBy("a", "b").applyInArrow(_compare(dim, rotation, threshold), "id long, links long, root long"), "vector-links")
+    return stored(dealt.groupBy("a", "b").applyInArrow(_compare(dim, rotation, threshold, width), "id long, links long, root long"), "vector-links")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
+    width = "f4" if vectors.schema[vec_col].dataType == ArrayType(FloatType(), vectors.schema[vec_col].dataType.containsNull) else "f8"
     vec = F.col(vec_col).cast("array<double>")
     fine = vec.isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(vec, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine & F.col(id_col).isNotNull(), vec).alias("vec"))
     classes = stored(rows.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
     found = None
     for row in classes.select(F.size("vec").alias("dim")).distinct().collect():  # the lengths that occur, commonly one
-        got = _links(classes, row["dim"], threshold)
+        got = _links(classes, row["dim"], threshold, width)
         found = got if found is None else found.unionByName(got)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, root long")

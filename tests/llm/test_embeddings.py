@@ -45,3 +45,19 @@ def test_edges(spark):
     assert e.near_vectors(spark.createDataFrame([], schema)).count() == 0
     got = e.near_vectors(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)).collect()
     assert sorted(map(str, map(tuple, got))) == ["(1, 1, 1, True)", "(1, 1, 1, True)", "(2, 0, 2, True)", "(None, 0, None, False)"]
+
+
+def test_components_keep_their_precision(spark, monkeypatch):
+    """Pairs whose cosine passes or misses the threshold only in double precision, over several groups."""
+    monkeypatch.setattr(e, "GROUP", 16)
+    angle = math.acos(0.9)
+    rows = [(k, [math.cos(t), math.sin(t), 0.0]) for k, t in enumerate(i * 0.1 + d for i in range(40) for d in (0.0, angle - 1e-9, angle + 1e-9))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in e.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
+    assert got == brute(rows, 0.9)
+
+
+def test_group_count():
+    assert e.group_count(0, 64, 8) == e.group_count(4096, 64, 8) == 1
+    assert e.group_count(51282, 64, 6) == 4  # as few as occupy six cores
+    assert e.group_count(51282, 64, 4000) == 13  # none below GROUP for more cores
+    assert e.group_count(10**6, 64, 6) == 62  # none beyond GROUP_BYTES
