@@ -6,6 +6,7 @@ intervals, conversations are transcripts, part and supplier are registries."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1146,5 +1147,92 @@ def stream_fanin(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("key").alias("correlation_id"), "errors")
 
 
-_QUERIES |= {"stream_dedup": stream_dedup, "stream_fanin": stream_fanin}
+def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as CSV files, with their line breaks and quotes, and read again as text."""
+    from quillspark.sources import readers
+    from quillspark.streaming import flow
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    folder = f"{flow.shared_folder(spark)}/csv-scan-{uuid.uuid4().hex}"
+    docs.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.csv_table(spark, folder).select("doc_id", "lang", "source", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def sql_text(spark: SparkSession, sf: str) -> DataFrame:
+    """A query given as SQL text with parameters, over the supplied tables."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    return spark.sql(
+        """SELECT n_name AS nation, o_orderstatus AS status, count(*) AS orders, count(DISTINCT o_custkey) AS customers
+           FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
+           WHERE o_orderstatus <> :without GROUP BY n_name, o_orderstatus""",
+        args={"without": "P"}, orders=read("orders"), customer=read("customer"), nation=read("nation"),
+    )
+
+
+_QUERIES |= {"csv_scan": csv_scan, "sql_text": sql_text}
+_SQL |= {
+    "csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, length(nullif(text, ''))::INTEGER AS chars, sha256(nullif(text, '')) AS text_sha256 FROM documents",
+    "sql_text": "SELECT n_name AS nation, o_orderstatus AS status, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus <> 'P' GROUP BY n_name, o_orderstatus",
+}
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS users_near, min(value) AS low, true AS median_near, max(value) AS high FROM events GROUP BY event_type")
+def approximate_counts(read):
+    """Distinct users by sketch and the median by sketch: are they within a tenth of the count, within a hundredth of the ranks?"""
+    e = read("events").select("event_type", "user_id", "value")
+    about = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+    exact = e.join(about, "event_type").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"),
+        F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"), F.first("about").alias("about"),
+    )
+    near = (F.col("below") <= F.col("n") * 0.51) & (F.col("upto") >= F.col("n") * 0.49)
+    return exact.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= F.col("users") * 0.1).alias("users_near"), "low", near.alias("median_near"), "high")
+
+
+#: Which events stand for which message of a task; the user is the task.
+_MESSAGES_OF = {
+    "document": {"request": "event_type = 'signup'", "analysis": "event_type = 'view'", "summary": "event_type = 'click'", "save": "event_type = 'purchase'"},
+    "audio": {
+        "request": "event_type = 'signup'", "asr": "event_type = 'view'", "diarization": "event_type = 'click'", "classification": "event_type = 'error'",
+        "summary": "event_type = 'purchase' AND value < 20", "save": "event_type = 'purchase' AND value >= 20",
+    },
+    "video": {"request": "event_type = 'signup'", "video": "event_type = 'view'", "audio": "event_type = 'click'", "summary": "event_type = 'error'", "save": "event_type = 'purchase'"},
+    "image": {"request": "event_type = 'signup'", "description": "event_type = 'view'", "ocr": "event_type = 'click'", "merge": "event_type = 'error'", "save": "event_type = 'purchase'"},
+}
+
+
+def _message_kind(modality: str) -> str:
+    return "CASE " + " ".join(f"WHEN {where} THEN '{kind}'" for kind, where in _MESSAGES_OF[modality].items()) + " END"
+
+
+def _steps_query(modality: str) -> Callable[[SparkSession, str], DataFrame]:
+    def steps(spark: SparkSession, sf: str) -> DataFrame:
+        from quillspark.streaming import flow
+
+        rows = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("correlation_id"), F.expr(_message_kind(modality)).alias("event"), F.when(F.col("value") > 90, "failed").otherwise("ok").alias("status"), "ts", "event_id")
+        out = flow.run_to_files(flow.step_machine(rows, modality, order="event_id"), f"stream-steps-{modality}")
+        return out.select(F.col("key").alias("correlation_id"), "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+    return steps
+
+
+def _steps_sql(modality: str) -> str:
+    """Each step as a query of its own: the first answer of every branch after the step began, and the last of them ends it."""
+    from quillspark.streaming import flow
+
+    steps, parallel = flow.STEPS[modality], flow.PARALLEL.get(modality, {})
+    parts = [
+        f"e AS (SELECT CAST(user_id AS VARCHAR) AS id, struct_pack(t := ts, n := event_id) AS moment, {_message_kind(modality)} AS kind, coalesce(value > 90, false) AS bad FROM events)",
+        f"s0 AS (SELECT id, min(moment) AS moment, false AS bad, '{steps[0]}' AS step FROM e WHERE kind = 'request' GROUP BY id)",
+    ]
+    for k, step in enumerate(steps[:-1]):
+        branches = parallel.get(step, (step,))
+        among = ", ".join(f"'{b}'" for b in branches)
+        parts.append(f"f{k} AS (SELECT e.id, kind, min(e.moment) AS moment, arg_min(e.bad, e.moment) AS bad FROM e JOIN s{k} s ON e.id = s.id AND e.moment > s.moment AND NOT s.bad WHERE kind IN ({among}) GROUP BY e.id, kind)")
+        parts.append(f"s{k + 1} AS (SELECT id, max(moment) AS moment, bool_or(bad) AS bad, CASE WHEN bool_or(bad) THEN 'error:{step}' ELSE '{steps[k + 1]}' END AS step FROM f{k} GROUP BY id HAVING count(*) = {len(branches)})")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT id AS correlation_id, step, strftime(moment.t, '%Y-%m-%d %H:%M:%S') AS since FROM s{k}" for k in range(len(steps)))
+
+
+_QUERIES |= {"stream_dedup": stream_dedup, "stream_fanin": stream_fanin} | {f"stream_steps_{m}": _steps_query(m) for m in _MESSAGES_OF}
+_SQL |= {f"stream_steps_{m}": _steps_sql(m) for m in _MESSAGES_OF}
 _SQL |= {"stream_dedup": "SELECT event_id, user_id, event_type FROM events", "stream_fanin": _SQL["fanin_2"]}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Encodings in the order they are tried (fixed values).
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "big5", "cp1252")
@@ -48,14 +49,27 @@ def text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def csv_table(spark: SparkSession, path: str, checked: int = 1000) -> DataFrame:
-    """Every value as text, by the header's names.  A file whose header or one of its first rows has another number of
-    fields is refused as a whole."""
-    raw = spark.read.text(path, wholetext=False).limit(checked + 1)
-    rows = raw.select(F.size(F.regexp_extract_all("value", F.lit(r'(?:^|,)(?:"(?:[^"]|"")*"|[^,]*)'), F.lit(0))).alias("n")).agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
-    if rows["a"] is None or rows["a"] != rows["b"]:
-        raise ValueError(f"rows of {path} differ in their number of fields" if rows["a"] is not None else f"{path} is empty")
-    df = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, encoding="UTF-8")
-    return df.toDF(*[c.removeprefix("﻿").strip('"') for c in df.columns])
+    """Every value as text, by the header's names; quotes inside quoted values are doubled, and quoted values may hold line breaks.
+
+    Records are parsed first.  If one of the first ``checked`` records of any file has another number of fields than the header,
+    ValueError names the files; so it does for a path without a header.  A file with another header than the others fails the read."""
+    options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+    names = spark.read.csv(path, inferSchema=False, **options).columns
+    if not names:
+        raise ValueError(f"{path} is empty")
+    bad = "_odd_record"
+    while bad in names:
+        bad += "_"
+    schema = StructType([StructField(n, StringType()) for n in [*names, bad]])
+    parsed = spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, enforceSchema=False, **options)
+    names_of = [F.col(f"`{n.replace('`', '``')}`") for n in names]
+    places = parsed.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))  # a file is one task's, its records number through
+    first = places.groupBy("_file").agg(F.min("_at").alias("first"), F.min(F.when(F.col(bad).isNotNull(), F.col("_at"))).alias("odd"), F.count(names_of[0]).alias("n"))
+    # Spark refuses to read the odd records' column alone, so the count of another stays in the plan
+    odd = [r["_file"] for r in first.where((F.col("odd") - F.col("first") < checked) & (F.col("n") >= 0)).select("_file").limit(10).collect()]
+    if odd:
+        raise ValueError(f"records differ in their number of fields in {', '.join(sorted(odd))}")
+    return parsed.drop(bad).toDF(*[c.removeprefix("\ufeff").strip('"') for c in names])
 
 
 def workbook_rows(files: DataFrame, open_book: Callable[[bytes], dict[str, list[list]]]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,6 +20,12 @@ STEPS = {
     "video": ("parallel_analysis", "summary", "save", "complete"),
     "image": ("parallel", "merge", "save", "complete"),
 }
+#: Branches that answer a parallel step; other steps are answered by an event of their own name (fixed values).
+PARALLEL = {
+    "audio": {"parallel_processing": ("asr", "diarization", "classification")},
+    "video": {"parallel_analysis": ("video", "audio")},
+    "image": {"parallel": ("description", "ocr")},
+}
 TASK_SECONDS = 1800
 STATE_SECONDS = 24 * 3600
 
@@ -92,29 +99,50 @@ def next_step(steps: Sequence[str], step: str | None, event: str, status: str) -
     return f"error:{event}" if status in ("error", "failed") else steps[steps.index(step) + 1]
 
 
-def step_machine(events: DataFrame, modality: str, key: str = "correlation_id") -> DataFrame:
-    """(key, step, ts) whenever a key's step changes.  Input: (key, event, status, ts) with a watermark."""
-    steps = STEPS[modality]
+def advance(steps: Sequence[str], parallel: dict[str, Sequence[str]], step: str | None, answered: dict[str, str], event: str, status: str) -> tuple[str | None, dict[str, str]]:
+    """(step, statuses of its branches so far) after an event.  A parallel step ends with the last branch's first answer, as failed if any branch failed."""
+    branches = parallel.get(step, ()) if step else ()
+    if event in branches:
+        answered = {event: status} | answered
+        if len(answered) < len(branches):
+            return step, answered
+        event, status = step, "failed" if {"error", "failed"} & set(answered.values()) else status
+    after = next_step(steps, step, event, status)
+    return after, answered if after == step else {}
+
+
+def step_machine(events: DataFrame, modality: str, key: str = "correlation_id", order: str | None = None) -> DataFrame:
+    """(key, step, ts) whenever a key's step changes.  Input: (key, event, status, ts) with a watermark.
+
+    A key's events of one micro-batch are taken by (ts, order), order being a column of whole numbers if given, whichever
+    chunks of rows bring them: of each chunk only what the machine can react to is kept."""
+    steps, parallel = STEPS[modality], PARALLEL.get(modality, {})
+    known = {"request", *steps[:-1], *(b for branches in parallel.values() for b in branches)}
+    by = ["ts"] if order is None else ["ts", order]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        step, out, last = (state.get[0] if state.exists else None), [], 0
-        for df in batches:
-            for r in df.sort_values("ts").itertuples(index=False):
-                last = max(last, int(r.ts.timestamp() * 1000))
-                after = next_step(steps, step, r.event, r.status)
-                if after != step:
-                    step = after
-                    out.append((k[0], step, r.ts))
+        step, names, statuses = state.get if state.exists else (None, [], [])
+        answered, out = dict(zip(names, statuses, strict=True)), []
+        parts = [df.loc[df["event"].isin(known), [*by, "event", "status"]] for df in batches]
+        rows = pd.concat(parts).sort_values(by, kind="stable")
+        for event, status, ts in zip(rows["event"], rows["status"], rows["ts"], strict=True):
+            after, answered = advance(steps, parallel, step, answered, event, status)
+            if after != step:
+                step = after
+                out.append((k[0], step, ts))
         if step is not None:
-            state.update((step,))
+            last = int(rows["ts"].iloc[-1].timestamp() * 1000) if len(rows) else 0
+            state.update((step, list(answered), list(answered.values())))
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * STATE_SECONDS)
         if out:
             yield pd.DataFrame(out, columns=["key", "step", "ts"])
 
-    return events.groupBy(key).applyInPandasWithState(run, "key string, step string, ts timestamp", "step string", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(
+        run, "key string, step string, ts timestamp", "step string, names array<string>, statuses array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def split_batch(guard: Callable[[DataFrame], DataFrame], good: Callable[[DataFrame], Any], bad: Callable[[DataFrame], Any]) -> Callable[[DataFrame, int], None]:
@@ -144,12 +172,20 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.table(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
+
+
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:
-    """The rows that a stream appends over all input there is, as files in the folder that driver and executors share
-    (``spark.checkpoint.dir``; a local one where that is unset, as in tests)."""
+    """The rows that a stream appends over all input there is, as files in the folder that driver and executors share."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     out = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -59,6 +59,25 @@ def test_steps(spark, tmp_path):
     assert flow.next_step(flow.STEPS["image"], "save", "save", "ok") == "complete"
 
 
+def test_steps_of_parallel_branches_in_any_order_of_chunks(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "correlation_id string, event string, status string, ts timestamp, id long"
+    a = ["asr", "request", "asr", "noise", "asr", "classification", "summary", "diarization", "save", "summary", "save"]
+    rows = [("a", e, "ok", at(i // 2), i) for i, e in enumerate(a)] + [("b", e, "failed" if e == "asr" else "ok", at(i), i) for i, e in enumerate(("request", "asr", "asr", "diarization", "classification", "summary"))]
+    s = _stream(spark, tmp_path, "branches", [rows[::-1]], schema).withWatermark("ts", "1 minute")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        got = flow.run_once(flow.step_machine(s, "audio", order="id"), "branches", str(tmp_path / "ckb")).orderBy("key", "ts", "step").collect()
+    finally:
+        spark.conf.set(size, before)
+    assert [(r["key"], r["step"], (r["ts"] - T0).seconds) for r in got] == [
+        ("a", "parallel_processing", 0), ("a", "summary", 3), ("a", "save", 4), ("a", "complete", 5),
+        ("b", "parallel_processing", 0), ("b", "error:parallel_processing", 4),
+    ]
+
+
 def test_windows_match_batch(spark, tmp_path):
     schema = "message_id string, user string, ts timestamp"
     rows = [(f"m{i % 40}", f"u{i % 3}", T0 + dt.timedelta(minutes=i)) for i in range(50)]
@@ -95,6 +114,17 @@ def test_csv(spark, tmp_path):
             readers.csv_table(spark, str(tmp_path / f"{name}.csv"))
 
 
+def test_csv_of_several_files_with_line_breaks(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "x.csv").write_text('a,b\n"line\nbreak","say ""so"", then"\n2,y\n')
+    (tmp_path / "many" / "y.csv").write_text("a,b\n3,z\n4\n")
+    with pytest.raises(ValueError, match="y.csv"):
+        readers.csv_table(spark, str(tmp_path / "many"))
+    assert readers.csv_table(spark, str(tmp_path / "many"), checked=1).count() == 4
+    got = sorted(map(tuple, readers.csv_table(spark, str(tmp_path / "many" / "x.csv")).collect()))
+    assert got == [("2", "y"), ("line\nbreak", 'say "so", then')]
+
+
 def test_books_and_layouts(spark, tmp_path):
     files = spark.createDataFrame([("p", b"x"), ("q", b"!")], "path string, content binary")
 
