@@ -114,7 +114,7 @@ def topics(spark) -> DataFrame:
 def route(requests: DataFrame, catalogue: DataFrame, stage: str = "processing") -> DataFrame:
     """Requests (filename, ...) with the topic of their file type; unknown types have none."""
     table = catalogue.where((F.col("stage") == stage) & (F.col("kind") == "requests")).select("modality", F.col("name").alias("topic"))
-    return requests.withColumn("modality", file_type(F.col("filename"))).join(F.broadcast(table), "modality", "left")
+    return requests.withColumn("modality", file_type(F.col("filename"))).join(table, "modality", "left")
 
 
 def fan_out(requests: DataFrame, modality: str) -> DataFrame:

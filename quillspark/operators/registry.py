@@ -122,7 +122,7 @@ def device_totals(devices: DataFrame) -> DataFrame:
 def compatible(requests: DataFrame, task_engines: DataFrame) -> DataFrame:
     """Requests (task, engine, data map) with an error: unknown task, engine not for the task, or missing data."""
     table = task_engines.groupBy("task").agg(F.collect_set("engine").alias("engines"), F.first("required").alias("required"))
-    rows = requests.join(F.broadcast(table), "task", "left")
+    rows = requests.join(table, "task", "left")
     missing = F.array_except("required", F.map_keys("data"))
     error = F.when(F.col("engines").isNull(), "unknown task").when(~F.array_contains("engines", F.col("engine")), "engine not supported").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
     return rows.withColumn("error", error).drop("engines", "required")

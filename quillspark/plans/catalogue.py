@@ -805,7 +805,7 @@ def element_type_union(read):
 
 @query("SELECT n_name, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY CUBE (n_name, c_mktsegment)")
 def cube(read):
-    j = read("orders").join(read("customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(read("nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    j = read("orders").join(read("customer"), F.col("c_custkey") == F.col("o_custkey")).join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return j.cube("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
