@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest key side, in bytes, that a join may broadcast; beyond it the join shuffles.
@@ -86,6 +86,19 @@ def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: i
     return big.join(F.broadcast(small) if measured <= BROADCAST_BYTES else small.hint("merge"), on, how)
 
 
+def ranked(rows: DataFrame, *by: Column) -> DataFrame:
+    """``rows`` with ``rank``, 0, 1, 2, ... in the order ``by``, without bringing them all into one task: they are sorted in
+    ranges, and a range starts where the counts of those before it end.  Stored once, as ranges are cut by samples."""
+    number = free_name(rows, "number")
+    cut = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright(number, 33).alias("part")
+    sizes = cut.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row per range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(sizes.select("part", before.alias("start")), "ranges")
+    out = sized_join(cut.withColumn("part", part), starts, "part", "inner", 24)
+    return out.withColumn("rank", F.col("start") + F.col(number).bitwiseAND((1 << 33) - 1)).drop("part", "start", number)
+
+
 def _stars(links: DataFrame) -> bool:
     """Every node has one smaller neighbour at most, and that one has none: each component is a star around its smallest id."""
     row = links.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("k")).first()
