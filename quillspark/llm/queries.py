@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, importance, langid, ngram_join, packing, pieces, pii, quality, sharding, substring
+from . import embedding_dedup, exact_dedup, importance, langid, merkle, ngram_join, packing, pieces, pii, quality, sharding, substring
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 512 << 10
@@ -70,6 +70,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(docs, text=F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = merkle.manifest(docs, other=tampered)
+    return merkle.verify(rows.withColumn("found", F.coalesce("other", "leaf")), "found").withColumnRenamed("id", "doc_id")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return importance.resample(docs, _read(spark, sf_dir, "benchmark").select("text"), percent=10, longest=1, least_words=20).drop("n_words")
@@ -79,7 +86,7 @@ def queries() -> dict:
     every = (
         op1_pii, op2_quality, op3_exact_dedup, op4_packing, op5_language_id, op6_ngram_jaccard_join,
         op7_substring_dedup, op8_sharding, op9_embedding_near_dedup, op10_sentencepiece,
-        op12_importance_resampling,
+        op11_merkle_manifest, op12_importance_resampling,
     )
     return {f.__name__: f for f in every}
 
@@ -150,6 +157,35 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
 
 
+def _hashed(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+_CLIMB = "SELECT tree, level + 1 AS level, pos // 3 AS pos, (n + 2) // 3 AS n, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM {0} WHERE n > 1 GROUP BY tree, level, pos // 3, n"
+_BESIDE = """SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lft, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rgt
+  FROM {0} a JOIN {0} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL"""
+
+_OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('.' || source, '') AS tree, {_hashed("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+        CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN {_hashed("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} END AS other FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+up AS (SELECT tree, 0 AS level, pos, n, leaf AS digest FROM l UNION ALL {_CLIMB.format("up")}),
+subroots AS (SELECT tree AS name, digest AS subroot FROM up WHERE n = 1),
+top AS (SELECT '' AS tree, 0 AS level, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n, subroot AS digest FROM subroots UNION ALL {_CLIMB.format("top")}),
+s AS ({_BESIDE.format("up")}),
+t AS ({_BESIDE.format("top")}),
+f AS (SELECT doc_id, tree, 0 AS level, pos, coalesce(other, leaf) AS digest, '' AS proof FROM l
+      UNION ALL SELECT doc_id, f.tree, f.level + 1, f.pos // 3, sha256(lft || digest || rgt), proof || lft || rgt FROM f JOIN s USING (tree, level, pos)),
+groups AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM subroots),
+g AS (SELECT doc_id, 0 AS level, g.pos, arg_max(f.digest, f.level) AS digest, arg_max(f.proof, f.level) AS proof FROM f JOIN groups g ON g.name = f.tree GROUP BY doc_id, g.pos
+      UNION ALL SELECT doc_id, g.level + 1, g.pos // 3, sha256(lft || digest || rgt), proof || lft || rgt FROM g JOIN t USING (level, pos)),
+z AS (SELECT doc_id, arg_max(digest, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM g GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN subroots ON name = tree JOIN z USING (doc_id), (SELECT digest AS root FROM top WHERE n = 1)
+"""
+
+
 _OP12 = rf"""
 WITH {_CRC_TABLE},
 f AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -174,4 +210,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 
 def oracle_sql() -> dict[str, str]:
     """The fitted, trained or hashed queries (1, 2, 4, 5, 8, 10) have none; tests/llm compares them with plain versions."""
-    return {"op3_exact_dedup": _OP3, "op6_ngram_jaccard_join": _OP6, "op7_substring_dedup": _OP7, "op9_embedding_near_dedup": _OP9, "op12_importance_resampling": _OP12}
+    return {"op3_exact_dedup": _OP3, "op6_ngram_jaccard_join": _OP6, "op7_substring_dedup": _OP7, "op9_embedding_near_dedup": _OP9, "op11_merkle_manifest": _OP11, "op12_importance_resampling": _OP12}
