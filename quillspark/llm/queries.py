@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, importance, langid, merkle, ngram_join, packing, pieces, pii, quality, sharding, substring
+from . import bpe, embedding_dedup, exact_dedup, importance, langid, merkle, ngram_join, packing, pieces, pii, quality, sharding, substring
 
 #: Bytes of text a shard may hold.
 SHARD_BYTES = 512 << 10
@@ -82,11 +82,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, _read(spark, sf_dir, "benchmark").select("text"), percent=10, longest=1, least_words=20).drop("n_words")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer_file("word_bpe_49k.json"), ids=False).drop("ids")
+
+
 def queries() -> dict:
     every = (
         op1_pii, op2_quality, op3_exact_dedup, op4_packing, op5_language_id, op6_ngram_jaccard_join,
         op7_substring_dedup, op8_sharding, op9_embedding_near_dedup, op10_sentencepiece,
-        op11_merkle_manifest, op12_importance_resampling,
+        op11_merkle_manifest, op12_importance_resampling, op13_bpe,
     )
     return {f.__name__: f for f in every}
 
@@ -209,5 +214,5 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN r
 
 
 def oracle_sql() -> dict[str, str]:
-    """The fitted, trained or hashed queries (1, 2, 4, 5, 8, 10) have none; tests/llm compares them with plain versions."""
+    """The fitted, trained or hashed queries (1, 2, 4, 5, 8, 10, 13) have none; tests/llm compares them with plain versions."""
     return {"op3_exact_dedup": _OP3, "op6_ngram_jaccard_join": _OP6, "op7_substring_dedup": _OP7, "op9_embedding_near_dedup": _OP9, "op11_merkle_manifest": _OP11, "op12_importance_resampling": _OP12}

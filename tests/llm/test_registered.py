@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
