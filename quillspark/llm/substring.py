@@ -36,7 +36,8 @@ from .wordhash import blobs, by_bucket, dealt, edges, firsts, fragment, gathered
 
 #: Words of a phrase, and of the gram that anchors it; words of a reference block, and of its margins.
 WIDTH, ANCHOR, BLOCK, MARGIN = 13, 6, 128, 16
-#: Bytes of an anchor's hash that are sent within its range: anchors taken for equal by mistake are found out by the parse.
+#: Bytes of an anchor's hash that are sent within its range.  Anchors taken for equal by mistake are all kept: they get a wrong source at
+#: worst, which the parse finds out, and their phrases go to the index.
 ANCHOR_BYTES = 5
 #: Bytes of text parsed at once (with the blocks they point to).
 PARSE_BYTES = 2 << 20
@@ -130,8 +131,7 @@ def _sources(n: int, unique: bool):
             return _pass_on(got, _SEEDS)
         row, pos, flag = (gathered(got, x, k) for x, k in (("row", "i8"), ("pos", "u4"), ("flag", "?")))
         h, doc = gathered(got, "hash", "u8", ANCHOR_BYTES), row if unique else gathered(got, "doc", "i8")
-        alone, more = _several(h, doc, row, pos)
-        more = more[firsts(h[more], row[more])]
+        alone, more = _several(h, doc, row, pos)  # a text's own anchors differ, also where their bytes sent don't
         new = firsts(h[more])
         first = _leaders(new)
         late = doc[more] > doc[more][first]
