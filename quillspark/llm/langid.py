@@ -2,7 +2,7 @@
 
     P(l | page)  ~  P(text | l) P(declared | l) P(suffix | l) P(l | host)
 
-P(text | l) comes from byte trigrams of the visible text, learnt from at most TRAIN_DOCS labelled documents; its log
+P(text | l) comes from byte trigrams of the visible text, learnt from at most TRAIN_DOCS labelled documents (those with the smallest hashes of their ids, rows without an id left out); its log
 is divided by the number of trigrams over TEXT_WEIGHT, so that a long text doesn't drown all other evidence.
 P(declared | l) and P(suffix | l) are estimated from the pages themselves, by summing the text's posteriors per
 declared value and per suffix.  P(l | host) is smoothed along global -> registered domain -> host: the counts of the
@@ -85,17 +85,26 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "slot", "n"])
 
 
+def training_sample(docs: DataFrame) -> DataFrame:
+    """(text, lang) of the TRAIN_DOCS labelled documents whose ids have the smallest hashes, each id once, with the text that sorts first."""
+    known = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    h = F.xxhash64("doc_id")
+    # ids that can't be among them are left out before the sort; a bound on the hash, never on their number
+    some = known.agg(F.approx_count_distinct("doc_id", 0.05).alias("n")).first()["n"]
+    below = min(2**63 - 1, 2**64 * 4 * TRAIN_DOCS // max(1, some) - 2**63)
+    ids = stored(known.where(h <= below).select("doc_id").distinct().orderBy(h, "doc_id").limit(TRAIN_DOCS), "sample")
+    each = known.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t"))  # broadcast: TRAIN_DOCS ids
+    return each.select("t.text", "t.lang")
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(slot | language)) from at most TRAIN_DOCS labelled documents, chosen by the hash of their id."""
-    known = docs.where("lang is not null and text is not null")
-    share = min(1.0, TRAIN_DOCS / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("text").cast("string"), "lang")
-    rows = sample.mapInArrow(_count_slots, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()  # languages * SLOTS numbers
-    langs = sorted({r["lang"] for r in rows})
-    counts = np.full((len(langs), SLOTS), SMOOTH)
-    for r in rows:
-        counts[langs.index(r["lang"]), r["slot"]] += r["n"]
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
+    """(languages, log P(slot | language)) from the training sample."""
+    counted = training_sample(docs).mapInArrow(_count_slots, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    rows = counted.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns")).orderBy("lang").collect()  # a row per language, of SLOTS numbers at most
+    counts = np.full((len(rows), SLOTS), SMOOTH)
+    for k, r in enumerate(rows):
+        counts[k, r["slots"]] += r["ns"]
+    return [r["lang"] for r in rows], np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
 def _text_scores(langs: list[str], logp: np.ndarray):
@@ -117,7 +126,9 @@ def evidence(pages: DataFrame) -> DataFrame:
     """page_id, host, domain, html, declared, suffix: what an address and the markup say, null where they don't."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     blank = lambda c: F.when(c != "", c)
-    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    tag = F.substring_index(F.substr(page, F.regexp_instr(page, F.lit(r"(?i)<html\b"))), ">", 1)  # the first <html> only
+    declared = F.when(F.regexp_instr(page, F.lit(r"(?i)<html\b")) > 0, F.regexp_extract(tag, r"(?is)^<html\b.*?\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})", 1)).otherwise("")
     folder = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]+://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1)
     tail = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     return pages.select(

@@ -176,3 +176,25 @@ def test_fusion_against_plain_python(spark):
     assert (got[1]["lang"], got[2]["lang"], got[4]["declared"], got[5]["host"], got[2]["suffix"]) == ("de", "en", None, None, "en")
     assert langid.identify(pages.limit(0), docs).count() == 0
     assert {r["lang"] for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_pages_of_opening_tags(spark):
+    """A page that opens <html> over and over is read in linear time; the first tag alone declares the language."""
+    import time
+
+    pages = [(1, "http://a.example/x", "<html " * 800_000), (2, None, "<p><HTML\nclass='x' lang = \"DE\"><html lang=fr>"), (3, "x", "<htmlx lang=fr><html lang='es'>"), (4, "", None), (5, "x", "<html>lang=en"), (6, "x", "lang " * 10)]
+    df = spark.createDataFrame([(*p, "h", "d") for p in pages], "page_id long, url string, html string, host string, domain string").cache()
+    df.count()
+    began = time.time()
+    got = {r["page_id"]: r["declared"] for r in langid.evidence(df).collect()}
+    assert got == {1: None, 2: "de", 3: "es", 4: None, 5: None, 6: None} and time.time() - began < 5
+
+
+def test_training_sample(spark, monkeypatch):
+    """The smallest hashes, never more than asked for, whatever the number of documents or copies of one."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 20)
+    docs = spark.range(3000).selectExpr("id % 1000 as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    rows = langid.training_sample(docs).collect()
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(20).collect()
+    assert sorted(int(r["text"].split()[1]) % 1000 for r in rows) == sorted(r["doc_id"] for r in ids)
+    assert langid.training_sample(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 0
