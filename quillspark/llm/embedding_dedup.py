@@ -39,8 +39,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two to components of at most one: products neither overflow nor vanish, and cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -132,7 +137,7 @@ def _compare(dim: int, rotation: np.ndarray, threshold: float, width: str):
         if not same and table.num_rows < 2:  # a group beside an empty one
             return pa.table({"id": pa.array([], "i8"), "links": pa.array([], "i8"), "root": pa.array([], "i8")})
         for row in sorted(table.to_pylist(), key=lambda r: r["g"]):
-            x = np.frombuffer(row["vecs"], width).reshape(-1, dim).astype("f8")
+            x = _scaled(np.frombuffer(row["vecs"], width).reshape(-1, dim).astype("f8"))
             parts.append((np.frombuffer(row["ids"], "i8"), np.frombuffer(row["ms"], "i8"), x, (_unit(x) @ rotation).astype("f4")))
         (ia, ma, xa, ya), (ib, mb, xb, yb) = parts[0], parts[-1]
         shift = 0 if same else len(ia)

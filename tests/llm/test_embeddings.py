@@ -61,3 +61,13 @@ def test_group_count():
     assert e.group_count(51282, 64, 6) == 4  # as few as occupy six cores
     assert e.group_count(51282, 64, 4000) == 13  # none below GROUP for more cores
     assert e.group_count(10**6, 64, 6) == 62  # none beyond GROUP_BYTES
+
+
+@pytest.mark.parametrize("exponent", [200, -200])
+def test_magnitudes(spark, exponent):
+    """Parallel vectors link whatever their length; products of their components overflow or vanish."""
+    scale = 10.0**exponent
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [scale, 2 * scale, 3 * scale]), (3, [2 * scale, 4 * scale, 6.0000001 * scale]), (4, [3.0, -4.0, 0.5]), (5, [scale, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_vectors(df, 0.9).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4)} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
