@@ -88,9 +88,12 @@ def sized_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: i
 
 def ranked(rows: DataFrame, *by: Column) -> DataFrame:
     """``rows`` with ``rank``, 0, 1, 2, ... in the order ``by``, without bringing them all into one task: they are sorted in
-    ranges, and a range starts where the counts of those before it end.  Stored once, as ranges are cut by samples."""
-    number = free_name(rows, "number")
-    cut = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "sorted")
+    ranges, and a range starts where the counts of those before it end.  Rows that tie are spread over ranges at random.  Stored once, as
+    ranges are cut by samples."""
+    number, tie = free_name(rows, "number"), free_name(rows, "tie")
+    order = [*by, F.col(tie)]
+    cut = rows.withColumn(tie, F.rand(0)).repartitionByRange(*order).sortWithinPartitions(*order).drop(tie)
+    cut = stored(cut.withColumn(number, F.monotonically_increasing_id()), "sorted")
     part = F.shiftright(number, 33).alias("part")
     sizes = cut.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row per range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
