@@ -193,3 +193,45 @@ def test_shards(spark, limit):
             up = [b for b in names if b.startswith(a[:-1])]
             assert sum(sizes[b] for b in up) > limit and sum(n[b] for b in up) > 1
     assert sharding.shard(frame(spark, []), limit).count() == 0
+
+
+def test_equal_rows_are_split(spark):
+    """Rows that repeat key and text share a hash; their numbers go on where it ends."""
+    rows = [(7, "x" * 1000)] * 200 + [(i, "y" * 500) for i in range(60)] + [(8, "z" * 30_000)] * 3
+    got = sharding.shard(frame(spark, rows), 20_000).collect()
+    sizes, n = {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["bytes"]
+        n[r["shard"]] = n.get(r["shard"], 0) + 1
+    assert len(got) == len(rows) and all((r["shard_bytes"], r["shard_rows"], len(r["shard"])) == (sizes[r["shard"]], n[r["shard"]], r["depth"]) for r in got)
+    assert all(sizes[s] <= 20_000 or n[s] == 1 for s in sizes)
+    assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+    assert len({r["shard"] for r in got if r["bytes"] == 1000}) == 16 and len({r["shard"] for r in got if r["key"] == 8}) == 3
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_anchors_that_collide(spark, monkeypatch, size):
+    """One long text and another made of its passages: anchors of a text that share the bytes sent are all kept."""
+    monkeypatch.setattr(substring, "ANCHOR_BYTES", size)
+    rng = random.Random(3)
+    a = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    b = [w for k in range(0, 3000, 100) for w in [f"own{k}", *a[k : k + 30]]]
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 13) and got[2][1] == 900
+
+
+def test_chunks_of_other_scripts(spark):
+    """A text moved by one letter keeps its chunks, whatever its script."""
+    rng = random.Random(9)
+    for letters in ("абвгдежзиклмнопрстуфхцчшыьэюя", "אבגדהוזחטיכלמנסעפצקרשת", "".join(map(chr, range(0x4E00, 0x4E40)))):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        made = frame(spark, [(1, text), (2, letters[0] + text)]).select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()
+        one, two = (r["c"] for r in sorted(made, key=lambda r: r["doc_id"]))
+        assert "".join(one) == text and len(set(one) & set(two)) >= 0.9 * len(one) and len(one) > 20
+
+
+def test_exact_smallest_id(spark):
+    low = -(2**63)
+    got = exact_dedup.duplicate_groups(frame(spark, [(low, "a b"), (1, "a b"), (2**63 - 1, "a b")])).collect()
+    assert {(r["id"], r["keep_id"], r["kept"]) for r in got} == {(low, low, True), (1, low, False), (2**63 - 1, low, False)}
