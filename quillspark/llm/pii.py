@@ -10,7 +10,8 @@ personal data, however often it is repeated, stays as it is.
 
 Unary, chain and skip potentials are smoothed counts over all documents: how often a shape has a label (unlinked
 mentions that no pattern accepts count as none), which labels follow each other, how often the two ends of a skip link
-have the same one.  The counts are sums, made by Spark; only they reach the driver.
+have the same one.  The counts are sums, made by Spark; only they reach the driver.  Chain potentials
+are held within CHAIN_BOUND, so that no run of neighbours outweighs what skip links say.
 
 Null and empty texts have no spans; repeated rows have the same ones; empty tables give no rows; extra columns are ignored
 (redact_documents keeps them).  Matching is linear in the length of the text; no text is cut.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 AGREE, DISAGREE = 19.0, 1.0
 #: Marginal probability from which a mention becomes a span; rounds of messages at most; damping.
 DECIDE, ROUNDS, DAMPING = 0.8, 30, 0.3
+#: Edges whose messages are computed at once; bound of a chain potential either way (neighbours say something about a mention, never all).
+EDGES, CHAIN_BOUND = 1 << 16, 1.0
 #: Digits or characters two keys must share to count as similar.
 SHARED_DIGITS, SHARED_CHARS = 7, 5
 
@@ -142,19 +146,20 @@ def keys(span: str, kind: str) -> list[str]:
     return ["d" + digits[-SHARED_DIGITS:]] if len(digits) >= SHARED_DIGITS else []
 
 
-def skip_links(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+def skip_links(text: str, found: list[tuple[int, int, str]]) -> np.ndarray:
     """Every mention is linked to the nearest earlier and the first one of its key: equal labels still reach all of
-    them, with two links each instead of all pairs."""
+    them, with two links each instead of all pairs.  Rows (earlier, later), each once."""
     seen: dict[str, tuple[int, int]] = {}
-    links = set()
+    links = array("q")
     for i, (s, e, kind) in enumerate(found):
         for k in keys(text[s:e], kind):
             if k in seen:
-                links |= {(j, i) for j in seen[k]}
-                seen[k] = (seen[k][0], i)
+                first, last = seen[k]
+                links.extend((first, i) if first == last else (first, i, last, i))
+                seen[k] = (first, i)
             else:
                 seen[k] = (i, i)
-    return sorted(links)
+    return np.unique(np.frombuffer(links, "i8").reshape(-1, 2), axis=0) if links else np.zeros((0, 2), "i8")
 
 
 COUNTS = SHAPES * len(LABELS) + len(LABELS) ** 2 + 2
@@ -166,7 +171,7 @@ def count(text: str, total: np.ndarray) -> None:
     unary, chain, same = total[: SHAPES * n].reshape(SHAPES, n), total[SHAPES * n : -2].reshape(n, n), total[-2:]
     found = candidates(text, base_spans(text))
     links = skip_links(text, found)
-    linked = {i for pair in links for i in pair}
+    linked = set(links.ravel().tolist())
     # the label of a linked mention is what the field is asked for
     label = [LABELS.index(k) if k else (None if i in linked else 0) for i, (_, _, k) in enumerate(found)]
     for (s, e, _), y in zip(found, label, strict=True):
@@ -175,7 +180,7 @@ def count(text: str, total: np.ndarray) -> None:
     for a, b in zip(label, label[1:], strict=False):
         if a is not None and b is not None:
             chain[a, b] += 1
-    for i, j in links:
+    for i, j in links.tolist():
         if label[i] is not None and label[j] is not None:
             same[int(label[i] == label[j])] += 1
 
@@ -190,7 +195,7 @@ def potentials(total: np.ndarray) -> dict[str, np.ndarray]:
     agree = (same[1] + AGREE) / (same.sum() + AGREE + DISAGREE)
     skip = np.full((n, n), np.log((1 - agree) / (n - 1)))
     np.fill_diagonal(skip, np.log(agree))
-    return {"unary": unary, "chain": np.clip(chain, -1, 1), "skip": skip}
+    return {"unary": unary, "chain": np.clip(chain, -CHAIN_BOUND, CHAIN_BOUND), "skip": skip}
 
 
 def estimate(texts: list[str]) -> dict[str, np.ndarray]:
@@ -202,64 +207,102 @@ def estimate(texts: list[str]) -> dict[str, np.ndarray]:
 
 
 def marginals(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """Loopy sum-product in the log domain: all messages of a round at once, damped, until they settle."""
+    """Loopy sum-product over edges (i, j, log potential of their labels)."""
+    tables = {id(t): t for _, _, t in edges}
+    return settled(unary, [(np.array([(i, j) for i, j, t in edges if id(t) == k], "i8").reshape(-1, 2), t) for k, t in tables.items()])
+
+
+def settled(unary: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Loopy sum-product in the log domain: all messages of a round at once, damped, until they settle.  groups: (edges (i, j), the log
+    potential they share), so a round is a few products of (edges, labels) with (labels, labels) arrays, EDGES edges at a time."""
     n, k = unary.shape
-    if not edges:
-        p = np.exp(unary - unary.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-    src = np.array([e[0] for e in edges] + [e[1] for e in edges])
-    dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
-    pot = np.stack([e[2] for e in edges] + [e[2].T for e in edges])
-    back = np.concatenate((np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))))
-    msg = np.zeros((len(src), k))
-    for _ in range(ROUNDS):
+    edges = np.concatenate([np.zeros((0, 2), "i4"), *(e.astype("i4") for e, _ in groups)])
+    m, unary = len(edges), unary.astype("f4")
+    # message e runs along edge e, message e + m back
+    src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
+    cuts, at = [], 0
+    for e, t in groups:
+        table = np.exp(t).astype("f4")
+        for a in range(at, at + len(e), EDGES):
+            b = min(a + EDGES, at + len(e))
+            cuts += [(a, b, a + m, table), (a + m, b + m, a, table.T)]
+        at += len(e)
+    msg = np.zeros((2 * m, k), "f4")
+
+    def believed() -> np.ndarray:
         belief = unary.copy()
-        np.add.at(belief, dst, msg)
-        out = (belief[src] - msg[back])[:, :, None] + pot
-        top = out.max(axis=1)
-        new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(new - msg).max()
-        msg = DAMPING * msg + (1 - DAMPING) * new
-        if moved < 1e-6:
+        for a, b, _, _ in cuts:
+            for x in range(k):
+                np.add.at(belief[:, x], dst[a:b], msg[a:b, x])
+        return belief
+
+    for _ in range(ROUNDS if m else 0):
+        belief, out, moved = believed(), np.empty_like(msg), 0.0
+        for a, b, back, table in cuts:
+            got = belief[src[a:b]] - msg[back : back + b - a]
+            got -= got.max(axis=1, keepdims=True)
+            new = np.log(np.exp(got) @ table)
+            new -= new.max(axis=1, keepdims=True)
+            moved = max(moved, float(np.abs(new - msg[a:b]).max()))
+            out[a:b] = DAMPING * msg[a:b] + (1 - DAMPING) * new
+        msg = out
+        if moved < 2e-6:
             break
-    belief = unary.copy()
-    np.add.at(belief, dst, msg)
-    p = np.exp(belief - belief.max(axis=1, keepdims=True))
+    p = believed().astype("f8")
+    p = np.exp(p - p.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def anchored(found: list[tuple[int, int, str]], links: list[tuple[int, int]]) -> set[int]:
-    """Candidates from which a path of skip links leads to a base span."""
-    of: dict[int, list[int]] = {}
-    for i, j in links:
-        of.setdefault(i, []).append(j)
-        of.setdefault(j, []).append(i)
-    reach = {i for i in of if found[i][2]}
-    open_ = list(reach)
-    while open_:
-        fresh = [j for j in of[open_.pop()] if j not in reach]
-        reach.update(fresh)
-        open_ += fresh
+def _reached(n: int, edges: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which of n nodes can be reached from the marked ones over edges, not going on from those in ``stop``."""
+    both = np.concatenate((edges, edges[:, ::-1]))
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    first = np.searchsorted(both[:, 0], np.arange(n + 1))
+    reach, open_ = start.copy(), np.flatnonzero(start)
+    while len(open_):
+        size = first[open_ + 1] - first[open_]
+        at = np.repeat(first[open_] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        to = np.unique(both[at, 1])
+        to = to[~reach[to]]
+        reach[to] = True
+        open_ = to[~stop[to]]
     return reach
 
 
+def anchored(base: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Candidates that skip links join and from which a path of them leads to a base span."""
+    linked = np.zeros(len(base), bool)
+    linked[links.ravel()] = True
+    return _reached(len(base), links, linked & base, np.zeros(len(base), bool))
+
+
 def all_spans(text: str, base: list[tuple[int, int, str]], field: dict[str, np.ndarray]) -> list[tuple[int, int, str]]:
-    """Base spans and those the field adds."""
+    """Base spans and those the field adds.  Labels are asked for only where skip links lead to a base span; as base spans
+    are observed, what lies behind them, and what no edge joins to these mentions, can't change an answer and is left out."""
     if not base:
         return []
     found = candidates(text, base)
     if len(found) == len(base):
         return base
     links = skip_links(text, found)
-    unary = np.stack([field["unary"][min(shape(text[s:e]), SHAPES - 1)] for s, e, _ in found])
-    for i, (_, _, kind) in enumerate(found):
-        if kind:
-            unary[i] = np.where(np.arange(len(LABELS)) == LABELS.index(kind), 0.0, -50.0)
-    edges = [(i, i + 1, field["chain"]) for i in range(len(found) - 1)] + [(i, j, field["skip"]) for i, j in links]
-    near = anchored(found, links)
-    p = marginals(unary, edges)
-    extra = [(s, e, LABELS[int(q.argmax())]) for i, ((s, e, kind), q) in enumerate(zip(found, p, strict=True)) if not kind and i in near and q.argmax() and q.max() >= DECIDE]
+    seen = np.array([bool(kind) for _, _, kind in found])
+    asked = anchored(seen, links) & ~seen
+    if not asked.any():
+        return base
+    chain = np.stack((np.arange(len(found) - 1), np.arange(1, len(found))), axis=1)
+    use = np.flatnonzero(_reached(len(found), np.concatenate((chain, links)), asked, seen))
+    number = np.full(len(found), -1)
+    number[use] = np.arange(len(use))
+    chain, skip = (x[(x >= 0).all(axis=1)] for x in (number[chain], number[links]))
+    unary = np.empty((len(use), len(LABELS)))
+    for k, i in enumerate(use.tolist()):
+        s, e, kind = found[i]
+        unary[k] = np.where(np.arange(len(LABELS)) == LABELS.index(kind), 0.0, -50.0) if kind else field["unary"][min(shape(text[s:e]), SHAPES - 1)]
+    p = settled(unary, [(chain, field["chain"]), (skip, field["skip"])])
+    extra = []
+    for k in np.flatnonzero(asked[use] & (p.argmax(axis=1) > 0) & (p.max(axis=1) >= DECIDE)).tolist():
+        s, e, _ = found[use[k]]
+        extra.append((s, e, LABELS[int(p[k].argmax())]))
     return sorted([*base, *extra], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

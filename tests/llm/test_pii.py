@@ -97,3 +97,41 @@ def test_frame(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
     out = {r["doc_id"]: r for r in pii.redact_documents(frame(spark, [(1, text), (2, None)])).collect()}
     assert out[1]["text"].startswith("é <email>") and out[2]["text"] is None and out[1]["id"] == "x"
+
+
+def test_shared_tables_against_single_edges():
+    """The field over what skip links reach gives the marginals of the field over all candidates."""
+    rng = np.random.default_rng(4)
+    n, k = 60, 5
+    field = {"chain": rng.normal(size=(k, k)) * 0.4, "skip": rng.normal(size=(k, k)) * 0.4}
+    unary = rng.normal(size=(n, k))
+    seen = np.zeros(n, bool)
+    seen[[0, 9, 20, 33, 47]] = True
+    for i in np.flatnonzero(seen):
+        unary[i] = np.where(np.arange(k) == 1 + i % 4, 0.0, -50.0)
+    chain = np.stack((np.arange(n - 1), np.arange(1, n)), axis=1)
+    skip = np.array([(0, 3), (9, 12), (12, 15), (20, 29), (36, 40)])
+    whole = pii.marginals(unary, [*((i, j, field["chain"]) for i, j in chain), *((i, j, field["skip"]) for i, j in skip)])
+    asked = pii.anchored(seen, skip) & ~seen
+    assert set(np.flatnonzero(asked)) == {3, 12, 15, 29}
+    use = np.flatnonzero(pii._reached(n, np.concatenate((chain, skip)), asked, seen))
+    number = np.full(n, -1)
+    number[use] = np.arange(len(use))
+    part = pii.settled(unary[use], [(e[(e >= 0).all(axis=1)], field[name]) for e, name in ((number[chain], "chain"), (number[skip], "skip"))])
+    assert len(use) < n and np.allclose(part[number[asked]], whole[asked], atol=1e-4)
+
+
+def test_long_log_in_bounded_memory():
+    """Megabytes of addresses and names: the field holds a few numbers per candidate."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    lines = [f"10.0.{a % 256}.{b % 256} user.n{a % 3000} wrote to user.n{b % 3000}@mail.example.com\n" for a, b in rng.integers(0, 10**6, (20_000, 2)).tolist()]
+    text = "".join(lines)
+    field = pii.estimate(lines[:50])
+    base = pii.base_spans(text)
+    tracemalloc.start()
+    spans = pii.all_spans(text, base, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) > len(base) and peak < 80 * len(text)
