@@ -206,7 +206,7 @@ def test_equal_rows_are_split(spark):
     assert len(got) == len(rows) and all((r["shard_bytes"], r["shard_rows"], len(r["shard"])) == (sizes[r["shard"]], n[r["shard"]], r["depth"]) for r in got)
     assert all(sizes[s] <= 20_000 or n[s] == 1 for s in sizes)
     assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
-    assert len({r["shard"] for r in got if r["bytes"] == 1000}) == 16 and len({r["shard"] for r in got if r["key"] == 8}) == 3
+    assert len({r["shard"] for r in got if r["bytes"] == 1000}) == 16 and len({r["shard"] for r in got if r["bytes"] == 30_000}) == 3
 
 
 @pytest.mark.parametrize("size", [1, 5])
