@@ -1236,3 +1236,5 @@ def _steps_sql(modality: str) -> str:
 _QUERIES |= {"stream_dedup": stream_dedup, "stream_fanin": stream_fanin} | {f"stream_steps_{m}": _steps_query(m) for m in _MESSAGES_OF}
 _SQL |= {f"stream_steps_{m}": _steps_sql(m) for m in _MESSAGES_OF}
 _SQL |= {"stream_dedup": "SELECT event_id, user_id, event_type FROM events", "stream_fanin": _SQL["fanin_2"]}
+
+from quillspark.plans import stateful  # noqa: E402, F401  (it registers its queries here)
