@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,29 +42,62 @@ def register_version(versions: DataFrame, new: DataFrame) -> DataFrame:
     return versions.unionByName(rows.drop("_top", "seq"), allowMissingColumns=True)
 
 
+def renumbered(models: Iterable[tuple]) -> Iterator[tuple]:
+    """Models (task, priority or None, ...) in order, those without a priority last → (model, number).
+
+    Of a task's numbers, all below ``free`` are taken; kept numbers from there on wait in ``beyond``.  So a number is looked up in no list,
+    and a task of any size is one pass with the kept numbers ahead in memory."""
+    same = object()
+    task, group, free, top = same, None, 1, 0
+    beyond: deque[int] = deque()
+    models = iter(models)
+    here = next(models, None)
+    while here is not None:
+        after = next(models, None)
+        if here[0] != task:
+            task, group, free, top = here[0], None, 1, 0
+            beyond.clear()
+        p = here[1]
+        if p is None:
+            got = top + 1
+        elif p != group and (after is None or after[:2] != here[:2]):  # alone with its number
+            got = p
+            if p >= free:
+                beyond.append(p)
+        else:
+            while beyond and beyond[0] <= free:
+                free += beyond.popleft() == free
+            if p != group and p >= free:
+                got = p
+                beyond.append(p)
+            else:
+                got, free = free, free + 1
+        group, top = p, max(top, got)
+        yield here, got
+        here = after
+
+
 def priorities(versions: DataFrame, task: str = "task", order: Sequence[str] = ("name", "version")) -> DataFrame:
     """Unique priorities per task, in column new_priority: the first of equal ones keeps its number, the others take the
-    lowest free numbers in turn, and those without any follow the largest.  Gaps stay.  A sequential rule, folded per task."""
-    item = F.struct(F.when(F.col("priority") > 0, F.col("priority")).alias("p"), *[F.col(c) for c in order])
-    rows = versions.groupBy(task).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    have = F.filter("items", lambda i: i.p.isNotNull())
-    none = F.filter("items", lambda i: i.p.isNull())
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("out"), F.lit(1).alias("next"))
-
-    def step(acc: Column, i: Column) -> Column:
-        # the first number from next on that no earlier model has taken
-        free = F.array_min(F.array_except(F.sequence(acc.next, acc.next + F.size(acc.used)), acc.used))
-        repeated = F.size(F.filter(have, lambda o: o.p == i.p)) > 1
-        keeps = ~F.array_contains(acc.used, i.p)
-        got = F.when(~repeated | keeps, i.p).otherwise(free)
-        after = F.when(repeated, F.when(keeps, free).otherwise(free + 1)).otherwise(acc.next)
-        return F.struct(F.array_append(acc.used, got).alias("used"), F.array_append(acc.out, got).alias("out"), after.alias("next"))
-
-    out = F.aggregate(have, start, step, lambda a: a.out)
-    rows = rows.select(task, have.alias("h"), none.alias("n"), out.alias("out"))
-    top = F.coalesce(F.array_max("out"), F.lit(0))
-    numbered = F.concat(F.transform("h", lambda i, k: F.struct(*[i[c].alias(c) for c in order], F.get("out", k).alias("new_priority"))), F.transform("n", lambda i, k: F.struct(*[i[c].alias(c) for c in order], (top + k + 1).alias("new_priority"))))
-    return rows.select(task, F.explode(numbered).alias("m")).select(task, *[f"m.{c}" for c in order], "m.new_priority")
+    lowest free numbers in turn, and those without any follow the largest.  Gaps stay.  A sequential rule, in one pass over each task's models."""
+    rows = versions.select(task, F.when(F.col("priority") > 0, F.col("priority")).cast("long").alias("_p"), *order)
+    placed = rows.repartition(task).sortWithinPartitions(task, F.asc_nulls_last("_p"), *order)
+    kinds = dict(versions.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def models() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = batch.schema.types
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        numbers = renumbered(models())
+        while some := list(islice(numbers, 5000)):
+            columns = zip(*((m[0], *m[2:], n) for m, n in some), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [types[0], *types[2:], pa.int32()], strict=True)], names=[task, *order, "new_priority"])
+
+    return placed.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (task, *order)), "new_priority int"]))
 
 
 def insert_priority(rows: DataFrame, target: int | None, column: str = "new_priority") -> tuple[DataFrame, Column]:

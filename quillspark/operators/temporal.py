@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import last_before
+
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
@@ -96,12 +98,12 @@ def attach_text(scene_rows: DataFrame, texts: DataFrame, index: str) -> DataFram
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: union, then the last value carried forward."""
-    a = left.select(key, at, *[c for c in left.columns if c not in (key, at)]).withColumn("_v", F.lit(None)).withColumn("_side", F.lit(1))
-    b = right.select(key, at, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w))
-    return rows.where("_side = 1").drop("_side", "_v")
+    """Each left row with the last right value at or before its time: union, then the last value carried forward by
+    blocks of neighbours, so that a key may hold any share of the rows."""
+    a = left.select(key, at, *[c for c in left.columns if c not in (key, at)]).withColumn("_side", F.lit(1))
+    b = right.select(key, at, F.col(value)).withColumn("_side", F.lit(0))
+    rows = last_before(a.unionByName(b, allowMissingColumns=True), key, value, F.asc(at), F.asc("_side"))
+    return rows.where("_side = 1").drop("_side")
 
 
 def text_lines(rows: DataFrame, key: str, order: str, at: Column, text: Column) -> DataFrame:

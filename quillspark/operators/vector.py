@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,26 +62,24 @@ def nearest(entries: DataFrame, queries: DataFrame, threshold: float, key: str =
 
     Queries and entries are dealt into blocks; a pair of blocks is one task that returns a row per query, so neither side is
     broadcast and no pair becomes a row."""
-    mark = F.lit("") if scope is None else F.col(scope).cast("string")
-    q, e = _blocks(entries.withColumn("s", mark), queries.withColumn("s", mark), key, vec, query_key, ["s"], ["s"])
+    q, e = _blocks(entries, queries, key, vec, query_key, [], [], scope)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lv, rv = _unit_rows(left.column("v")), _unit_rows(right.column("v"))
-        names = left.column(query_key).to_pylist(), right.column(key).to_pylist()
-        order = np.array(sorted(range(len(names[1])), key=names[1].__getitem__), "i8")  # of equal scores the larger key
-        scores = lv @ rv[order].T if len(lv) and len(rv) else np.zeros((len(lv), len(rv)))
-        ls, rs = (np.array(t.column("s").to_pylist(), dtype=object) for t in (left, right))
-        scores[~(ls[:, None] == rs[order][None, :])] = np.nan
+        lv, rv = unit_rows(left.column("v")), unit_rows(right.column("v"))
+        order = pc.sort_indices(right.column(key)).to_numpy()  # of equal scores the larger key
+        scores = lv @ rv[order].T if len(lv) and len(rv) and lv.shape[1] == rv.shape[1] else np.full((len(lv), len(rv)), np.nan)
         if skip_same:
-            scores[np.array(names[0], dtype=object)[:, None] == np.array(names[1], dtype=object)[order][None, :]] = np.nan
+            names = pa.chunked_array([*left.column(query_key).chunks, *right.column(key).cast(left.column(query_key).type).chunks])
+            codes = names.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            scores[codes[: len(lv), None] == codes[len(lv) :][order][None, :]] = np.nan
         scores[~(scores >= threshold)] = -np.inf
         best = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1) if scores.shape[1] else np.zeros(len(lv), "i8")
-        hit = [i for i in range(len(lv)) if scores.shape[1] and scores[i, best[i]] > -np.inf]
-        at = [pa.array(x, pa.int64()) for x in (hit, [int(order[best[i]]) for i in hit])]
-        return pa.table({query_key: left.column(query_key).take(at[0]), key: right.column(key).take(at[1]), "score": pa.array([float(scores[i, best[i]]) for i in hit], pa.float64())})
+        top = scores[np.arange(len(lv)), best] if scores.shape[1] else np.full(len(lv), -np.inf)
+        hit = np.flatnonzero(top > -np.inf)
+        return pa.table({query_key: left.column(query_key).take(pa.array(hit)), key: right.column(key).take(pa.array(order[best[hit]])), "score": pa.array(top[hit], pa.float64())})
 
     kinds = dict(queries.dtypes)[query_key], dict(entries.dtypes)[key]
-    found = q.groupBy("b", "p").cogroup(e.groupBy("b", "p")).applyInArrow(run, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
+    found = q.groupBy("s", "b", "p").cogroup(e.groupBy("s", "b", "p")).applyInArrow(run, f"{query_key} {kinds[0]}, {key} {kinds[1]}, score double")
     best = found.groupBy(query_key).agg(F.max(F.struct("score", F.col(key).alias("k"))).alias("b"))
     return best.select(query_key, F.col("b.k").alias(key), F.col("b.score").alias("score"))
 
@@ -90,13 +89,20 @@ def nearest_k(entries: DataFrame, queries: DataFrame, k: int, key: str = "id", v
     that copies of a vector tie; of equal ones the smaller keys.  Blocks against blocks as in ``nearest``: a task returns at most k
     rows per query."""
     q, e = _blocks(entries, queries, key, vec, query_key, keep, ())
+    kinds = dict(entries.dtypes)
+    fields = ", ".join([f"{query_key} {dict(queries.dtypes)[query_key]}", *(f"{c} {kinds[c]}" for c in (key, *keep)), "score double"])
+    found = q.groupBy("s", "b", "p").cogroup(e.groupBy("s", "b", "p")).applyInArrow(best_of_blocks(k, key, query_key, keep, digits), fields)
+    return best_of(found, k, query_key, key)
+
+
+def best_of_blocks(k: int, key: str, query_key: str, keep: Sequence[str], digits: int):
+    """Queries and entries of one task (vectors in v) → the k best entries of each query."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        lv, rv = _unit_rows(left.column("v")), _unit_rows(right.column("v"))
-        names = right.column(key).to_pylist()
-        order = np.array(sorted(range(len(names)), key=names.__getitem__), "i8")
-        at, to, top = [], [], []
-        if len(lv) and len(rv):
+        lv, rv = unit_rows(left.column("v")), unit_rows(right.column("v"))
+        order = pc.sort_indices(right.column(key)).to_numpy()
+        at, to, top = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]
+        if len(lv) and len(rv) and lv.shape[1] == rv.shape[1]:
             scores = np.round(lv @ rv[order].T, digits)
             scores[np.isnan(scores)] = -np.inf
             n = min(k, scores.shape[1])
@@ -104,36 +110,49 @@ def nearest_k(entries: DataFrame, queries: DataFrame, k: int, key: str = "id", v
             for i, row in enumerate(scores):
                 found = np.flatnonzero((row >= least[i]) & (row > -np.inf))
                 found = found[np.argsort(-row[found], kind="stable")][:k]
-                at += [i] * len(found)
-                to += order[found].tolist()
-                top += row[found].tolist()
-        a, b = pa.array(at, pa.int64()), pa.array(to, pa.int64())
-        return pa.table({query_key: left.column(query_key).take(a), **{c: right.column(c).take(b) for c in (key, *keep)}, "score": pa.array(top, pa.float64())})
+                at.append(np.full(len(found), i))
+                to.append(order[found])
+                top.append(row[found])
+        a, b = pa.array(np.concatenate(at)), pa.array(np.concatenate(to).astype("i8"))
+        return pa.table({query_key: left.column(query_key).take(a), **{c: right.column(c).take(b) for c in (key, *keep)}, "score": pa.array(np.concatenate(top))})
 
-    kinds = dict(entries.dtypes)
-    fields = ", ".join([f"{query_key} {dict(queries.dtypes)[query_key]}", *(f"{c} {kinds[c]}" for c in (key, *keep)), "score double"])
-    found = q.groupBy("b", "p").cogroup(e.groupBy("b", "p")).applyInArrow(run, fields)
+    return run
+
+
+def best_of(found: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
+    """Of the rows of each query the k of highest score, ties to the smaller key."""
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def _blocks(entries: DataFrame, queries: DataFrame, key: str, vec: str, query_key: str, keep: Sequence[str], keep_query: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Queries and entries with their vectors as v, in every pair (b, p) of a block of queries and a block of entries."""
-    n_q, n_e = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-entries.count() // ENTRY_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(query_key, F.col("qvec").cast("array<double>").alias("v"), *keep_query, block(query_key, n_q).alias("b"), every(n_e).alias("p"))
-    e = entries.select(key, F.col(vec).cast("array<double>").alias("v"), *keep, block(key, n_e).alias("p"), every(n_q).alias("b"))
+def _blocks(entries: DataFrame, queries: DataFrame, key: str, vec: str, query_key: str, keep: Sequence[str], keep_query: Sequence[str], scope: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and entries with their vectors as v, in every pair (s, b, p) of a block of queries and a block of entries of one scope s."""
+    mark = F.lit("") if scope is None else F.coalesce(F.concat(F.lit("."), F.col(scope).cast("string")), F.lit(""))
+    q = queries.select(query_key, F.col("qvec").cast("array<double>").alias("v"), *keep_query, mark.alias("s"))
+    e = entries.select(key, F.col(vec).cast("array<double>").alias("v"), *keep, mark.alias("s"))
+    size = lambda rows, n, per: rows.groupBy("s").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per)).cast("int").alias(n))
+    both = size(q, "n_q", QUERY_BLOCK).join(size(e, "n_e", ENTRY_BLOCK), "s")  # a row per scope that both sides have
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(both, "s").select(query_key, "v", *keep_query, "s", block(query_key, "n_q").alias("b"), every("n_e").alias("p"))
+    e = e.join(both, "s").select(key, "v", *keep, "s", block(key, "n_e").alias("p"), every("n_q").alias("b"))
     return q, e
 
 
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows of length 1; those that are null, zero or of another length than the first have no score."""
-    rows = column.to_pylist()
-    dim = next((len(r) for r in rows if r), 1)
-    x = np.array([r if r is not None and len(r) == dim and None not in r else [np.nan] * dim for r in rows], "f8").reshape(-1, dim)
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1; those that are null, zero or of another length than the first have no score.  Read from the flat
+    buffer; scaled by powers of two first, so that products neither overflow nor vanish."""
+    array = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    dim = int(next((n for n in sizes if n), 1))
+    x = np.full((len(array), dim), np.nan)
+    fine = sizes == dim
+    x[fine] = array.filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    top = np.abs(x).max(axis=1, keepdims=True)
+    usable = np.isfinite(top) & (top > 0)
+    x = np.ldexp(x, np.where(usable, -np.frexp(np.where(usable, top, 1.0))[1], 0))
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.full(x.shape, np.nan), where=norm > 0)
+    return np.divide(x, norm, out=np.full(x.shape, np.nan), where=usable)
 
 
 def latest_by_key(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

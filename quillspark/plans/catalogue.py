@@ -53,33 +53,10 @@ def _points(read) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.lit("document").alias("type"), F.when(F.col("label") % 2 == 0, "text").otherwise("summary").alias("embedding_type"), F.when(F.col("label") < 9, "active").otherwise("inactive").alias("status"), "filename", "source", F.col("lang").alias("speaker"), F.col("embedding").alias("vec"))
 
 
-def _query_vector(read) -> DataFrame:
-    return read("embeddings").where("vec_id = 0").select(F.col("embedding").alias("qvec"))
-
-
 _POINTS = """points AS (
   SELECT e.vec_id AS id, 'document' AS type, CASE WHEN label % 2 = 0 THEN 'text' ELSE 'summary' END AS embedding_type,
          CASE WHEN label < 9 THEN 'active' ELSE 'inactive' END AS status, lang || '_' || source AS filename, source, lang AS speaker, embedding AS vec
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-q AS (SELECT embedding AS qvec FROM embeddings WHERE vec_id = 0)"""
-
-
-def _top(read, condition) -> DataFrame:
-    rows = _points(read).where(condition).join(F.broadcast(_query_vector(read)), F.lit(True))
-    return vector.top_k(rows, F.col("qvec"), 5).select("id", "filename", "source", F.round("score", 6).alias("score"))
-
-
-_TOP = "SELECT id, filename, source, round(list_cosine_similarity(vec::DOUBLE[], qvec::DOUBLE[]), 6) AS score FROM points, q WHERE status = 'active' AND embedding_type = 'text' {} ORDER BY list_cosine_similarity(vec::DOUBLE[], qvec::DOUBLE[]) DESC, id LIMIT 5"
-
-
-@query(f"WITH {_POINTS} " + _TOP.format("AND source = 'src1'"))
-def filtered_topk(read):
-    return _top(read, vector.metadata_filter("text", source="src1"))
-
-
-@query(f"WITH {_POINTS} " + _TOP.format("AND filename IN ('en_src1', 'en_src2', 'de_src3') AND speaker IN ('en', 'de') AND type = 'document'"))
-def topk_in_list(read):
-    return _top(read, vector.metadata_filter("text", "document", ["en_src1", "en_src2", "de_src3"], speaker=["en", "de"]))
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
 
 
 _ALL_TOP = """WITH points AS (
@@ -106,13 +83,13 @@ def topk_all(read):
 
 @query(_ALL_TOP.format("AND source = 'src1'"))
 def filtered_topk_all(read):
-    """The search of filtered_topk for every vector of an id divisible by 100."""
+    """Points of one source for every vector of an id divisible by 100."""
     return _all_top(read, vector.metadata_filter("text", source="src1"))
 
 
 @query(_ALL_TOP.format("AND filename IN ('en_src1', 'en_src2', 'de_src3') AND speaker IN ('en', 'de') AND type = 'document'"))
 def topk_in_list_all(read):
-    """The search of topk_in_list for every vector of an id divisible by 100."""
+    """Points of some files and speakers for every vector of an id divisible by 100."""
     return _all_top(read, vector.metadata_filter("text", "document", ["en_src1", "en_src2", "de_src3"], speaker=["en", "de"]))
 
 
@@ -725,7 +702,16 @@ def select_best(read):
     return out.select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT p_type AS task, p_partkey AS name, CASE WHEN p_size BETWEEN 1 AND 40 THEN p_size::BIGINT END AS p FROM part),
+h AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY p, name) AS k, count(*) OVER (PARTITION BY task, p) AS c FROM m WHERE p IS NOT NULL),
+r AS (SELECT task, name, k, p AS got, [p] AS used, 1::BIGINT AS free FROM h WHERE k = 1 UNION ALL
+  SELECT task, name, k, got, list_append(used, got), CASE WHEN c = 1 THEN free WHEN keeps THEN f ELSE f + 1 END FROM (
+    SELECT *, CASE WHEN c = 1 OR keeps THEN p ELSE f END AS got FROM (
+      SELECT h.task, h.name, h.k, h.c, h.p, r.used, r.free, NOT list_contains(r.used, h.p) AS keeps, list_filter(range(r.free, r.free + len(r.used) + 2), lambda x: NOT list_contains(r.used, x))[1] AS f
+      FROM r JOIN h ON h.task = r.task AND h.k = r.k + 1))),
+t AS (SELECT task, max(got) AS top FROM r GROUP BY task)
+SELECT task, name, '1' AS version, got::INT AS new_priority FROM r UNION ALL
+SELECT m.task, name, '1', (coalesce(top, 0) + row_number() OVER (PARTITION BY m.task ORDER BY name))::INT FROM m LEFT JOIN t ON t.task = m.task WHERE p IS NULL""")
 def priority_shift(read):
     p = read("part").select(F.col("p_type").alias("task"), F.col("p_partkey").alias("name"), F.lit("1").alias("version"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("priority"))
     return registry.priorities(p)
@@ -1102,12 +1088,6 @@ def device_monitor(read):
     return registry.device_readings(r, ["a", "b", "c"], "load").select("device", "load")
 
 
-@query()
-def lru_trace(read):
-    rows = read("events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("key"), F.lit(1).cast("long").alias("bytes"))
-    return cache.lru_evictions(rows, "user_id", 3, 100)
-
-
 @query()
 def text_embedding(read):
     from quillspark.functions.models import embed
@@ -1237,4 +1217,4 @@ _QUERIES |= {"stream_dedup": stream_dedup, "stream_fanin": stream_fanin} | {f"st
 _SQL |= {f"stream_steps_{m}": _steps_sql(m) for m in _MESSAGES_OF}
 _SQL |= {"stream_dedup": "SELECT event_id, user_id, event_type FROM events", "stream_fanin": _SQL["fanin_2"]}
 
-from quillspark.plans import stateful  # noqa: E402, F401  (it registers its queries here)
+from quillspark.plans import insight, stateful  # noqa: E402, F401  (they register their queries here)
