@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,10 +129,53 @@ def apply_template(text: Column, template: str) -> Column:
 
 
 def to_traditional(text: Column, table: dict[str, str] | None = None) -> Column:
-    """Character conversion by a table the caller supplies; without one the text stays."""
+    """Conversion by a table the caller supplies: of single characters by translation, of phrases by the longest that starts at each
+    place, from left to right.  Without a table the text stays."""
     if not table:
         return text
-    return F.translate(text, "".join(table), "".join(table.values()))
+    if all(len(k) == 1 and len(v) == 1 for k, v in table.items()):
+        return F.translate(text, "".join(table), "".join(table.values()))
+    return phrase_converter(table)(text)
+
+
+def phrase_trie(table: dict[str, str]) -> dict:
+    """Phrases as nested dictionaries by character; the conversion of a phrase stands under ''."""
+    trie: dict = {}
+    for phrase, to in table.items():
+        if phrase:
+            node = trie
+            for c in phrase:
+                node = node.setdefault(c, {})
+            node[""] = to
+    return trie
+
+
+def converted(text: str, trie: dict) -> str:
+    """Leftmost-longest conversion: one walk down the trie from each place that starts a phrase."""
+    out, at, plain = [], 0, 0
+    while at < len(text):
+        node, end, to, k = trie, 0, "", at
+        while k < len(text) and (node := node.get(text[k])) is not None:
+            k += 1
+            if "" in node:
+                end, to = k, node[""]
+        if end:
+            out += [text[plain:at], to]
+            at = plain = end
+        else:
+            at += 1
+    return "".join([*out, text[plain:]])
+
+
+def phrase_converter(table: dict[str, str]) -> Callable[[Column], Column]:
+    """A function of a text column that converts phrases; the table travels with the task."""
+    trie = phrase_trie(table)
+
+    def convert(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else converted(t, trie) for t in texts.to_pylist()], pa.string())
+
+    convert.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(convert, "string")
 
 
 def markdown_table(header: Column, rows: Column, title: Column | None = None) -> Column:

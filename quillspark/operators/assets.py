@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import retention_dates
@@ -62,12 +64,15 @@ def permitted(users: DataFrame, assets: DataFrame, permission: str) -> DataFrame
     return users.where(ok).join(assets, "branch")
 
 
-def create_users(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users after, rejected with error): a duplicate name or an unknown permission is refused."""
-    known = users.select("username", F.lit(True).alias("_known"))
-    checked = new.join(known, "username", "left")
-    error = F.when(F.col("_known"), "duplicate user").when(F.size(F.array_except("permissions", F.array(*[F.lit(p) for p in PERMISSIONS]))) > 0, "unknown permission")
-    checked = checked.withColumn("error", error).drop("_known")
+def create_users(users: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(users after, rejected with error): an unknown permission or a name that a user, or an earlier accepted row of the batch, has is
+    refused.  ``order``: columns that say which row of a batch comes first; by default all."""
+    known = users.select("username", F.lit(True).alias("_known")).distinct()
+    unknown = F.size(F.array_except("permissions", F.array(*[F.lit(p) for p in PERMISSIONS]))) > 0
+    checked = new.join(known, "username", "left").withColumn("_bad", F.coalesce("_known", F.lit(False)) | unknown)
+    turn = F.row_number().over(Window.partitionBy("username", "_bad").orderBy(*(order or new.columns)))
+    error = F.when(F.col("_known"), "duplicate user").when(unknown, "unknown permission").when(F.col("_turn") > 1, "duplicate user")
+    checked = checked.withColumn("_turn", turn).withColumn("error", error).drop("_known", "_bad", "_turn")
     return users.unionByName(checked.where("error is null").select(*users.columns)), checked.where("error is not null")
 
 
@@ -93,11 +98,20 @@ def merge_associated(old: Column, new: Column) -> Column:
 
 
 def commit(commits: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Append-only commits (path, branch, version, ts): the version is the content's SHA-256; content equal to the head
-    version makes no commit."""
-    head = latest_by_key(commits, ["path", "branch"], F.desc("ts"), F.desc("version")).select("path", "branch", F.col("version").alias("_head"))
+    """Append-only commits (path, branch, version, ts): the version is the content's SHA-256; content equal to what stands at the path
+    before it, the head or an earlier upload of the batch, makes no commit.  An upload without content deletes the path: a commit
+    without version, which deleting again doesn't repeat."""
+    head = latest_by_key(commits, ["path", "branch"], F.desc("ts"), F.desc_nulls_first("version")).select("path", "branch", F.col("version").alias("_head"))
     new = uploads.withColumn("version", F.sha2("content", 256)).join(head, ["path", "branch"], "left")
-    return commits.unionByName(new.where(~F.col("version").eqNullSafe(F.col("_head"))).select("path", "branch", "version", "ts"))
+    w = Window.partitionBy("path", "branch").orderBy("ts", F.asc_nulls_last("version"))
+    before = F.when(F.row_number().over(w) == 1, F.col("_head")).otherwise(F.lag("version").over(w))
+    new = new.withColumn("_before", before).where(~F.col("version").eqNullSafe(F.col("_before")))
+    return commits.unionByName(new.select("path", "branch", "version", "ts"))
+
+
+def standing(commits: DataFrame) -> DataFrame:
+    """(path, branch, version, ts): what stands at each path; deleted ones don't."""
+    return latest_by_key(commits, ["path", "branch"], F.desc("ts"), F.desc_nulls_first("version")).where("version is not null").select("path", "branch", "version", "ts")
 
 
 def branches(commits: DataFrame, prefix: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars as S
+from quillspark.functions import tables
 from quillspark.functions import text as T
 from quillspark.operators import assets, cache, envelopes, packing, registry, summarize, temporal, vector
 
@@ -264,18 +265,16 @@ g AS (
 @query(_GREEDY.format(items="SELECT l_orderkey AS k, l_quantity::BIGINT AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem", limit=60, joiner=1)
        + "SELECT k AS l_orderkey, chunk::BIGINT AS chunk_index, count(*) AS n_items, (sum(w) + (count(*) - 1))::BIGINT AS tokens FROM g GROUP BY k, chunk")
 def pack_rows(read):
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("r"))
-    rows = rows.select("l_orderkey", F.transform("r", lambda x: x.l_quantity.cast("long")).alias("w")).withColumn("items", F.transform("w", lambda x: x.cast("string")))
-    return packing.packed(rows, ["l_orderkey"], "items", "w", 60, " ", 1).select("l_orderkey", "chunk_index", "n_items", "tokens")
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("w"))
+    out = tables.pack_rows(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "w", None, 60, " ", 1)
+    return out.select("l_orderkey", "chunk_index", "n_items", "tokens")
 
 
 @query(_GREEDY.format(items="SELECT conv_id AS k, length(text)::BIGINT AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations", limit=400, joiner=0)
        + "SELECT k AS conv_id, chunk::BIGINT AS chunk_index, count(*) AS n_items, sum(w)::BIGINT AS tokens FROM g GROUP BY k, chunk")
 def pack_lines(read):
-    rows = read("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
-    rows = rows.select("conv_id", F.transform("r", lambda x: x.text).alias("items")).withColumn("w", F.transform("items", lambda t: F.length(t).cast("long")))
-    return packing.packed(rows, ["conv_id"], "items", "w", 400, "\n").select("conv_id", "chunk_index", "n_items", "tokens")
+    rows = read("conversations").withColumn("w", F.length("text").cast("long"))
+    return tables.pack_rows(rows, "conv_id", ["turn"], "w", "text", 400, "\n").select("conv_id", "chunk_index", "n_items", "tokens")
 
 
 _WORDS = r"len(regexp_extract_all({}, '\w+|[^\w\s]'))"
@@ -891,7 +890,7 @@ def delete_versions(read):
 
 
 @query("""WITH u AS (SELECT c_custkey AS id, 'user' || (c_custkey % 120) AS username, c_custkey % 3 = 0 AS odd, c_mktsegment = 'BUILDING' AS first FROM customer), old AS (SELECT DISTINCT username FROM u WHERE first)
-SELECT id, username, CASE WHEN username IN (SELECT username FROM old) THEN 'duplicate user' WHEN odd THEN 'unknown permission' ELSE 'created' END AS outcome FROM u WHERE NOT first""")
+SELECT id, username, CASE WHEN known THEN 'duplicate user' WHEN odd THEN 'unknown permission' WHEN row_number() OVER (PARTITION BY username, known OR odd ORDER BY id) > 1 THEN 'duplicate user' ELSE 'created' END AS outcome FROM (SELECT *, username IN (SELECT username FROM old) AS known FROM u WHERE NOT first)""")
 def user_creation(read):
     c = read("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("user"), (F.col("c_custkey") % 120).cast("string")).alias("username"), F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("fly"))).otherwise(F.array(F.lit("list"))).alias("permissions"), (F.col("c_mktsegment") == "BUILDING").alias("first"))
     old = c.where("first").dropDuplicates(["username"])
@@ -915,7 +914,9 @@ def branch_listing(read):
 
 @query("""WITH d AS (SELECT source AS path, lang AS branch, sha256(text) AS version, doc_id AS ts, n_chars FROM documents), old AS (SELECT path, branch, version, ts FROM d WHERE n_chars < 2000),
 h AS (SELECT path, branch, arg_max(version, (ts, version)) AS head FROM old GROUP BY ALL)
-SELECT path, branch, version, ts FROM old UNION ALL SELECT d.path, d.branch, d.version, d.ts FROM d LEFT JOIN h USING (path, branch) WHERE n_chars >= 2000 AND version IS DISTINCT FROM head""")
+SELECT path, branch, version, ts FROM old UNION ALL
+SELECT path, branch, version, ts FROM (SELECT d.path, d.branch, d.version, d.ts, head, row_number() OVER w AS k, lag(version) OVER w AS before FROM d LEFT JOIN h USING (path, branch) WHERE n_chars >= 2000 WINDOW w AS (PARTITION BY d.path, d.branch ORDER BY d.ts, d.version))
+WHERE version IS DISTINCT FROM CASE WHEN k = 1 THEN head ELSE before END""")
 def object_commit(read):
     d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.col("text").alias("content"), F.col("doc_id").alias("ts"), "n_chars")
     old = d.where("n_chars < 2000").select("path", "branch", F.sha2("content", 256).alias("version"), "ts")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import configs, frames, index, temporal, vector
+from quillspark.functions import text as T
+from quillspark.operators import assets, configs, frames, index, sketches, temporal, vector
+from quillspark.operators.ordering import written
 from quillspark.plans.catalogue import query
 
 # ---- frames: a vector of 64 numbers stands for 8 × 8 grey values, a label for a video ----------------------------
@@ -97,3 +99,56 @@ def config_validation(read):
     docs = _configs(read)
     out = configs.report(configs.entries(docs, "event_id"), docs, "event_id", ["storage", "mlflow", "lakefs", "inference"])
     return out.select("event_id", "n_sections", "n_items", F.array_join("missing", ",").alias("missing"), F.array_join("empty", ",").alias("empty"), "valid")
+
+
+# ---- stored sketches, phrases, deletions -----------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1),
+w AS (SELECT event_type, count(DISTINCT user_id) FILTER (ts >= TIMESTAMP '2024-01-16') AS late FROM events GROUP BY 1)
+SELECT event_type, n, users, true AS same_as_whole, true AS users_near, true AS gone_near, true AS median_near FROM a JOIN w USING (event_type)""")
+def merged_sketches(read):
+    """Daily sketches, stored and merged per event type: equal to a sketch of all rows, near the exact distinct users, the users seen in the
+    first half of the month only, and the median's rank."""
+    e = read("events")
+    by = ["event_type"]
+    daily = written(sketches.daily(e, F.to_date("ts"), by, "user_id", "value"), "daily-sketches")
+    every = sketches.merged(daily, by)
+    half = F.col("day") >= F.lit("2024-01-16").cast("date")
+    early = sketches.merged(daily.where(~half), by).select("event_type", F.col("theta").alias("early"))
+    late = sketches.merged(daily.where(half), by).select("event_type", F.col("theta").alias("late"))
+    whole = sketches.daily(e, F.lit(0), by, "user_id", "value").select("event_type", sketches.distinct("hll").alias("whole"))
+    seen = every.join(early, "event_type", "left").join(late, "event_type", "left").join(whole, "event_type")
+    gone = F.when(F.col("late").isNull(), F.theta_sketch_estimate("early")).when(F.col("early").isNull(), 0).otherwise(sketches.only_in("early", "late"))
+    seen = seen.select("event_type", "n", sketches.distinct("hll").alias("about"), "whole", gone.alias("about_gone"), sketches.quantile(0.5).alias("median"))
+    users = e.groupBy("event_type", "user_id").agg(F.max("ts").alias("last"))
+    exact = users.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("last") < F.lit("2024-01-16").cast("timestamp_ntz")).alias("gone"))
+    ranks = e.join(seen.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"), F.count("value").alias("k"))
+    out = seen.join(exact, "event_type").join(ranks, "event_type")
+    near = lambda about, true, of: F.abs(F.col(about) - F.col(true)) <= 0.05 * F.col(of) + 1
+    return out.select(
+        "event_type", "n", "users", (F.col("about") == F.col("whole")).alias("same_as_whole"), near("about", "users", "users").alias("users_near"),
+        near("about_gone", "gone", "users").alias("gone_near"), ((F.col("below") <= 0.53 * F.col("k")) & (F.col("upto") >= 0.47 * F.col("k"))).alias("median_near"),
+    )
+
+
+#: Phrases that contain, start with and overlap each other.
+_PHRASES = ("th", "the", "the ", "er", "ere", "re", "en", "ent", "nt", "in", "ing", "der", "die ", "un", "und", "é", "ción")
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '({'|'.join(sorted(_PHRASES, key=len, reverse=True))})', '<\\1>', 'g')) AS text_sha256 FROM documents")
+def phrase_conversion(read):
+    """Every document with the longest phrase at each place converted."""
+    to = T.to_traditional(F.col("text"), {p: f"<{p}>" for p in _PHRASES})
+    return read("documents").select("doc_id", F.sha2(to, 256).alias("text_sha256"))
+
+
+@query("""WITH d AS (SELECT source AS path, lang AS branch, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS version, doc_id AS ts FROM documents)
+SELECT path, branch, version, ts FROM (SELECT * FROM (SELECT *, lag(version) OVER (PARTITION BY path, branch ORDER BY ts) AS before FROM d) WHERE version IS DISTINCT FROM before
+  QUALIFY row_number() OVER (PARTITION BY path, branch ORDER BY ts DESC) = 1) WHERE version IS NOT NULL""")
+def standing_objects(read):
+    """Uploads and, for every seventh document, deletions: committed in two batches, then what stands."""
+    d = read("documents").select(F.col("source").alias("path"), F.col("lang").alias("branch"), F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("content"), F.col("doc_id").alias("ts"))
+    none = d.select("path", "branch", F.lit(None).cast("string").alias("version"), "ts").where("false")
+    first = assets.commit(none, d.where("ts < 100"))
+    return assets.standing(assets.commit(first, d.where("ts >= 100"))).select("path", "branch", "version", "ts")
