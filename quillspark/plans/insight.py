@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import scalars as S
 from quillspark.functions import text as T
-from quillspark.operators import assets, configs, frames, index, sketches, temporal, vector
+from quillspark.operators import assets, configs, frames, index, packing, sketches, temporal, vector
 from quillspark.operators.ordering import written
-from quillspark.plans.catalogue import query
+from quillspark.plans.catalogue import _GREEDY, _WORDS, query
 
 # ---- frames: a vector of 64 numbers stands for 8 × 8 grey values, a label for a video ----------------------------
 
@@ -152,3 +153,61 @@ def standing_objects(read):
     none = d.select("path", "branch", F.lit(None).cast("string").alias("version"), "ts").where("false")
     first = assets.commit(none, d.where("ts < 100"))
     return assets.standing(assets.commit(first, d.where("ts >= 100"))).select("path", "branch", "version", "ts")
+
+
+# ---- cells, tables, templates, times ---------------------------------------------------------------------------
+
+_CELL = "coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (o_orderkey // 4 % 3 = {r} AND o_orderkey // 16 % 2 = {c}), '')"
+_GRID = "'| ' || {0} || ' | ' || {1} || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {2} || ' | ' || {3} || ' |' || chr(10) || '| ' || {4} || ' | ' || {5} || ' |'".format(*[_CELL.format(r=r, c=c) for r in range(3) for c in range(2)])
+
+
+@query(f"SELECT o_custkey, {_GRID} AS text FROM orders GROUP BY o_custkey")
+def cells_markdown(read):
+    """Cells (row, column, text) of each customer's orders as a grid; of two at one place the later one counts."""
+    cell = F.struct("o_orderkey", F.expr("cast(o_orderkey div 4 % 3 as int)").alias("row"), F.expr("cast(o_orderkey div 16 % 2 as int)").alias("col"), F.col("o_orderpriority").alias("text"))
+    rows = read("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("o_custkey", T.grid_markdown(T.cells_grid(F.col("cells"), F.lit(3), F.lit(2))).alias("text"))
+
+
+@query(r"SELECT conv_id, turn, replace(trim(regexp_replace(role || ' | ' || text, '\s+', ' ', 'g')), '|', '\|') AS cell FROM conversations")
+def cell_cleaning(read):
+    return read("conversations").select("conv_id", "turn", T.clean_cell(F.concat_ws(" | ", "role", "text")).alias("cell"))
+
+
+_TWO = "'| ' || lang || ' | ' || source || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x |'"
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE '<TABLE>' || chr(10) || {_TWO} || CASE doc_id % 4 WHEN 2 THEN chr(10) ELSE '' END || chr(10) || '</TABLE>' END AS text FROM documents""")
+def table_fallback(read):
+    """A table from its grid, else its cells, else the Markdown in the text."""
+    kind, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    grid = F.when(kind == 0, F.array(F.array("lang", "source"), F.array(n, F.lit("x"))))
+    cell = lambda r, c, t: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), t.alias("text"))
+    cells = F.when(kind == 1, F.array(cell(0, 0, F.col("lang")), cell(0, 1, F.col("source")), cell(1, 0, n), cell(1, 1, F.lit("x"))))
+    text = F.when(kind == 2, F.concat(F.lit("before\n| "), "lang", F.lit(" | "), "source", F.lit(" |\n| --- | --- |\n| "), n, F.lit(" | x |\nafter"))).otherwise("none")
+    return read("documents").select("doc_id", T.table_text(grid, cells, F.lit(2), F.lit(2), text, F.lit(0)).alias("text"))
+
+
+@query("SELECT conv_id, turn, 'Say: ' || text || ' / ' || text AS prompt FROM conversations")
+def template_application(read):
+    return read("conversations").select("conv_id", "turn", T.apply_template(F.col("text"), "Say: {input} / {input}").alias("prompt"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000000Z' END AS iso, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM events""")
+def times(read):
+    """ISO text to time stamps and back, and milliseconds as text; every fifth text is none."""
+    e = read("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    iso = F.when(F.col("event_id") % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    return e.select("event_id", S.format_iso(S.parse_iso(iso)).alias("iso"), S.epoch_ms_text(F.unix_millis("ts")).alias("text"))
+
+
+_NAME = _WORDS.format("p_name")
+
+
+@query(_GREEDY.format(items=f"""SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY n) AS pos FROM (
+  SELECT p_size AS k, n, {_NAME} + first_value({_NAME}) OVER (PARTITION BY p_size ORDER BY n) + 1 AS w, sum({_NAME} + 1) OVER (PARTITION BY p_size) AS whole FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part)) WHERE n > 1 AND whole > 24 * 0.6""", limit=14, joiner=0)
+       + "SELECT k AS p_size, chunk::BIGINT AS chunk_index, (count(*) + 1)::BIGINT AS n_columns FROM g GROUP BY k, chunk")
+def table_column_chunks(read):
+    """Tables with a part's name a column: ranges of columns within the budget, each after the first one."""
+    tables_ = read("part").groupBy("p_size").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r")).select("p_size", F.col("r.p_name").alias("header"))
+    return packing.pack_table_columns(tables_, "p_size", "header", 24).select("p_size", "chunk_index", F.size("columns").cast("long").alias("n_columns"))
