@@ -72,6 +72,7 @@ def explain_quantisation(level: Column, params: Column) -> Column:
     return F.struct((per * 8).alias("bits"), per.alias("bytes_per_param"), (params * per / 1024**3).alias("weight_gb"), error.alias("error"))
 
 
+#: Model types of the estimate, and the memory that a process takes besides its model (fixed values, as are the numbers of its formula).
 TEXT_MODELS = ("text-generation-hf", "text-generation-ollama", "vlm")
 SPEECH_MODELS = ("asr-hf", "vad-hf")
 OVERHEAD_BYTES = 500 * 1024 * 1024

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,32 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
+def _level(start: str, end: str, bin_size: float) -> Column:
+    """0 for intervals no longer than a bin, one more for each four times that."""
+    bins = (F.col(end) - F.col(start)) / bin_size
+    return F.when(bins > 1, F.ceil(F.log(bins) / math.log(4))).otherwise(F.lit(0)).cast("int")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", bin_size: float | None = None) -> DataFrame:
     """Rows of one file whose open intervals (s1, e1) and (s2, e2) share a stretch; column overlap.
 
-    With ``bin_size`` a file's intervals are first dealt into time bins, so that one long file is many small joins:
-    a pair that shares several bins is kept in the bin where its shared stretch starts."""
+    With ``bin_size`` a file's intervals are first dealt into time bins, so that one long file is many small joins.  Bins are as wide as
+    the longer interval of a pair needs, in steps of four, so that an interval of any length lies in a few bins of each width; a pair
+    that shares several bins is kept in the bin where its shared stretch starts."""
     test = (F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1"))
     if bin_size is None:
         out = left.join(right.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & test, how).drop("_k")
     else:
-        bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_size), F.greatest(F.floor(F.col(s) / bin_size), F.floor(F.col(e) / bin_size))))
-        a, b = left.withColumn("_b", bins("s1", "e1")), right.withColumn("_b", bins("s2", "e2"))
-        out = a.join(b, [key, "_b"]).where(test & (F.floor(F.greatest("s1", "s2") / bin_size) == F.col("_b"))).drop("_b")
+        widest = [rows.agg(F.max(_level(s, e, bin_size)).alias("m")).first()["m"] or 0 for rows, s, e in ((left, "s1", "e1"), (right, "s2", "e2"))]
+        width = F.lit(bin_size) * F.pow(F.lit(4.0), F.col("_w"))
+
+        def dealt(rows: DataFrame, s: str, e: str, own: str) -> DataFrame:
+            rows = rows.withColumn(own, _level(s, e, bin_size)).withColumn("_w", F.explode(F.sequence(F.coalesce(own, F.lit(0)), F.lit(max(widest)))))
+            return rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / width), F.greatest(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))))
+
+        a, b = dealt(left, "s1", "e1", "_wa"), dealt(right, "s2", "e2", "_wb")
+        once = (F.greatest("_wa", "_wb") == F.col("_w")) & (F.floor(F.greatest("s1", "s2") / width) == F.col("_b"))
+        out = a.join(b, [key, "_w", "_b"]).where(test & once).drop("_w", "_b", "_wa", "_wb")
         if how == "left":
             out = left.join(out, left.columns, "left")
     return out.withColumn("overlap", overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")))

@@ -197,3 +197,17 @@ def test_priorities_of_a_large_task():
     models = [("t", 1 + k // 2, k) for k in range(1_000_000)]
     numbers = [n for _, n in registry.renumbered(models)]
     assert len(numbers) == 1_000_000 and numbers[:4] == [1, 2, 3, 4] and len(set(numbers)) == 1_000_000
+
+
+def test_overlaps_of_long_and_short_intervals(spark):
+    """Intervals of very different lengths meet once each; a long one lies in a few bins."""
+    rng = random.Random(11)
+    make = lambda n: [(rng.randrange(3), i, s, s + rng.choice([0.0, 0.5, 3.0, 40.0, 9000.0, 10.0**6])) for i, s in enumerate(rng.uniform(-50, 5000) for _ in range(n))]
+    a, b = make(80), make(90)
+    left = spark.createDataFrame(a, "k int, i int, s1 double, e1 double")
+    right = spark.createDataFrame(b, "k int, j int, s2 double, e2 double")
+    want = sorted((k, i, j) for k, i, s, e in a for q, j, t, f in b if k == q and s < f and t < e)
+    got = temporal.overlap_join(left, right, "k", "inner", 2.0)
+    assert sorted((r["k"], r["i"], r["j"]) for r in got.collect()) == want
+    every = temporal.overlap_join(left, right, "k", "left", 2.0)
+    assert every.where("j is null").count() == sum(not any(k == q and s < f and t < e for q, _, t, f in b) for k, _, s, e in a)
