@@ -40,7 +40,11 @@ def shared_texts():
     return [*out, out[0], passage[0], passage[0] * 3, "\n".join(passage * 30), dense[0] * 4]
 
 
-def test_ids_equal_the_library(spark, library):
+@pytest.mark.parametrize("small", [True, False])
+def test_ids_equal_the_library(spark, library, monkeypatch, small):
+    """Shared chunks sent to all tasks, or joined with the texts."""
+    if not small:
+        monkeypatch.setattr(bpe, "BROADCAST_BYTES", 0)
     rows = [*enumerate([*texts(), *shared_texts()]), (None, "no id"), (None, "no id"), (3, shared_texts()[1]), (3, "again")]
     got = bpe.encode(frame(spark, rows), VOCAB).collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((i, *digests(library, t))) for i, t in rows)
