@@ -19,13 +19,11 @@ def entries(docs: DataFrame, key: str, config: str = "config") -> DataFrame:
     level = level.where("value is not null")
     out = None
     while True:
-        view = f"config_level_{0 if out is None else 1}"
-        level.createOrReplaceTempView(view)
         dot = "concat_ws('.', nullif(t.path, ''), coalesce(e.key, concat('[', e.pos, ']')))"
         level = docs.sparkSession.sql(f"""
             SELECT t.`{key}`, {dot} AS path, e.key AS name, e.value AS value, schema_of_variant(e.value) AS kind,
                    coalesce(t.section, e.key) AS section, t.depth + 1 AS depth, t.searched AND e.key IS NOT NULL AS searched
-            FROM {view} t, LATERAL variant_explode(t.value) e""")
+            FROM {{level}} t, LATERAL variant_explode(t.value) e""", level=level)
         level = written(level, "config-level")
         if level.isEmpty():
             return level if out is None else out
