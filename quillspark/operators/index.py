@@ -31,6 +31,7 @@ class Index:
     key: str
     keep: tuple[str, ...]
     kinds: dict[str, str]
+    size: int
 
     def posted(self, spark) -> DataFrame:
         fields = ", ".join([*(f"{c} {self.kinds[c]}" for c in (self.key, *self.keep)), "v array<double>", "list int"])
@@ -71,6 +72,13 @@ def _nearest_lists(centroids: np.ndarray, names: Sequence[str], probes: int):
     return run
 
 
+def _few(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hashes of their keys.  Rows whose hash is far beyond theirs go before the sort, so that tasks
+    don't send n rows each."""
+    h = F.xxhash64(key)
+    return rows.where(h <= min(2**63 - 1, 2**64 * 2 * n // max(1, total) - 2**63)).orderBy(h, key).limit(n)
+
+
 def build(entries: DataFrame, key: str = "id", vec: str = "vec", keep: Sequence[str] = (), lists: int | None = None) -> Index:
     """The index of all entries with a usable vector; ``lists``: by default the root of their number."""
     from quillspark.streaming.flow import shared_folder
@@ -78,7 +86,7 @@ def build(entries: DataFrame, key: str = "id", vec: str = "vec", keep: Sequence[
     rows = entries.select(key, *keep, F.col(vec).cast("array<double>").alias("v"))
     n = rows.count()
     lists = lists or max(1, min(MOST_LISTS, int(n**0.5)))
-    sample = rows.where("v is not null").orderBy(F.xxhash64(key), key).limit(SAMPLE).select("v").toArrow()  # SAMPLE vectors
+    sample = _few(rows.where("v is not null"), key, SAMPLE, n).select("v").toArrow()  # SAMPLE vectors
     x = unit_rows(sample.column("v")) if sample.num_rows else np.zeros((0, 1))
     x = x[~np.isnan(x).any(axis=1)]
     centroids = fitted(x, lists) if len(x) else np.zeros((1, 1))
@@ -87,7 +95,7 @@ def build(entries: DataFrame, key: str = "id", vec: str = "vec", keep: Sequence[
     posted = rows.mapInArrow(_nearest_lists(centroids, names, 1), ", ".join([*(f"{c} {kinds[c]}" for c in names), "list int"]))
     path = f"{shared_folder(entries.sparkSession)}/index-{uuid.uuid4().hex}"
     posted.write.partitionBy("list").parquet(path)
-    return Index(centroids, path, key, tuple(keep), kinds)
+    return Index(centroids, path, key, tuple(keep), kinds, n)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, query_key: str = "query", digits: int = 9) -> DataFrame:
@@ -112,7 +120,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, query_key: str
 def tuned(index: Index, entries: DataFrame, k: int, target: float = 0.95, vec: str = "vec") -> int:
     """The least number of lists to probe that finds ``target`` of the k exact results of TRIED entries (those with the smallest hashes)."""
     key = index.key
-    tried = entries.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(TRIED).select(F.col(key).alias("query"), F.col(vec).alias("qvec"))
+    tried = _few(entries.where(F.col(vec).isNotNull()), key, TRIED, index.size).select(F.col(key).alias("query"), F.col(vec).alias("qvec"))
     exact = nearest_k(entries, tried, k, key, vec)
     lists = index.posted(entries.sparkSession).select(key, "list")
     rows = exact.join(lists, key).join(tried, "query").select("list", F.col("qvec").cast("array<double>").alias("v")).toArrow()  # TRIED * k rows
