@@ -117,10 +117,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, query_key: str
     return best_of(found, k, query_key, index.key)
 
 
-def tuned(index: Index, entries: DataFrame, k: int, target: float = 0.95, vec: str = "vec") -> int:
-    """The least number of lists to probe that finds ``target`` of the k exact results of TRIED entries (those with the smallest hashes)."""
+def tuned(index: Index, entries: DataFrame, k: int, target: float = 0.95, vec: str = "vec", among: DataFrame | None = None) -> int:
+    """The least number of lists to probe that finds ``target`` of the k exact results of TRIED entries (those with the smallest hashes),
+    taken from ``among`` if given."""
     key = index.key
-    tried = _few(entries.where(F.col(vec).isNotNull()), key, TRIED, index.size).select(F.col(key).alias("query"), F.col(vec).alias("qvec"))
+    tried = _few((entries if among is None else among).where(F.col(vec).isNotNull()), key, TRIED, index.size).select(F.col(key).alias("query"), F.col(vec).alias("qvec"))
     exact = nearest_k(entries, tried, k, key, vec)
     lists = index.posted(entries.sparkSession).select(key, "list")
     rows = exact.join(lists, key).join(tried, "query").select("list", F.col("qvec").cast("array<double>").alias("v")).toArrow()  # TRIED * k rows
