@@ -107,12 +107,18 @@ def _frequent(longest: int):
 
 
 def head(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS, text: str = "text") -> Head:
-    """The head of all documents.  At most HEAD_WORDS + HEAD_PAIRS rows come to the driver."""
+    """The head of all documents: what has at least the count, in steps of a sixteenth of a doubling, from which on no more than HEAD_WORDS
+    words and HEAD_PAIRS pairs are left.  So no more come to the driver, from all tasks together."""
     rows = docs.select(F.col(text).cast("string")).mapInArrow(_frequent(longest), "first binary, second binary, n long")
     counts = stored(rows.groupBy("first", "second").agg(F.sum("n").alias("n")), "frequent")
-    order = [F.desc("n"), "first", "second"]
-    words = {bytes(r["first"]): crc32(r["first"]) for r in counts.where("second is null").orderBy(*order).limit(HEAD_WORDS).collect()}
-    pairs = counts.where("second is not null").orderBy(*order).limit(HEAD_PAIRS).collect() if longest > 1 else []
+    counts = counts.withColumn("pair", F.col("second").isNotNull()).withColumn("step", F.floor(F.log2("n") * 16))
+    left, least = {False: HEAD_WORDS, True: HEAD_PAIRS}, {False: 1 << 30, True: 1 << 30}
+    for r in sorted(counts.groupBy("pair", "step").agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["step"]):  # some 2000 rows at most
+        left[r["pair"]] -= r["k"]
+        if left[r["pair"]] >= 0:
+            least[r["pair"]] = r["step"]
+    words = {bytes(r["first"]): crc32(r["first"]) for r in counts.where(~F.col("pair") & (F.col("step") >= least[False])).collect()}
+    pairs = counts.where(F.col("pair") & (F.col("step") >= least[True])).collect() if longest > 1 else []
     return Head(words, {(bytes(r["first"]), bytes(r["second"])): crc32(r["first"] + b" " + r["second"]) for r in pairs}, buckets)
 
 
