@@ -23,8 +23,9 @@ def merged(stored: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def distinct(sketch: str = "hll") -> Column:
-    """About how many distinct items a sketch has seen."""
-    return F.hll_sketch_estimate(sketch) if sketch == "hll" else F.theta_sketch_estimate(sketch)
+    """About how many distinct items a sketch has seen.  A sketch that one task has filled by itself counts along and estimates otherwise than
+    an equal one that was merged: in a union with itself it counts as merged, so the estimate depends on the items only."""
+    return F.hll_sketch_estimate(F.hll_union(sketch, sketch)) if sketch == "hll" else F.theta_sketch_estimate(sketch)
 
 
 def only_in(a: str, b: str) -> Column:

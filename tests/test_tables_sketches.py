@@ -95,3 +95,12 @@ def test_repeats_within_a_batch(spark):
     again = assets.commit(first, up(("x", 10), ("x", 11)))
     assert [r["ts"] for r in assets.standing(again).collect()] == [10]
     assert assets.commit(none, up((None, 1))).count() == 0
+
+
+def test_estimate_depends_on_the_items_only(spark):
+    """A sketch that one task has filled, and the same items by ten days' sketches merged."""
+    rows = spark.range(0, 30_000, 1, 1).selectExpr("id % 10 as day", "'a' as g", "id % 2500 as item", "double(id) as v")
+    days = sketches.merged(sketches.daily(rows, F.col("day"), ["g"], "item", "v"), ["g"])
+    whole = sketches.daily(rows, F.lit(0), ["g"], "item", "v")
+    a, b = (df.select(sketches.distinct()).first()[0] for df in (days, whole))
+    assert a == b and abs(a - 2500) < 125
