@@ -73,9 +73,18 @@ def scenes(frames: DataFrame, key: str, order: str, diff: str = "diff", fps: flo
     return frames.join(level, key).where(F.col(diff) > F.col("threshold")).withColumn("at", F.col(order) / fps)
 
 
-def segment_means(frames: DataFrame, key: str, index: str, per_segment: int, k: int = 5) -> DataFrame:
-    """Frames (key, index, label, probability) → the k likeliest labels per segment by mean probability, four decimals."""
-    rows = frames.withColumn("segment", F.floor(F.col(index) / per_segment).cast("long")).groupBy(key, "segment", "label").agg(F.avg("probability").alias("p"))
+def segment_means(frames: DataFrame, key: str, index: str, per_segment: int, k: int = 5, order: list[str] | None = None) -> DataFrame:
+    """Frames (key, index, label, probability) → the k likeliest labels per segment by mean probability, four decimals.
+
+    A mean of doubles depends on the order of its addends, and with it which of two equal means comes first.  ``order``: columns that fix this
+    order; without it, it is the order in which rows arrive."""
+    rows = frames.withColumn("segment", F.floor(F.col(index) / per_segment).cast("long"))
+    if order is None:
+        rows = rows.groupBy(key, "segment", "label").agg(F.avg("probability").alias("p"))
+    else:
+        upto = Window.partitionBy(key, "segment", "label").orderBy(*order)
+        means = rows.repartition(key, "segment").withColumns({"p": F.avg("probability").over(upto.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead(F.lit(1)).over(upto)})
+        rows = means.where("_next is null").select(key, "segment", "label", "p")
     w = Window.partitionBy(key, "segment").orderBy(F.desc("p"), "label")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(f"rank <= {k}").select(key, "segment", "label", "rank", F.round("p", 4).alias("probability"))
 

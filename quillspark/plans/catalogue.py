@@ -434,8 +434,10 @@ def scene_threshold(read):
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, segment ORDER BY p DESC, label) AS rank FROM m)
 SELECT l_orderkey, segment::BIGINT AS segment, label, rank, round(p, 4) AS probability FROM r WHERE rank <= 5""")
 def segment_top5(read):
-    rows = read("lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_discount").alias("probability"))
-    return temporal.segment_means(rows, "l_orderkey", "l_linenumber", 2)
+    """Means are summed in the order of the file, whichever tasks read it."""
+    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    rows = read("lineitem").withColumns(place).select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("label"), F.col("l_discount").alias("probability"), *place)
+    return temporal.segment_means(rows, "l_orderkey", "l_linenumber", 2, order=list(place))
 
 
 @query("""SELECT user_id, i, CAST(floor(0 + (n / 8.0) / 2 + round_even((n / 8.0) * i, 0)) AS BIGINT) AS frame

@@ -285,3 +285,26 @@ def test_summaries(spark):
     assert got[1][1] == "t0 " * 5
     fi = envelopes.fan_in(spark.createDataFrame([("c", "ocr", 2, "failed", "late"), ("c", "ocr", 1, "ok", "x"), ("c", "description", 3, "error", "boom"), ("d", "ocr", 1, "ok", "x")], "correlation_id string, branch string, ts int, status string, result string"), envelopes.BRANCHES["image"])
     assert [(r["correlation_id"], r["errors"]) for r in fi.collect()] == [("c", "description: boom")]
+
+
+def test_segment_means_in_the_order_of_the_file(spark, tmp_path):
+    """Three discounts whose sum depends on the order, spread over two files, beside a single one: which mean is larger is decided by the order of the rows."""
+    grid = [k / 100 for k in range(11)]
+    odd = [(a, b, c) for a in grid for b in grid for c in grid if (a + b) + c != a + (b + c)][:60]
+    first = [(n, 1, "A", "F", a) for n, (a, _, _) in enumerate(odd)]
+    rest = [(n, 1, "A", "F", x) for n, (_, b, c) in enumerate(odd) for x in (b, c)] + [(n, 1, flag, "O", (b + c + a) / 3) for n, (a, b, c) in enumerate(odd) for flag in "AR"]
+    rest += [(n, 1, "B", "F", (a + (b + c)) / 3) for n, (a, b, c) in enumerate(odd)]
+    for rows in (first, rest):
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double").coalesce(1).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+    files = sorted((tmp_path / "lineitem.parquet").glob("*.parquet"))
+    in_order = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    sums: dict = {}
+    for r in in_order:
+        s, n = sums.get((r[0], r[2] + r[3]), (0.0, 0))
+        sums[r[0], r[2] + r[3]] = (s + r[4], n + 1)
+    want = set()
+    for order in range(len(odd)):
+        means = sorted((-s / n, label) for (k, label), (s, n) in sums.items() if k == order)
+        want |= {(order, label, rank) for rank, (_, label) in enumerate(means, 1)}
+    got = {(r["l_orderkey"], r["label"], r["rank"]) for r in catalogue.queries()["segment_top5"](spark, str(tmp_path)).collect()}
+    assert got == want
