@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,6 +28,8 @@ PARALLEL = {
 }
 TASK_SECONDS = 1800
 STATE_SECONDS = 24 * 3600
+#: Buckets of keys that share a state.  A batch rewrites the states of the buckets it touches; what has outlived its time leaves them.
+BUCKETS = 1024
 
 
 def event_time(df: DataFrame, column: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -45,48 +47,74 @@ def fan_in(results: DataFrame, branches: Sequence[str], timeout_seconds: int = T
 
     Input: (key, branch, status, result, ts) with a watermark on ts.  The state holds the earliest answer of each branch by
     (ts, order), order being a column of whole numbers if given, whichever chunk of rows brings it before the key is finished; so repeated
-    messages change nothing, and a finished key answers once only.  error and failed both count as failures."""
+    messages change nothing, and a finished key answers once only.  error and failed both count as failures.
+
+    A state holds a bucket of keys (``BUCKETS``) with the deadline of each; a finished key's answers are dropped from it."""
     wanted = tuple(branches)
+    none: tuple = (None, None, None, None)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        got: dict[str, tuple[str, str]] = {}
-        when: dict[str, tuple[int, int]] = {}
-        done = False
+        got: dict[str, dict[str, tuple[str, str, int, int]]] = {}  # the answers of keys that are open
+        until: dict[str, int] = {}
+        done: set[str] = set()
         if state.exists:
-            names, statuses, texts, times, orders, done = state.get
-            got = {n: (s, t) for n, s, t in zip(names, statuses, texts, strict=True)}
-            when = {n: (int(t), int(o)) for n, t, o in zip(names, times, orders, strict=True)}
-        if state.hasTimedOut:
-            if not done:
-                missing = ",".join(b for b in wanted if b not in got)
-                yield pd.DataFrame({"key": [k[0]], "outcome": ["timeout"], "errors": [f"PROCESSING_TIMEOUT: {missing}"], "results": [_texts(got, wanted)]})
-            state.remove()
-            return
-        last = 0
-        for df in batches:
+            keys, deadlines, ended, *answers = state.get
+            until, done = dict(zip(keys, deadlines, strict=True)), {n for n, e in zip(keys, ended, strict=True) if e}
+            places = [(n, w) for n in keys if n not in done for w in wanted]
+            for (n, w), found in zip(places, zip(*answers, strict=True), strict=True):
+                got.setdefault(n, {}).update({w: found} if found[2] is not None else {})
+        watermark, last, out = state.getCurrentWatermarkMs(), {}, []
+        for df in () if state.hasTimedOut else batches:
             orders = [0] * len(df) if order is None else df[order].tolist()
-            for branch, status, text, ts, o in zip(df["branch"], df["status"], df["result"], df["ts"], orders, strict=True):
-                last = max(last, int(ts.timestamp() * 1000))
-                at = (_micros(ts), int(o))
-                if branch in wanted and not done and (branch not in got or at < when[branch]):
-                    got[branch], when[branch] = (status, text), at
-        if not done and all(b in got for b in wanted):
-            errors = "; ".join(f"{b}: {got[b][1]}" for b in wanted if got[b][0] in ("error", "failed"))
-            yield pd.DataFrame({"key": [k[0]], "outcome": ["failed" if errors else "complete"], "errors": [errors], "results": [_texts(got, wanted)]})
-            done = True
-        state.update((list(got), [s for s, _ in got.values()], [t for _, t in got.values()], [when[b][0] for b in got], [when[b][1] for b in got], done))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * (STATE_SECONDS if done else timeout_seconds))
-
-    return results.groupBy(key).applyInPandasWithState(
-        run, "key string, outcome string, errors string, results array<string>", "names array<string>, statuses array<string>, texts array<string>, times array<long>, orders array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+            for n, branch, status, text, at, o in zip(df["_key"], df["branch"], df["status"], df["result"], _all_micros(df["ts"]), orders, strict=True):
+                last[n] = max(last.get(n, 0), at // 1000)
+                if branch in wanted and n not in done:
+                    held = got.setdefault(n, {})
+                    if branch not in held or (at, o) < held[branch][2:]:
+                        held[branch] = (status, text, at, int(o))
+        for n, at in last.items():
+            answers_of = got.setdefault(n, {}) if n not in done else {}
+            if n not in done and len(answers_of) == len(wanted):
+                errors = "; ".join(f"{b}: {answers_of[b][1]}" for b in wanted if answers_of[b][0] in ("error", "failed"))
+                out.append((n, "failed" if errors else "complete", errors, _texts(got.pop(n), wanted)))
+                done.add(n)
+            until[n] = max(at, watermark) + 1000 * (STATE_SECONDS if n in done else timeout_seconds)
+        for n in [n for n, at in until.items() if at < watermark]:
+            if n not in done:
+                missing = ",".join(b for b in wanted if b not in got.get(n, {}))
+                out.append((n, "timeout", f"PROCESSING_TIMEOUT: {missing}", _texts(got.pop(n, {}), wanted)))
+            done.discard(n)
+            del until[n]
+        if until:
+            flat = [got.get(n, {}).get(w, none) for n in until if n not in done for w in wanted]
+            state.update((list(until), list(until.values()), [n in done for n in until], *([f[c] for f in flat] for c in range(4))))
+            state.setTimeoutTimestamp(min(until.values()))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "outcome", "errors", "results"])
+
+    held = "keys array<string>, deadlines array<long>, ended array<boolean>, statuses array<string>, texts array<string>, times array<long>, orders array<long>"
+    columns = ["branch", "status", "result", "ts", *([] if order is None else [order])]
+    return _in_buckets(results, key, columns).applyInPandasWithState(
+        run, "key string, outcome string, errors string, results array<string>", held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def _in_buckets(rows: DataFrame, key: str, columns: Sequence[str]) -> GroupedData:
+    """Rows (_key, columns) grouped by a bucket of keys: a state per key costs milliseconds a key, so keys share calls and states."""
+    return rows.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket"), F.col(key).cast("string").alias("_key"), *dict.fromkeys(columns)).groupBy("_bucket")
+
+
 def _micros(ts: pd.Timestamp) -> int:
     return ts.as_unit("ns").value // 1000
 
 
-def _texts(got: dict[str, tuple[str, str]], wanted: Sequence[str]) -> list[str | None]:
+def _all_micros(ts: pd.Series) -> list[int]:
+    return ts.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _texts(got: dict[str, tuple], wanted: Sequence[str]) -> list[str | None]:
     return [got[b][1] if b in got else None for b in wanted]
 
 

@@ -169,3 +169,24 @@ def test_models(spark):
     assert o == {"num_predict": 5}
     rows = models.media_rows(spark.createDataFrame([("p", b"x")], "path string, content binary"), lambda p, c: [{"start": 0.0, "text": "hi"}], "start double, text string").collect()
     assert rows[0]["text"] == "hi"
+
+
+def test_fan_in_of_many_keys_shares_states(spark, tmp_path):
+    """3000 keys over three batches, one of them without a key: as by a loop, and the states kept are those of buckets, not of keys."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "correlation_id string, branch string, status string, result string, ts timestamp, id long"
+    keys = [None, *(f"k{n}" for n in range(3000))]
+    first = [(k, "ocr" if n % 2 else "other", "ok", f"o{n}", at(n % 50), n) for n, k in enumerate(keys)]
+    second = [(k, b, "failed" if n % 7 == 0 else "ok", f"{b[0]}{n}", at(60), n) for n, k in enumerate(keys) if n % 3 for b in ("ocr", "description")]
+    late = [("late", "ocr", "ok", "x", at(9000), 0)]
+    s = _stream(spark, tmp_path, "many", [first, second, late, [("last", "ocr", "ok", "x", at(9100), 0)]], schema).withWatermark("ts", "1 second")
+    got = {r["key"]: (r["outcome"], r["results"]) for r in flow.run_once(flow.fan_in(s, ("description", "ocr"), order="id"), "fan_in_many", str(tmp_path / "ckm")).collect()}
+    want = {}
+    for n, k in enumerate(keys):
+        ocr = f"o{n}" if n % 2 or n % 3 else None
+        if n % 3:
+            want[k] = ("failed" if n % 7 == 0 else "complete", [f"d{n}", ocr])
+        else:
+            want[k] = ("timeout", [None, ocr])
+    assert {k: v for k, v in got.items() if k not in ("late", "last")} == want
+    assert spark.read.format("statestore").load(str(tmp_path / "ckm")).count() <= flow.BUCKETS
