@@ -149,28 +149,41 @@ def step_machine(events: DataFrame, modality: str, key: str = "correlation_id",
     by = ["ts"] if order is None else ["ts", order]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        at: dict[str, tuple[str, dict[str, str]]] = {}
+        until: dict[str, int] = {}
+        if state.exists:
+            keys, deadlines, where, names, statuses = state.get
+            until = dict(zip(keys, deadlines, strict=True))
+            at = {n: (step, dict(zip(a, b, strict=True))) for n, step, a, b in zip(keys, where, names, statuses, strict=True)}
+        watermark, last, out, parts = state.getCurrentWatermarkMs(), {}, [], []
+        for df in () if state.hasTimedOut else batches:
+            last |= dict.fromkeys(df["_key"], 0)
+            parts.append(df.loc[df["event"].isin(known), ["_key", *by, "event", "status"]])
+        if parts:
+            rows = pd.concat(parts).sort_values(by, kind="stable")
+            for n, event, status, ts in zip(rows["_key"], rows["event"], rows["status"], rows["ts"], strict=True):
+                step, answered = at.get(n, (None, {}))
+                after, answered = advance(steps, parallel, step, answered, event, status)
+                if after is not None:
+                    at[n] = after, answered
+                if after != step:
+                    out.append((n, after, ts))
+            last |= dict(zip(rows["_key"], (t // 1000 for t in _all_micros(rows["ts"])), strict=True))
+        for n, moment in last.items():
+            if n in at:
+                until[n] = max(moment, watermark) + 1000 * STATE_SECONDS
+        for n in [n for n, moment in until.items() if moment < watermark]:
+            del at[n], until[n]
+        if until:
+            state.update((list(until), list(until.values()), [at[n][0] for n in until], [list(at[n][1]) for n in until], [list(at[n][1].values()) for n in until]))
+            state.setTimeoutTimestamp(min(until.values()))
+        elif state.exists:
             state.remove()
-            return
-        step, names, statuses = state.get if state.exists else (None, [], [])
-        answered, out = dict(zip(names, statuses, strict=True)), []
-        parts = [df.loc[df["event"].isin(known), [*by, "event", "status"]] for df in batches]
-        rows = pd.concat(parts).sort_values(by, kind="stable")
-        for event, status, ts in zip(rows["event"], rows["status"], rows["ts"], strict=True):
-            after, answered = advance(steps, parallel, step, answered, event, status)
-            if after != step:
-                step = after
-                out.append((k[0], step, ts))
-        if step is not None:
-            last = int(rows["ts"].iloc[-1].timestamp() * 1000) if len(rows) else 0
-            state.update((step, list(answered), list(answered.values())))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1000 * STATE_SECONDS)
         if out:
             yield pd.DataFrame(out, columns=["key", "step", "ts"])
 
-    return events.groupBy(key).applyInPandasWithState(
-        run, "key string, step string, ts timestamp", "step string, names array<string>, statuses array<string>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    held = "keys array<string>, deadlines array<long>, steps array<string>, names array<array<string>>, statuses array<array<string>>"
+    return _in_buckets(events, key, ["event", "status", *by]).applyInPandasWithState(run, "key string, step string, ts timestamp", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def split_batch(guard: Callable[[DataFrame], DataFrame], good: Callable[[DataFrame], Any], bad: Callable[[DataFrame], Any]) -> Callable[[DataFrame, int], None]:

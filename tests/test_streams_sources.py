@@ -190,3 +190,14 @@ def test_fan_in_of_many_keys_shares_states(spark, tmp_path):
             want[k] = ("timeout", [None, ocr])
     assert {k: v for k, v in got.items() if k not in ("late", "last")} == want
     assert spark.read.format("statestore").load(str(tmp_path / "ckm")).count() <= flow.BUCKETS
+
+
+def test_steps_of_many_keys_share_states(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "correlation_id string, event string, status string, ts timestamp, id long"
+    events = ("request", "asr", "diarization", "classification", "summary")
+    rows = [[(f"k{n}", events[i], "ok", at(10 * i + n % 5), n) for n in range(2500) for i in part] for part in ((1, 0), (3, 1), (2,), (4,))]
+    s = _stream(spark, tmp_path, "many-steps", rows, schema).withWatermark("ts", "1 minute")
+    got = sorted((r["key"], r["step"]) for r in flow.run_once(flow.step_machine(s, "audio", order="id"), "many_steps", str(tmp_path / "cks")).collect())
+    assert got == sorted((f"k{n}", step) for n in range(2500) for step in ("parallel_processing", "summary", "save"))
+    assert spark.read.format("statestore").load(str(tmp_path / "cks")).count() <= flow.BUCKETS
