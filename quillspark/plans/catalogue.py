@@ -276,7 +276,7 @@ def pack_rows(read):
 
 @query(_PACK_ROWS)
 def pack_rows_streamed(read):
-    """The same by the table function: for keys of any number of rows; for many small ones the fold above is faster."""
+    """The same as a stream of sorted rows, for keys of any number of rows."""
     rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("long").alias("w"))
     out = tables.pack_rows(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "w", None, 60, " ", 1)
     return out.select("l_orderkey", "chunk_index", "n_items", "tokens")

@@ -104,3 +104,19 @@ def test_estimate_depends_on_the_items_only(spark):
     whole = sketches.daily(rows, F.lit(0), ["g"], "item", "v")
     a, b = (df.select(sketches.distinct()).first()[0] for df in (days, whole))
     assert a == b and abs(a - 2500) < 125
+
+
+def test_packed_rows_pass_in_batches(spark):
+    """Keys longer than a batch: as the table function packs them, without a call for every row."""
+    rows = spark.range(3000).selectExpr("id % 3 as k", "int(id) as pos", "int(id * 7 % 13) as w", "if(id % 5 = 0, null, string(id)) as text")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50")
+    try:
+        out = tables.pack_rows(rows, "k", ["pos"], "w", "text", 40, ",", 1)
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.set(size, before)
+    call = F.udtf(tables.PackRows)(rows.asTable(), F.lit("k"), F.lit("pos"), F.lit("w"), F.lit("text"), F.lit(40), F.lit(","), F.lit(1))
+    assert got == sorted(map(tuple, call.collect()))
+    assert "UDTF" not in out._jdf.queryExecution().toString()
