@@ -59,9 +59,12 @@ def destroy_due(assets: DataFrame, as_of: Column, key: list[str]) -> tuple[DataF
 
 
 def permitted(users: DataFrame, assets: DataFrame, permission: str) -> DataFrame:
-    """(user, asset) pairs that may act: the same branch, and admin or the permission."""
+    """(user, asset) pairs that may act: the same branch, and admin or the permission.
+
+    A user brings as many pairs as the branch has assets, so users are dealt over all tasks first, however few files hold them."""
     ok = F.array_contains("permissions", "admin") | F.array_contains("permissions", permission)
-    return users.where(ok).join(assets, "branch")
+    tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return users.where(ok).repartition(tasks, *[F.col(f"`{c}`") for c in users.columns]).join(assets, "branch")
 
 
 def create_users(users: DataFrame, new: DataFrame, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

@@ -308,3 +308,12 @@ def test_segment_means_in_the_order_of_the_file(spark, tmp_path):
         want |= {(order, label, rank) for rank, (_, label) in enumerate(means, 1)}
     got = {(r["l_orderkey"], r["label"], r["rank"]) for r in catalogue.queries()["segment_top5"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_permitted_users_are_dealt_over_tasks(spark):
+    """Users of one file and one branch: their pairs come from several tasks."""
+    users = spark.range(0, 400, 1, 1).selectExpr("id as user", "1 as branch", "array('list') as permissions")
+    out = assets.permitted(users, spark.range(5).selectExpr("id as asset", "1 as branch"), "list").withColumn("task", F.spark_partition_id())
+    rows = out.collect()
+    assert len({(r["user"], r["asset"]) for r in rows}) == len(rows) == 2000
+    assert len({r["task"] for r in rows}) == 4
