@@ -71,7 +71,10 @@ def _exploded(df: DataFrame, key: str, parts: Column) -> DataFrame:
 
 def chunk_sentences(docs: DataFrame, key: str, text: str, limit: int = 400, counter=T.word_tokens, joiner: int = 0) -> DataFrame:
     """Chunks of sentences within the budget; a sentence over it is cut into runs of words.
-    (key, chunk_index, tokens, text).  All within a row, so nothing is shuffled; null and blank texts have no chunk."""
+    (key, chunk_index, tokens, text).  All within a row; null and blank texts have no chunk.  The work is in the fold, not in reading, so
+    rows are dealt over all tasks first, however few row groups hold them."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(key, text).repartition(tasks)
     light = lambda c: F.struct(c.tokens.alias("tokens"), c.text.alias("text"))
     cut = lambda c: _let(F.split(c.text, rf"{T.SPACE}+"), lambda words: F.transform(chunks(words, F.transform(words, counter), limit, " ", joiner), light))
     rows = docs.select(key, T.sentences(F.col(text)).alias("_items"))

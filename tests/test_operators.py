@@ -317,3 +317,10 @@ def test_permitted_users_are_dealt_over_tasks(spark):
     rows = out.collect()
     assert len({(r["user"], r["asset"]) for r in rows}) == len(rows) == 2000
     assert len({r["task"] for r in rows}) == 4
+
+
+def test_sentences_are_chunked_by_several_tasks(spark):
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as k", "concat('a b c', char(10), 'd e', char(10), string(id)) as t")
+    rows = packing.chunk_sentences(docs, "k", "t", 5).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["k"], r["chunk_index"], r["tokens"], r["text"]) for r in rows) == [x for k in range(400) for x in ((k, 0, 5, "a b c d e"), (k, 1, 1, str(k)))]
+    assert len({r["task"] for r in rows}) == 4
