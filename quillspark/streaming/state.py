@@ -1,22 +1,23 @@
 """Keyed state on RocksDB: a store of fields with life times, nested step machines, the feed of their changes, and stream-stream joins.
 
 The processors here run in ``transformWithStateInPandas``: each key has several states of its own (values and maps), timers in event time end
-what has outlived its time, and the changes of a state can be read back from the checkpoint (``changes``)."""
+what has outlived its time, and the changes of a state can be read back from the checkpoint (``changes``).  For many keys, ``shared``
+lets the keys of a bucket share states, timers and calls, since a call and several state calls a key cost 12 to 20 ms of a core."""
 
 from __future__ import annotations
 
 import contextlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .flow import STATE_SECONDS, _micros, shared_folder
+from .flow import BUCKETS, STATE_SECONDS, _micros, shared_folder
 
 #: What keyed state needs: states on RocksDB, with a log of changes in the checkpoint.
 SETTINGS = {
@@ -52,7 +53,7 @@ def changes(spark: SparkSession, folder: str, state: str) -> DataFrame:
     """The feed of a state's changes: (batch_id, change_type, key, map_key, value), a row for each put or removal of each batch."""
     with stateful(spark):
         feed = spark.read.format("statestore").option("stateVarName", state).option("readChangeFeed", True).option("changeStartBatchId", 0).load(f"{folder}/state")
-    value = "map_value" if "map_value" in feed.columns else next(c for c in feed.columns if c in ("value", "user_map_value"))
+    value = "map_value" if "map_value" in feed.columns else next(c for c in feed.columns if c in ("value", "user_map_value", "list_element"))
     key = next((c for c in feed.columns if c in ("user_map_key", "map_key")), None)
     return feed.select("batch_id", "change_type", "key", (F.col(key) if key else F.lit(None)).alias("map_key"), F.col(value).alias("value"))
 
@@ -63,6 +64,24 @@ def _sorted(rows: Iterator[pd.DataFrame], columns: list[str], keep: set[str] | N
     return pd.concat(parts).sort_values(["ts", "order"], kind="stable")
 
 
+def _grouped(rows: DataFrame, shared: bool) -> GroupedData:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).groupBy("bucket") if shared else rows.groupBy("key")
+
+
+def _columns(rows: Iterable[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows, strict=True)))
+
+
+def _one_timer(handle: StatefulProcessorHandle, at: int | None) -> None:
+    """The bucket's only timer, in milliseconds; None: none."""
+    before = list(handle.listTimers())
+    for timer in before:
+        if timer != at:
+            handle.deleteTimer(timer)
+    if at is not None and at not in before:
+        handle.registerTimer(at)
+
+
 # ---- a store of fields with a life time ------------------------------------------------------------------------
 
 
@@ -239,10 +258,69 @@ class NestedMachines(StatefulProcessor):
         pass
 
 
-def nested_machines(events: DataFrame, machines: tuple[Machine, ...] = VIDEO_TASK, seconds: int = STATE_SECONDS) -> DataFrame:
+class SharedNestedMachines(NestedMachines):
+    """The same for a bucket of tasks: one state with the places of all machines, a list of the steps taken, and one timer for the first task to be forgotten."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # an element for each machine of each task
+        self.tasks = handle.getValueState("tasks", "keys array<string>, until array<long>, machines array<string>, steps array<string>, answers array<array<string>>, problems array<array<string>>, failed array<array<string>>")
+        # an element for all steps of a batch: the feed gives a single element of a list that is appended
+        self.steps = handle.getListState("steps", "keys array<string>, machines array<string>, steps array<string>, since array<timestamp>, errors array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        tasks, until = self._load()
+        out, last = [], {}
+        for ts, _, n, event, status in _sorted(rows, ["key", "event", "status"], self.known).itertuples(index=False):
+            if event != "request" and n not in tasks:
+                continue
+            problem = event if status in ("error", "failed") else ""
+            for machine, step, errors in answer(self.machines, tasks.setdefault(n, {}), event, problem):
+                out.append((n, machine, step, ts, errors))
+            last[n] = ts
+        if last:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            for n, ts in last.items():
+                until[n] = max(_micros(ts) // 1000, watermark) + 1000 * self.seconds
+            self._save(tasks, until)
+            _one_timer(self.handle, min(until.values()))
+        if out:
+            self.steps.appendValue(_columns((n, machine, step, ts.to_pydatetime(), errors) for n, machine, step, ts, errors in out))
+            yield pd.DataFrame(out, columns=["key", "machine", "step", "since", "errors"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        tasks, until = self._load()
+        until = {n: moment for n, moment in until.items() if moment > watermark}
+        self._save(tasks, until)
+        if until:
+            self.steps.put([_columns(s for element in self.steps.get() for s in zip(*element, strict=True) if s[0] in until)])
+            self.handle.registerTimer(min(until.values()))
+        else:
+            self.steps.clear()
+        yield from ()
+
+    def _load(self) -> tuple[dict[str, dict[str, Place]], dict[str, int]]:
+        tasks, until, state = {}, {}, self.tasks.get()
+        for n, moment, machine, step, answers, problems, failed in zip(*state, strict=True) if state else ():
+            tasks.setdefault(n, {})[machine] = Place(step, dict(zip(answers, problems, strict=True)), list(failed))
+            until[n] = moment
+        return tasks, until
+
+    def _save(self, tasks: dict[str, dict[str, Place]], until: dict[str, int]) -> None:
+        flat = [(n, moment, machine, p.step, list(p.answers), list(p.answers.values()), p.failed) for n, moment in until.items() for machine, p in tasks[n].items()]
+        if flat:
+            self.tasks.update(_columns(flat))
+        else:
+            self.tasks.clear()
+
+
+def nested_machines(events: DataFrame, machines: tuple[Machine, ...] = VIDEO_TASK, seconds: int = STATE_SECONDS, shared: bool = False) -> DataFrame:
     """(key, machine, step, since, errors) whenever a machine of a key takes a step.  Input: (key string, event, status, ts, order) with a watermark
-    on ts; error and failed both count as failures.  A task without an event for ``seconds`` is forgotten."""
-    return events.groupBy("key").transformWithStateInPandas(NestedMachines(machines, seconds), "key string, machine string, step string, since timestamp, errors string", "append", "EventTime")
+    on ts; error and failed both count as failures.  A task without an event for ``seconds`` is forgotten.
+    ``shared``: buckets of tasks share states."""
+    processor = (SharedNestedMachines if shared else NestedMachines)(machines, seconds)
+    return _grouped(events, shared).transformWithStateInPandas(processor, "key string, machine string, step string, since timestamp, errors string", "append", "EventTime")
 
 
 # ---- joins of two streams --------------------------------------------------------------------------------------

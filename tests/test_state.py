@@ -152,3 +152,37 @@ def test_join_of_streams(spark, tmp_path, how):
     assert got == (pairs if how == "inner" else sorted([*pairs, (2, None), (3, None)], key=lambda x: (x[0], x[1] or 0)))
 
 
+
+
+# ---- buckets of keys that share states -------------------------------------------------------------------------
+
+
+def variables(spark, folder, name):
+    with state.stateful(spark):
+        return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/state")
+
+
+def test_tasks_share_states(spark, tmp_path, monkeypatch):
+    """The same steps as with states of their own, over batches between which tasks are forgotten and begun again; two states for all tasks."""
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    schema = "key string, event string, status string, ts timestamp, order long"
+    rng = random.Random(5)
+    # t0 to t5 rest after the first batch, are forgotten in the third and begun again in the fourth
+    for batch, (hour, tasks) in enumerate([(0, range(12)), (9, range(6, 12)), (11, range(6, 10)), (13, range(14)), (22, range(3))]):
+        rows = []
+        for i in tasks:
+            events = [("request", False), *((rng.choice(KINDS), rng.random() < 0.05) for _ in range(25))]
+            rows += [(None if i == 7 else f"t{i}", e, "error" if f else "ok", at(hour + n / 25), 1000 * batch + n) for n, (e, f) in enumerate(events)]
+        rng.shuffle(rows)
+        feed(spark, tmp_path / "in", rows, schema)
+    got = {}
+    for shared in (False, True):
+        source = state.nested_machines(stream(spark, tmp_path / "in", schema), seconds=4 * 3600, shared=shared)
+        out, folder = state.run_with_state(source, "tasks", str(tmp_path / f"out{shared}"))
+        got[shared] = sorted(map(str, out.collect()))
+    assert got[True] == got[False] and len(got[True]) > 100
+    begun = [r for r in got[True] if "'t1'" in r and "parallel_analysis" in r]
+    assert len(begun) == 2  # forgotten and begun again
+    assert 0 < variables(spark, folder, "tasks").count() <= 2
+    held = {k for r in variables(spark, folder, "tasks").collect() for k in r["value"]["keys"]}
+    assert "t0" in held and held == {k for r in variables(spark, folder, "steps").collect() for k in r["list_element"]["keys"]}
