@@ -110,9 +110,9 @@ steps AS (
 SELECT id AS correlation_id, machine, step, strftime(moment.t, '%Y-%m-%d %H:%M:%S') AS since, errors FROM steps"""
 
 
-def _tasks(spark: SparkSession, sf: str, shared: bool) -> tuple[DataFrame, str]:
+def _tasks(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     e = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.expr(_KIND).alias("event"), F.when(F.col("value") > 150, "failed").otherwise("ok").alias("status"), "ts", F.col("event_id").alias("order"))
-    return state.run_with_state(state.nested_machines(e, seconds=LONG, shared=shared), "nested-video")
+    return state.run_with_state(state.nested_machines(e, seconds=LONG, shared=True), "nested-video")
 
 
 def _time(c: str):
@@ -122,16 +122,15 @@ def _time(c: str):
 @register(_NESTED)
 def stream_nested_video(spark: SparkSession, sf: str) -> DataFrame:
     """The video task with a machine for its frames and one for its sound inside; users are tasks, their events the answers."""
-    rows, _ = _tasks(spark, sf, shared=True)
+    rows, _ = _tasks(spark, sf)
     return rows.select(F.col("key").alias("correlation_id"), "machine", "step", _time("since"), "errors")
 
 
 @register(_NESTED)
 def state_changes(spark: SparkSession, sf: str) -> DataFrame:
     """The same steps as the feed of the changes of the machines' state, read back from the checkpoint."""
-    _, folder = _tasks(spark, sf, shared=False)
-    feed = state.changes(spark, folder, "steps").where("change_type = 'update'")
-    return feed.select(F.col("key.key").alias("correlation_id"), "map_key.machine", "map_key.step", _time("value.since"), "value.errors")
+    _, folder = _tasks(spark, sf)
+    return state.steps_taken(spark, folder).select(F.col("key").alias("correlation_id"), "machine", "step", _time("since"), "errors")
 
 
 # ---- joins of two streams --------------------------------------------------------------------------------------

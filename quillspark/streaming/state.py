@@ -318,11 +318,20 @@ class SharedNestedMachines(NestedMachines):
 def nested_machines(events: DataFrame, machines: tuple[Machine, ...] = VIDEO_TASK, seconds: int = STATE_SECONDS, shared: bool = False) -> DataFrame:
     """(key, machine, step, since, errors) whenever a machine of a key takes a step.  Input: (key string, event, status, ts, order) with a watermark
     on ts; error and failed both count as failures.  A task without an event for ``seconds`` is forgotten.
-    ``shared``: buckets of tasks share states."""
+    ``shared``: buckets of tasks share states (``steps_taken`` reads their feed)."""
     processor = (SharedNestedMachines if shared else NestedMachines)(machines, seconds)
     return _grouped(events, shared).transformWithStateInPandas(processor, "key string, machine string, step string, since timestamp, errors string", "append", "EventTime")
 
 
+def steps_taken(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch_id, key, machine, step, since, errors): the feed of the steps of shared machines.  Where tasks have been forgotten, the steps of
+    the others in their bucket were written again, so a step counts when it first comes."""
+    feed = changes(spark, folder, "steps").where("change_type <> 'delete'")
+    each = feed.select("batch_id", F.explode(F.arrays_zip("value.keys", "value.machines", "value.steps", "value.since", "value.errors")).alias("s"))
+    each = each.select("batch_id", F.col("s.keys").alias("key"), F.col("s.machines").alias("machine"), F.col("s.steps").alias("step"), "s.since", "s.errors")
+    return each.groupBy("key", "machine", "step", "since", "errors").agg(F.min("batch_id").alias("batch_id"))
+
+
 # ---- joins of two streams --------------------------------------------------------------------------------------
 
 

@@ -186,3 +186,24 @@ def test_tasks_share_states(spark, tmp_path, monkeypatch):
     assert 0 < variables(spark, folder, "tasks").count() <= 2
     held = {k for r in variables(spark, folder, "tasks").collect() for k in r["value"]["keys"]}
     assert "t0" in held and held == {k for r in variables(spark, folder, "steps").collect() for k in r["list_element"]["keys"]}
+
+
+def test_feed_of_shared_tasks(spark, tmp_path, monkeypatch):
+    """Every step once, in its batch, although steps are written again where other tasks of their bucket have been forgotten."""
+    monkeypatch.setattr(state, "BUCKETS", 1)
+    schema = "key string, event string, status string, ts timestamp, order long"
+    for batch, (hour, tasks) in enumerate([(0, "abc"), (9, "bc"), (11, "c"), (13, "ac")]):
+        events = ("request", "frame_extraction", "audio_conversion") if batch == 0 else ("request", "scene_detection", "asr", "ocr_frame")
+        feed(spark, tmp_path / "in", [(k, e, "ok", at(hour + n / 10), 10 * batch + n) for k in tasks for n, e in enumerate(events)], schema)
+    got = {}
+    for shared in (False, True):
+        source = state.nested_machines(stream(spark, tmp_path / "in", schema), seconds=4 * 3600, shared=shared)
+        out, folder = state.run_with_state(source, "feed", str(tmp_path / f"out{shared}"))
+        if shared:
+            log = state.steps_taken(spark, folder).select("batch_id", "key", "machine", "step", "since", "errors")
+        else:
+            log = state.changes(spark, folder, "steps").where("change_type = 'update'").select("batch_id", "key.key", "map_key.*", "value.*")
+        got[shared] = sorted(map(tuple, log.collect()))
+        assert sorted(r[1:] for r in got[shared]) == sorted(map(tuple, out.collect()))
+    assert got[True] == got[False] and len({r[0] for r in got[True]}) > 2
+    assert state.changes(spark, folder, "steps").where("change_type = 'update'").count()  # something was written again
