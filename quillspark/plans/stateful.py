@@ -50,7 +50,7 @@ def _commands(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"WITH {_STORE} SELECT key, n AS event_id, command, alive AS ok, CASE WHEN command = 'get' AND alive THEN {_FIELDS} END AS fields FROM f")
 def stream_field_store(spark: SparkSession, sf: str) -> DataFrame:
     """Commands on a store with life times: signups set, views get, clicks update, purchases extend, errors delete or ask."""
-    rows, _ = state.run_with_state(state.field_store(_commands(spark, sf), 24 * 3600), "field-store")
+    rows, _ = state.run_with_state(state.field_store(_commands(spark, sf), 24 * 3600, shared=True), "field-store")
     return rows.select("key", F.col("order").alias("event_id"), "command", "ok", "fields")
 
 
@@ -58,10 +58,8 @@ def stream_field_store(spark: SparkSession, sf: str) -> DataFrame:
 SELECT key, unnest(['f0', 'f1', 'f2', 'opened']) AS name, unnest([f0, f1, f2, opened]) AS value FROM e WHERE k = 1 AND alive AND command <> 'delete' AND last > (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stored_fields(spark: SparkSession, sf: str) -> DataFrame:
     """What the store holds after all commands, read from its checkpoint: the fields of keys that live; timers have ended the others."""
-    rows, folder = state.run_with_state(state.field_store(_commands(spark, sf), 24 * 3600), "field-store")
-    with state.stateful(spark):
-        held = spark.read.format("statestore").option("stateVarName", "fields").load(f"{folder}/state")
-    held = held.select("key.key", F.col("user_map_key.name").alias("name"), F.col("user_map_value.value").cast("long").alias("value"))
+    _, folder = state.run_with_state(state.field_store(_commands(spark, sf), 24 * 3600, shared=True), "field-store")
+    held = state.stored(spark, folder).withColumn("value", F.col("value").cast("long"))
     # fields that were never updated have no entry; the others of the same key do
     every = held.select("key").distinct().select("key", F.explode(F.array(*[F.lit(n) for n in ("f0", "f1", "f2", "opened")])).alias("name"))
     return every.join(held, ["key", "name"], "left")

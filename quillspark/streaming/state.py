@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .flow import BUCKETS, STATE_SECONDS, _micros, shared_folder
+from .flow import BUCKETS, STATE_SECONDS, _all_micros, _micros, shared_folder
 
 #: What keyed state needs: states on RocksDB, with a log of changes in the checkpoint.
 SETTINGS = {
@@ -93,6 +93,26 @@ class FieldStore(StatefulProcessor):
     def __init__(self, seconds: int) -> None:
         self.seconds = seconds
 
+    def take(self, now: int, command: str, text: str | None, seconds: float | None, expires: int | None, held: dict[str, str]) -> tuple[bool, str | None, int | None, dict[str, str]]:
+        """(did the key live, answer, expires, fields) after a command."""
+        alive = expires is not None and now < expires
+        answer = None
+        new = {k: json.dumps(v, sort_keys=True) for k, v in json.loads(text).items()} if isinstance(text, str) and text else {}
+        life = int(seconds) if seconds is not None and seconds == seconds else self.seconds
+        if command == "set":
+            held, expires, alive = new, now + 1_000_000 * self.seconds, True
+        elif not alive:
+            held, expires = {}, None
+        elif command == "update":
+            held, expires = held | new, now + 1_000_000 * self.seconds
+        elif command == "extend":
+            expires = now + 1_000_000 * life
+        elif command == "delete":
+            held, expires = {}, None
+        elif command == "get":
+            answer = "{" + ", ".join(f"{json.dumps(k)}: {held[k]}" for k in sorted(held)) + "}"
+        return alive, answer, expires, held
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.life = handle.getValueState("life", "expires long")
@@ -104,23 +124,7 @@ class FieldStore(StatefulProcessor):
         held = {k[0]: v[0] for k, v in self.fields.iterator()} if expires is not None else {}
         was, out = dict(held), []
         for ts, order, command, text, seconds in _sorted(rows, ["command", "fields", "seconds"]).itertuples(index=False):
-            now = _micros(ts)
-            alive = expires is not None and now < expires
-            answer = None
-            new = {k: json.dumps(v, sort_keys=True) for k, v in json.loads(text).items()} if isinstance(text, str) and text else {}
-            life = int(seconds) if seconds is not None and seconds == seconds else self.seconds
-            if command == "set":
-                held, expires, alive = new, now + 1_000_000 * self.seconds, True
-            elif not alive:
-                held, expires = {}, None
-            elif command == "update":
-                held, expires = held | new, now + 1_000_000 * self.seconds
-            elif command == "extend":
-                expires = now + 1_000_000 * life
-            elif command == "delete":
-                held, expires = {}, None
-            elif command == "get":
-                answer = "{" + ", ".join(f"{json.dumps(k)}: {held[k]}" for k in sorted(held)) + "}"
+            alive, answer, expires, held = self.take(_micros(ts), command, text, seconds, expires, held)
             out.append((key[0], ts, order, command, alive, answer))
         for name in was.keys() - held.keys():
             self.fields.removeKey((name,))
@@ -147,11 +151,61 @@ class FieldStore(StatefulProcessor):
         pass
 
 
-def field_store(commands: DataFrame, seconds: int = STATE_SECONDS) -> DataFrame:
+class SharedFieldStore(FieldStore):
+    """The same for a bucket of keys: one state with the life and the fields of each living key, and one timer for the first that ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stores = handle.getValueState("stores", "keys array<string>, expires array<long>, names array<array<string>>, texts array<array<string>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stores, out = self._load(), []
+        df = _sorted(rows, ["key", "command", "fields", "seconds"])
+        for now, (ts, order, n, command, text, seconds) in zip(_all_micros(df["ts"]), df.itertuples(index=False), strict=True):
+            alive, answer, expires, held = self.take(now, command, text, seconds, *stores.get(n, (None, {})))
+            if expires is None:
+                stores.pop(n, None)
+            else:
+                stores[n] = expires, held
+            out.append((n, ts, order, command, alive, answer))
+        self._save(stores)
+        _one_timer(self.handle, min((-(-expires // 1000) for expires, _ in stores.values()), default=None))
+        yield pd.DataFrame(out, columns=["key", "ts", "order", "command", "ok", "fields"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = 1000 * timerValues.getCurrentWatermarkInMs()
+        stores = {n: store for n, store in self._load().items() if store[0] > now}
+        self._save(stores)
+        if stores:
+            self.handle.registerTimer(min(-(-expires // 1000) for expires, _ in stores.values()))
+        yield from ()
+
+    def _load(self) -> dict[str, tuple[int, dict[str, str]]]:
+        state = self.stores.get()
+        return {n: (expires, dict(zip(names, texts, strict=True))) for n, expires, names, texts in zip(*state, strict=True)} if state else {}
+
+    def _save(self, stores: dict[str, tuple[int, dict[str, str]]]) -> None:
+        if stores:
+            fields = [held for _, held in stores.values()]
+            self.stores.update((list(stores), [expires for expires, _ in stores.values()], [list(f) for f in fields], [list(f.values()) for f in fields]))
+        else:
+            self.stores.clear()
+
+
+def field_store(commands: DataFrame, seconds: int = STATE_SECONDS, shared: bool = False) -> DataFrame:
     """(key, ts, order, command, ok, fields) for every command: did the key live, and, for get, its fields as JSON.
     Input: (key string, command, fields, seconds, ts, order): fields a JSON object for set and update, seconds for extend, a watermark on ts,
-    order a whole number that tells commands of one time apart."""
-    return commands.groupBy("key").transformWithStateInPandas(FieldStore(seconds), "key string, ts timestamp, order long, command string, ok boolean, fields string", "append", "EventTime")
+    order a whole number that tells commands of one time apart.  ``shared``: buckets of keys share states (``stored`` reads them back)."""
+    processor = (SharedFieldStore if shared else FieldStore)(seconds)
+    return _grouped(commands, shared).transformWithStateInPandas(processor, "key string, ts timestamp, order long, command string, ok boolean, fields string", "append", "EventTime")
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, name, value): what a shared store of fields holds, read from its checkpoint."""
+    with stateful(spark):
+        held = spark.read.format("statestore").option("stateVarName", "stores").load(f"{folder}/state")
+    each = held.select(F.explode(F.arrays_zip("value.keys", "value.names", "value.texts")).alias("s"))
+    return each.select(F.col("s.keys").alias("key"), F.explode(F.arrays_zip("s.names", "s.texts")).alias("f")).select("key", F.col("f.names").alias("name"), F.col("f.texts").alias("value"))
 
 
 # ---- nested step machines --------------------------------------------------------------------------------------

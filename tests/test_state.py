@@ -207,3 +207,28 @@ def test_feed_of_shared_tasks(spark, tmp_path, monkeypatch):
         assert sorted(r[1:] for r in got[shared]) == sorted(map(tuple, out.collect()))
     assert got[True] == got[False] and len({r[0] for r in got[True]}) > 2
     assert state.changes(spark, folder, "steps").where("change_type = 'update'").count()  # something was written again
+
+
+def test_stores_share_states(spark, tmp_path, monkeypatch):
+    """The same answers and fields as with states of their own, over batches between which keys end and are set again; two states for all keys."""
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    rng = random.Random(7)
+    order = 0
+    for hour in (0, 3, 9, 12, 20):
+        rows = []
+        for _ in range(160):
+            order += 1
+            command = rng.choice(("set", "get", "update", "update", "extend", "delete", "exists", "get"))
+            fields = json.dumps({rng.choice("xyz"): rng.choice([1, "é", [None, {"q": 2.5}]])}) if command in ("set", "update") else None
+            key = rng.choice([None, *(f"k{i}" for i in range(14 if hour < 20 else 4))])
+            rows.append((key, command, fields, rng.choice([None, 7200, 30000]) if command == "extend" else None, at(hour + rng.randrange(8) / 4), order))
+        feed(spark, tmp_path / "in", rows, COMMANDS)
+    got, folders = {}, {}
+    for shared in (False, True):
+        out, folders[shared] = state.run_with_state(state.field_store(stream(spark, tmp_path / "in", COMMANDS), 6 * 3600, shared=shared), "stores", str(tmp_path / f"out{shared}"))
+        got[shared] = sorted(map(str, out.collect()))
+    assert got[True] == got[False] and len(got[True]) == 800
+    assert 0 < variables(spark, folders[True], "stores").count() <= 2
+    own = variables(spark, folders[False], "fields").selectExpr("key.key", "user_map_key.name", "user_map_value.value").collect()
+    held = state.stored(spark, folders[True]).collect()
+    assert sorted(map(str, held)) == sorted(map(str, own)) and held
